@@ -71,7 +71,7 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: int = 1, l
             d.precompute_compress(level=level)
             coders.append(zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         for batch in batches:
-            rows = [_best(text, names, coders, block) for text in map(pa.Scalar.as_py, batch.column(1))]
+            rows = [_best(text, names, coders, block) for text in batch.column(1).to_pylist()]
             pred, score, gap = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.int64()), pa.array([g < margin for g in gap], pa.bool_())],
