@@ -119,7 +119,7 @@ def _spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int,
     return joined
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = 10, spill: float = 0.06, leaf_rows: int = 512, sample: int = 20_000, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = 6, spill: float = 0.03, leaf_rows: int = 512, sample: int = 20_000, seed: int = 7) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors(vec_id, embedding)``.
 
     ``sample`` bounds the vectors on which the trees are fitted; all are then placed.
