@@ -39,12 +39,31 @@ _U = np.uint64
 SMALL = 160
 PIVOTS = 24
 FEW = 24
+BROADCAST_IDS = 1_000_000
 
 
 def _slots(values: np.ndarray) -> np.ndarray:
     return (values >> _U(44)).astype(np.int64)
 
 
+BITS = 2048
+
+
+def _parity(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set, the parity of its members in each of ``BITS`` cells.
+
+    Two sets differ in at least as many members as their parities differ in bits.
+    """
+    out: list[bytes] = []
+    for a in range(0, len(bounds) - 1, 256):
+        b = min(a + 256, len(bounds) - 1)
+        v = values[bounds[a] : bounds[b]]
+        row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
+        odd = np.bincount(row * BITS + (v % _U(BITS)).astype(np.int64), minlength=(b - a) * BITS) & 1
+        out += [r.tobytes() for r in np.packbits(odd.astype(np.uint8)).reshape(b - a, -1)]
+    return out
+
+
 def summaries(docs: DataFrame, words: int = 5) -> DataFrame:
     """One pass: per document its set size and two set fingerprints, per task its count sketch."""
 
@@ -57,16 +76,16 @@ def summaries(docs: DataFrame, words: int = 5) -> DataFrame:
                 rows = len(bounds) - 1
                 one, two = (np.append(np.zeros(1, _U), np.cumsum(v)) for v in (values, values * values ^ (values >> _U(17))))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, rows), pa.array(np.diff(bounds)), *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in (one, two)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                    ["doc_id", "n", "s1", "s2", "block", "counts"],
+                    [ids.slice(at, rows), pa.array(np.diff(bounds)), *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in (one, two)), pa.array(_parity(values, bounds), pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                    ["doc_id", "n", "s1", "s2", "bits", "block", "counts"],
                 )
         k = SLOTS // _BLOCK
         yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array(np.arange(k, dtype=np.int32)), pa.array([counts[b * _BLOCK : (b + 1) * _BLOCK].astype(np.int64).tobytes() for b in range(k)], pa.binary())],
-            ["doc_id", "n", "s1", "s2", "block", "counts"],
+            [*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), pa.array([counts[b * _BLOCK : (b + 1) * _BLOCK].astype(np.int64).tobytes() for b in range(k)], pa.binary())],
+            ["doc_id", "n", "s1", "s2", "bits", "block", "counts"],
         )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits binary, block int, counts binary")
 
 
 def _levels(summary: DataFrame) -> np.ndarray:
@@ -157,11 +176,44 @@ def _packed_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, shingles binary")
 
 
+def _plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs(a, b, na, nb)`` whose parities differ in few enough bits to link; exact, no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+            least = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = pa.array(least * (100 + percent) <= size * (100 - percent))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in range(2)), pa.array(least).filter(keep)], ["a", "b", "apart"])
+
+    left, right = bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("x")), bits.select(F.col("doc_id").alias("b"), F.col("bits").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long, apart long")
+
+
+def _link_up(pairs: DataFrame, links: DataFrame, measurer: _Measurer, percent: int) -> DataFrame:
+    """``links`` and those of ``pairs(a, b, apart)`` that join what they leave apart.
+
+    Each set first meets the partner that looks nearest; then only pairs that are still
+    in different components are compared.
+    """
+    is_link = F.col("common") * 100 >= F.col("either") * percent
+    sides = pairs.select("a", "b", "apart", F.explode(F.array("a", "b")).alias("side"))
+    first = saved(sides.groupBy("side").agg(F.min_by(F.struct("a", "b"), F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct(), "first-pairs")
+    links = saved(links.unionByName(measurer.measure(first).where(is_link).select("a", "b")), "links")
+    groups = components(links)
+    apart = pairs.select("a", "b").join(first, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        apart = apart.join(groups.select(F.col("id").alias(side), F.col("component_id").alias(f"g{side}")), side, "left")
+    rest = saved(apart.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b"), "other-pairs")
+    return saved(links.unionByName(measurer.measure(rest).where(is_link).select("a", "b")), "links")
+
+
 class _Measurer:
     """Exact distances of pairs of representatives; shingle sets are made once for those in use."""
 
-    def __init__(self, docs: DataFrame, words: int) -> None:
-        self.docs, self.words, self.sets, self.ids = docs, words, None, None
+    def __init__(self, docs: DataFrame, words: int, repeated: bool) -> None:
+        self.docs, self.words, self.repeated, self.sets, self.ids = docs, words, repeated, None, None
 
     def measure(self, pairs: DataFrame) -> DataFrame:
         """``a, b, common, either`` (sizes of intersection and union) of distinct ``pairs(a, b)``."""
@@ -170,8 +222,11 @@ class _Measurer:
             wanted = wanted.join(self.ids, "id", "left_anti")
         wanted = saved(wanted, "wanted")
         if not wanted.isEmpty():
-            text = self.docs.select("doc_id", "text").join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-            new = saved(_packed_sets(text.dropDuplicates(["doc_id"]), self.words), "sets")
+            ids = wanted.withColumnRenamed("id", "doc_id")
+            if wanted.count() <= BROADCAST_IDS:  # 8 bytes each; beyond that both sides are shuffled
+                ids = F.broadcast(ids)
+            text = self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+            new = saved(_packed_sets(text, self.words).groupBy("id").agg(F.first("shingles").alias("shingles")) if self.repeated else _packed_sets(text, self.words), "sets")
             self.sets = new if self.sets is None else self.sets.unionByName(new)
             self.ids = wanted if self.ids is None else self.ids.unionByName(wanted)
 
@@ -221,72 +276,75 @@ def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, small: int =
         (low * 100 >= F.greatest("x.n", "y.n") * p)
         & (F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) * q >= (F.col("x.n") + F.col("y.n")) * p)
     )
-    pairs = saved(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "pairs")
-    measurer = _Measurer(docs, words)
-    is_link = F.col("common") * 100 >= F.col("either") * p
-    links = saved(measurer.measure(pairs).where(is_link).select("a", "b"), "links")
+    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct()
+    bits = summary.where("block is null and doc_id is not null and n > 0").select("doc_id", "bits").dropDuplicates(["doc_id"])
+    pairs = saved(_plausible(pairs, bits, percent), "pairs")
+    repeated = not reps.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty()
+    measurer = _Measurer(docs, words, repeated)
+    links = _link_up(pairs, pairs.sparkSession.createDataFrame([], "a long, b long"), measurer, p)
 
     open_ = inside.where(F.col("size") > small).select(F.col("token").alias("region"), F.col("rep").alias("id"), "n")
     if not open_.isEmpty():
-        links = _join_regions(saved(open_, "open"), links, measurer, p, FEW, pivots)
+        links = _join_regions(saved(open_, "open"), links, measurer, bits, p, FEW, pivots)
     groups = components(links)
     out = reps.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
     return out.unionByName(meta.where("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
-def _join_regions(members: DataFrame, links: DataFrame, measurer: _Measurer, percent: int, few: int, pivots: int, rounds: int = 3) -> DataFrame:
-    """Links that connect all that is linked within each region ``(region, id, n)``."""
+def _join_regions(members: DataFrame, links: DataFrame, measurer: _Measurer, bits: DataFrame, percent: int, few: int, pivots: int, rounds: int = 2) -> DataFrame:
+    """Links that connect all that is linked within each region ``(region, id, n)``.
+
+    Regions that share members form a space with pivots of its own; pairs are formed
+    within the cells of the pivots.
+    """
     radius = 1.0 - percent / 100 + 1e-9
-    known = None  # region, pivot, id, distance
+    heads = members.groupBy("region").agg(F.min("id").alias("b"))
+    spaces = components(members.join(heads, "region").select(F.col("id").alias("a"), "b"))
+    people = members.select("id", "n").distinct().join(spaces, "id", "left").select("id", "n", F.coalesce("component_id", "id").alias("space"))
+    people, known = saved(people, "people"), None  # known: pivot, id, distance
     for turn in range(rounds + 1):
-        group = components(links).withColumnRenamed("component_id", "g") if turn else None
-        if group is None:
-            now = members.withColumn("g", F.col("id"))
-        else:
-            now = members.join(group, "id", "left").withColumn("g", F.coalesce("g", "id"))
-        now = saved(now, "grouped")
-        # The largest group of a region needs no pivots; the others are what is left.
-        by = now.groupBy("region", "g").agg(F.count("*").alias("k"))
-        top = by.groupBy("region").agg(F.max_by("g", F.struct("k", "g")).alias("top"), F.sum("k").alias("size"), F.max("k").alias("most"), F.count("*").alias("groups"))
-        top = saved(top.where("groups > 1"), "top")
-        if top.isEmpty():
-            return links
-        left = now.join(top, "region").where(F.col("g") != F.col("top")) if turn else now.join(top, "region")
+        group = components(links).withColumnRenamed("component_id", "g")
+        now = saved(people.join(group, "id", "left").withColumn("g", F.coalesce("g", "id")), "grouped")
+        # The largest group of a space needs no pivots later on; the others are what is left.
+        by = now.groupBy("space", "g").agg(F.count("*").alias("k"))
+        top = by.groupBy("space").agg(F.max_by("g", F.struct("k", "g")).alias("top"), (F.sum("k") - F.max("k")).alias("rest"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+        left = now.join(top, "space")
         if known is not None:  # a pivot has met every member
-            left = left.join(known.select("region", F.col("pivot").alias("id")).distinct(), ["region", "id"], "left_anti")
-        left = saved(left.select("region", "id", "n", "g", (F.col("size") - F.col("most")).alias("rest")), "left")
+            left = left.where(F.col("g") != F.col("top")).join(known.select(F.col("pivot").alias("id")).distinct(), "id", "left_anti")
+        left = saved(left, "left")
         if left.isEmpty():
             return links
-        final = turn == rounds
-        finish = left if final else left.where((F.col("rest") <= few) & F.lit(turn > 0))
-        pairs = None
+        last = turn == rounds
         if turn:
-            signs = known.groupBy("region", "id").agg(F.map_from_entries(F.collect_list(F.struct("pivot", "distance"))).alias("at"), F.min_by("pivot", F.struct("distance", "pivot")).alias("home"), F.min("distance").alias("least"))
-            signs = saved(now.join(signs, ["region", "id"]), "signs")
-            # A member's own cell, and the cells whose pivot is at most two radii further off.
-            a = finish.select("region", "id").join(signs, ["region", "id"]).select("region", F.col("home").alias("cell"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), F.col("at").alias("ata"))
-            b = signs.select("region", "id", "n", "g", "at", "least", F.explode("at").alias("cell", "distance")).where(F.col("distance") <= F.col("least") + 2 * radius)
-            b = b.select("region", "cell", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("at").alias("atb"))
-            windows = F.forall(F.map_keys("ata"), lambda k: F.abs(F.col("ata")[k] - F.col("atb")[k]) <= radius)
-            pairs = a.join(b, ["region", "cell"]).where((F.col("ga") != F.col("gb")) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & windows)
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            pairs = saved(pairs, "pairs")
-            links = saved(links.unionByName(measurer.measure(pairs).where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")), "links")
-        if final:
-            return links
-        # New pivots: one of each of some random shares of what is left.
-        more = left.where((F.col("rest") > few) | F.lit(turn == 0))
-        share = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots))
-        chosen = more.groupBy("region", share.alias("share")).agg(F.min_by("id", F.xxhash64("id", F.lit(turn + 100))).alias("pivot")).select("region", "pivot")
-        chosen = saved(chosen, "pivots")
+            nearest = known.groupBy("id").agg(F.min_by("pivot", F.struct("distance", "pivot")).alias("home"), F.min("distance").alias("least"))
+            finish = left if last else left.where(F.col("rest") <= few)
+            a = finish.join(nearest, "id").select(F.col("home").alias("cell"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"), F.col("least").alias("da"))
+            # The cells of a member: its nearest pivot's, and those at most two radii further off.
+            b = now.join(nearest, "id").join(known, "id").where(F.col("distance") <= F.col("least") + 2 * radius)
+            b = b.select(F.col("pivot").alias("cell"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("g").alias("gb"), F.col("distance").alias("db"))
+            near = (F.abs(F.col("da") - F.col("db")) <= radius) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+            pairs = a.join(b, "cell").where((F.col("ga") != F.col("gb")) & near)
+            turned = F.col("a") > F.col("b")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
+            links = _link_up(saved(_plausible(pairs, bits, percent), "pairs"), links, measurer, percent)
+            if last:
+                return links
+            left = left.where(F.col("rest") > few)
+        # New pivots: of each of some random shares, at first any member, then the most central one.
+        share, rank = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pivots)), F.xxhash64("id", F.lit(100)).cast("double")
+        pool = left
+        if turn:
+            centre = known.groupBy("id").agg(F.avg("distance").alias("centre"))
+            pool = now.join(left.select("space").distinct(), "space").join(centre, "id").join(known.select(F.col("pivot").alias("id")).distinct(), "id", "left_anti")
+            rank = F.col("centre")
+        chosen = saved(pool.groupBy("space", share.alias("share")).agg(F.min_by("id", rank).alias("pivot")).select("space", "pivot"), "pivots")
         if chosen.isEmpty():
             return links
-        met = saved(now.join(chosen, "region").where("id <> pivot").select("region", "pivot", "id"), "met")
-        pairs = met.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
-        taken = saved(measurer.measure(pairs), "distances")
+        met = saved(now.join(chosen, "space").where("id <> pivot").select("pivot", "id", F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")), "met")
+        taken = saved(measurer.measure(met.select("a", "b").distinct()), "distances")
         links = saved(links.unionByName(taken.where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")), "links")
-        distance = met.withColumn("a", F.least("pivot", "id")).withColumn("b", F.greatest("pivot", "id")).join(taken, ["a", "b"]).select("region", "pivot", "id", (1.0 - F.col("common") / F.col("either")).alias("distance"))
-        distance = distance.unionByName(chosen.select("region", "pivot", F.col("pivot").alias("id"), F.lit(0.0).alias("distance")))
+        distance = met.join(taken, ["a", "b"]).select("pivot", "id", (1.0 - F.col("common") / F.col("either")).alias("distance"))
+        distance = distance.unionByName(chosen.select("pivot", F.col("pivot").alias("id"), F.lit(0.0).alias("distance")))
         known = saved(distance if known is None else known.unionByName(distance), "known")
     return links
 
