@@ -230,6 +230,9 @@ class _Measurer:
             self.sets = new if self.sets is None else self.sets.unionByName(new)
             self.ids = wanted if self.ids is None else self.ids.unionByName(wanted)
 
+        if self.sets is None:  # no pair yet
+            return pairs.select("a", "b", F.lit(0).cast("long").alias("common"), F.lit(1).cast("long").alias("either"))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 common, either = [], []
