@@ -40,6 +40,7 @@ SMALL = 160
 PIVOTS = 24
 FEW = 24
 BROADCAST_IDS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def _slots(values: np.ndarray) -> np.ndarray:
@@ -215,41 +216,62 @@ class _Measurer:
     def __init__(self, docs: DataFrame, words: int, repeated: bool) -> None:
         self.docs, self.words, self.repeated, self.sets, self.ids = docs, words, repeated, None, None
 
-    def measure(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, common, either`` (sizes of intersection and union) of distinct ``pairs(a, b)``."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    def _make(self, wanted: DataFrame) -> None:
+        """Shingle sets of the ``id`` rows that have none yet."""
         if self.sets is not None:
             wanted = wanted.join(self.ids, "id", "left_anti")
-        wanted = saved(wanted, "wanted")
-        if not wanted.isEmpty():
-            ids = wanted.withColumnRenamed("id", "doc_id")
-            if wanted.count() <= BROADCAST_IDS:  # 8 bytes each; beyond that both sides are shuffled
-                ids = F.broadcast(ids)
-            text = self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
-            new = saved(_packed_sets(text, self.words).groupBy("id").agg(F.first("shingles").alias("shingles")) if self.repeated else _packed_sets(text, self.words), "sets")
-            self.sets = new if self.sets is None else self.sets.unionByName(new)
-            self.ids = wanted if self.ids is None else self.ids.unionByName(wanted)
+        wanted = saved(wanted.distinct(), "wanted")
+        count = wanted.count()
+        if not count:
+            return
+        ids = wanted.withColumnRenamed("id", "doc_id")
+        if count <= BROADCAST_IDS:  # 8 bytes each; beyond that both sides are shuffled
+            ids = F.broadcast(ids)
+        text = self.docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+        new = _packed_sets(text, self.words)
+        if self.repeated:
+            new = new.groupBy("id").agg(F.first("shingles").alias("shingles"))
+        new = saved(new, "sets")
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+        self.ids = wanted if self.ids is None else self.ids.unionByName(wanted)
 
+    def measure(self, pairs: DataFrame) -> DataFrame:
+        """``a, b, common, either`` (sizes of intersection and union) of distinct ``pairs(a, b)``."""
+        self._make(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         if self.sets is None:  # no pair yet
             return pairs.select("a", "b", F.lit(0).cast("long").alias("common"), F.lit(1).cast("long").alias("either"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                common, either = [], []
-                for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                    x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                    if len(x) > len(y):
-                        x, y = y, x
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    same = int((y[at] == x).sum())
-                    common.append(same)
-                    either.append(len(x) + len(y) - same)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
-
         left = self.sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
         right = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-        both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(run, "a long, b long, common long, either long")
+        return _compared(pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y"))
+
+    def measure_pivots(self, met: DataFrame) -> DataFrame:
+        """``pivot, id, common, either`` of ``met(pivot, id)``: sets are dealt by id once, the few pivots' sets come to them."""
+        self._make(met.select(F.explode(F.array("pivot", "id")).alias("id")))
+        hubs = saved(self.sets.join(met.select(F.col("pivot").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("a"), F.col("shingles").alias("x")), "pivot-sets")
+        if (hubs.agg(F.sum(F.octet_length("x"))).first()[0] or 0) <= BROADCAST_BYTES:
+            hubs = F.broadcast(hubs)
+        right = self.sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+        rows = met.select(F.col("pivot").alias("a"), F.col("id").alias("b")).join(right, "b").join(hubs, "a").select("a", "b", "x", "y")
+        return _compared(rows).select(F.col("a").alias("pivot"), F.col("b").alias("id"), "common", "either")
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """``a, b, common, either`` of rows with both sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, either = [], []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                same = int((y[at] == x).sum())
+                common.append(same)
+                either.append(len(x) + len(y) - same)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(either, pa.int64())], ["a", "b", "common", "either"])
+
+    return rows.mapInArrow(run, "a long, b long, common long, either long")
 
 
 def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, small: int = SMALL, pivots: int = PIVOTS) -> DataFrame:
@@ -343,10 +365,11 @@ def _join_regions(members: DataFrame, links: DataFrame, measurer: _Measurer, bit
         chosen = saved(pool.groupBy("space", share.alias("share")).agg(F.min_by("id", rank).alias("pivot")).select("space", "pivot"), "pivots")
         if chosen.isEmpty():
             return links
-        met = saved(now.join(chosen, "space").where("id <> pivot").select("pivot", "id", F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")), "met")
-        taken = saved(measurer.measure(met.select("a", "b").distinct()), "distances")
-        links = saved(links.unionByName(taken.where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")), "links")
-        distance = met.join(taken, ["a", "b"]).select("pivot", "id", (1.0 - F.col("common") / F.col("either")).alias("distance"))
+        met = saved(now.join(chosen, "space").where("id <> pivot").select("pivot", "id"), "met")
+        taken = saved(measurer.measure_pivots(met), "distances")
+        found = taken.where(F.col("common") * 100 >= F.col("either") * percent).select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b"))
+        links = saved(links.unionByName(found.distinct()), "links")
+        distance = taken.select("pivot", "id", (1.0 - F.col("common") / F.col("either")).alias("distance"))
         distance = distance.unionByName(chosen.select("pivot", F.col("pivot").alias("id"), F.lit(0.0).alias("distance")))
         known = saved(distance if known is None else known.unionByName(distance), "known")
     return links
