@@ -3,9 +3,9 @@
 Suffixes (word positions) are cut at the window length.  A first pass keeps those that
 can repeat: every window of words holds a smallest 10-word prefix fingerprint, equal
 windows hold equal ones, and only windows whose smallest prefix occurs in two documents
-go on.  Those suffixes are split by their prefixes: the fingerprint of the first half of
-the window chooses the group, the second half is the path below it, so a group is a
-two-level suffix tree whose nodes at full depth are the repeats.  The number of groups
+go on.  Those suffixes are split by their smallest prefix, which chooses the group; the two
+halves of the window are the path below it, so a group is a shallow suffix tree whose
+nodes at full depth are the repeats.  The number of groups
 follows the input, tasks fold equal suffixes before sending (a passage that very many
 documents share reaches its group once a task), and each full-depth node gives every
 suffix in it the smallest document that has it.
@@ -99,7 +99,7 @@ def _later_starts(candidates: DataFrame, window: int, limit: int = 2_000_000) ->
     names = ["bucket", "doc_id", "starts", "ids", "one", "two"]
     types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
-    def send(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def send(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray, prefix: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, least = _fold(ids, pos, one, two)
         later = ids[order] > least
         rows = []
@@ -108,7 +108,7 @@ def _later_starts(candidates: DataFrame, window: int, limit: int = 2_000_000) ->
         for doc, (starts,) in packed(ids[gone], [pos[gone]]):
             rows.append((doc % groups, doc, starts, None, None, None))
         kept = order[~later]
-        bucket = ((one[kept] >> _U(3)) % _U(groups)).astype(np.int32)
+        bucket = ((prefix[kept] >> _U(3)) % _U(groups)).astype(np.int32)  # windows around one prefix stay together
         by = np.lexsort((pos[kept], ids[kept], bucket))
         kept, bucket = kept[by], bucket[by]
         for b, (starts, docs_, x, y) in packed(bucket, [pos[kept], ids[kept], one[kept], two[kept]]):
@@ -130,13 +130,13 @@ def _later_starts(candidates: DataFrame, window: int, limit: int = 2_000_000) ->
                     own = np.sort(anchors[bounds[at + r] : bounds[at + r + 1]])
                     mine = least[cut[r] : cut[r + 1]]
                     keep[cut[r] : cut[r + 1]] = own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine
-                held.append((ids[at + row[keep]], pos[keep], one[keep], two[keep]))
+                held.append((ids[at + row[keep]], pos[keep], one[keep], two[keep], least[keep]))
                 size += int(keep.sum())
                 if size > limit:
-                    yield from send(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+                    yield from send(*(np.concatenate([h[k] for h in held]) for k in range(5)))
                     held, size = [], 0
         if held:
-            yield from send(*(np.concatenate([h[k] for h in held]) for k in range(4)))
+            yield from send(*(np.concatenate([h[k] for h in held]) for k in range(5)))
 
     def subtree(key: tuple, part: pa.Table) -> pa.Table:
         known = part.filter(pc.is_valid(part.column("doc_id")))
