@@ -48,23 +48,45 @@ def _slots(values: np.ndarray) -> np.ndarray:
 
 
 BITS = 2048
+_PARITY_BLOCK = 1 << 22
 
 
 def _parity(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """For each set, the parity of its members in each of ``BITS`` cells.
+    """For each set, the parity of its members in each of at least ``BITS`` cells.
 
-    Two sets differ in at least as many members as their parities differ in bits.
+    The number of cells is the first power of two that is no smaller than the set, so
+    long sets are told apart as well as short ones.  Two sets differ in at least as many
+    members as their parities differ in bits.
     """
+    n = np.diff(bounds)
+    cells = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    ends = np.cumsum(cells)
     out: list[bytes] = []
-    for a in range(0, len(bounds) - 1, 256):
-        b = min(a + 256, len(bounds) - 1)
-        v = values[bounds[a] : bounds[b]]
-        row = np.repeat(np.arange(b - a), np.diff(bounds[a : b + 1]))
-        odd = np.bincount(row * BITS + (v % _U(BITS)).astype(np.int64), minlength=(b - a) * BITS) & 1
-        out += [r.tobytes() for r in np.packbits(odd.astype(np.uint8)).reshape(b - a, -1)]
+    a = 0
+    while a < len(n):
+        start = ends[a] - cells[a]
+        b = max(a + 1, int(np.searchsorted(ends, start + _PARITY_BLOCK, "right")))
+        v, row = values[bounds[a] : bounds[b]], np.repeat(np.arange(a, b), n[a:b])
+        at = (ends - cells)[row] - start + (v & (cells[row] - 1).astype(_U)).astype(np.int64)
+        packed = np.packbits((np.bincount(at, minlength=ends[b - 1] - start) & 1).astype(np.uint8))
+        cut = (ends[a:b] - start) // 8
+        out += [packed[x:y].tobytes() for x, y in zip(cut - cells[a:b] // 8, cut, strict=True)]
+        a = b
     return out
 
 
+def _bits_apart(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many bits parities differ; the longer of two is folded to the shorter one's cells."""
+    x, y = ([np.frombuffer(v, _U) for v in side.to_pylist()] for side in (x, y))
+    least = np.zeros(len(x), np.int64)
+    shapes = np.array([(len(v), len(w)) for v, w in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    for width in np.unique(shapes, axis=0):
+        rows = np.flatnonzero((shapes == width).all(axis=1))
+        v, w = (np.bitwise_xor.reduce(np.stack([side[r] for r in rows]).reshape(len(rows), -1, width.min()), axis=1) for side in (x, y))
+        least[rows] = np.bitwise_count(v ^ w).sum(axis=1, dtype=np.int64)
+    return least
+
+
 def summaries(docs: DataFrame, words: int = 5) -> DataFrame:
     """One pass: per document its set size and two set fingerprints, per task its count sketch."""
 
@@ -182,8 +204,7 @@ def _plausible(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
-            least = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            least = _bits_apart(batch.column(4), batch.column(5))
             size = batch.column(2).to_numpy() + batch.column(3).to_numpy()
             keep = pa.array(least * (100 + percent) <= size * (100 - percent))
             yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in range(2)), pa.array(least).filter(keep)], ["a", "b", "apart"])
