@@ -32,19 +32,20 @@ def _letters(text: str) -> bytes:
     return (_NOT_LETTERS.sub(" ", text.lower()).strip() + " ").encode("utf-8", "surrogatepass")
 
 
-def learn(docs: DataFrame, per_language: int = 128, opening: int = 1000, max_languages: int = 64) -> dict[str, bytes]:
-    """Dictionaries by language from ``docs(doc_id, text, lang)``.
+def learn(docs: DataFrame, per_language: int = 128, opening: int = 1000) -> dict[str, bytes]:
+    """Dictionaries by language from ``docs(doc_id, text, lang)``, one for every language that has a text.
 
-    The sample is bounded: about ``per_language`` distinct texts of each of the most
-    frequent ``max_languages`` languages, the first ``opening`` characters of each.
+    The sample is bounded a language: ``per_language`` distinct openings (the first
+    ``opening`` characters of a text), or all where a language has fewer.  The draw rate
+    follows the number of distinct openings, so copies take no places.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("text", "lang")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, opening).alias("text"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()
     if not counts:
         return {}
-    rate = known.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * per_language / r["count"])) for r in counts], "lang string, rate double")
-    draw = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)  # equal texts are drawn together
-    sample = known.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("lang", F.substring("text", 1, opening).alias("text"), draw.alias("draw"))
+    rate = known.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * per_language / max(1, r["n"]))) for r in counts], "lang string, rate double")
+    draw = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)  # equal openings are drawn together
+    sample = known.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("lang", "text", draw.alias("draw"))
     openings: dict[str, list[str]] = {}
     for r in sample.groupBy("lang", "text").agg(F.min("draw").alias("draw")).orderBy("lang", "draw", "text").toLocalIterator():
         kept = openings.setdefault(r["lang"], [])

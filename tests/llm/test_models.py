@@ -26,6 +26,15 @@ def test_language_held_out(spark, tables):
     assert language_id.learn(docs.where("false")) == {}
 
 
+def test_language_of_copies_and_many_languages(spark):
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    copied = spark.range(20_000).select(F.concat(F.lit("text "), F.translate((F.col("id") % 40).cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("copied").alias("lang"))
+    rare = spark.createDataFrame([(f"word {word(k)}", f"l{k}") for k in range(80)], "text string, lang string")
+    found = language_id.learn(copied.unionByName(rare))
+    assert set(found) == {"copied"} | {f"l{k}" for k in range(80)}
+    assert {w for w in found["copied"].decode().split() if w != "text"} == {word(k) for k in range(40)}
+
+
 def test_quality_held_out(tables):
     docs, labels = tables
     held = remainder(F.col("doc_id"), 3) == 1
