@@ -2,44 +2,71 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes every
 stage as Parquet to the shared folder and reads it again for the next one.
+
+Every row is decided by its own text.  Rows that share a doc_id and the text get equal
+results; rows that share a doc_id but not the text count as documents of their own, in
+the order of doc_id and a hash of the text.  Rows with a null doc_id are kept or
+dropped by language and rate only: they neither link with others nor lose passages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from syllabary.llm import bpe, jaccard, language_id, mixing, substrings
-from syllabary.llm.common import saved
+from syllabary.llm.common import partitions, saved
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Add ``__key``, one number a distinct (doc_id, text) in the order of doc_id; null where doc_id is null.
+
+    It is the doc_id itself where no two texts share one.
+    """
+    ids = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("__mark"))
+    if ids.groupBy("doc_id").agg(F.min("__mark").alias("lo"), F.max("__mark").alias("hi")).where("lo < hi").isEmpty():
+        return docs.withColumn("__key", F.col("doc_id"))
+    spark = docs.sparkSession
+    dealt = saved(ids.distinct().repartitionByRange(partitions(spark), "doc_id", "__mark").withColumn("part", F.spark_partition_id()), "row-keys")
+    sizes = sorted((r["part"], r["count"]) for r in dealt.groupBy("part").count().collect())
+    starts = zip([p for p, _ in sizes], accumulate([0] + [n for _, n in sizes[:-1]]), strict=True)
+    within = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "__mark"))
+    keys = dealt.withColumn("within", within).join(F.broadcast(spark.createDataFrame(list(starts), "part int, start long")), "part")
+    keys = keys.select("doc_id", "__mark", (F.col("start") + F.col("within")).alias("__key"))
+    return saved(docs.withColumn("__mark", F.xxhash64("text")).join(keys, ["doc_id", "__mark"], "left").drop("__mark"), "keyed")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language is rejected; ``lang`` becomes the language found."""
     known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    found = language_id.classify(docs, language_id.learn(known)).where(~F.col("rejected")).select("doc_id", F.col("lang_pred").alias("__lang"))
-    kept = docs.join(found.dropDuplicates(["doc_id"]), "doc_id").withColumn("lang", F.col("__lang"))
-    return kept.select(*docs.columns)
+    found = language_id.classify(docs, language_id.learn(known), carry=True).where(~F.col("rejected"))
+    return found.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*").select(*docs.columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of linked documents."""
-    groups = jaccard.near_groups(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = _keyed(docs)
+    groups = jaccard.near_groups(rows.select(F.col("__key").alias("doc_id"), "text"))
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
+    return rows.join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out passages that an earlier document has; documents left without words go."""
-    found = substrings.remove_repeats(docs, texts=True).where("n_removed < n_words or n_words = 0")
-    found = found.select("doc_id", F.col("kept_text").alias("__text")).dropDuplicates(["doc_id"])
-    kept = docs.join(found, "doc_id").withColumn("text", F.col("__text")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    rows = _keyed(docs)
+    known = rows.where("__key is not null")
+    found = substrings.remove_repeats(known.select(F.col("__key").alias("doc_id"), "text"), texts=True).where("n_removed < n_words or n_words = 0")
+    found = found.select(F.col("doc_id").alias("__key"), F.col("kept_text").alias("__text")).dropDuplicates(["__key"])
+    kept = known.join(found, "__key").withColumn("text", F.col("__text")).drop("__text").unionByName(rows.where("__key is null"))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as its fitted rate says."""
-    rates = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("copies > 0").select("doc_id", "copies").dropDuplicates(["doc_id"])
-    return docs.join(rates, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    taken = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True).where("copies > 0")
+    return taken.select(F.explode(F.sequence(F.lit(1), "copies")), "row").select("row.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ from .common import remainder
 
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_RESULT = "doc_id long, lang_pred string, score double, margin long, rejected boolean"
+_RESULT = "lang_pred string, score double, margin long, rejected boolean"
 
 
 def _letters(text: str) -> bytes:
@@ -54,9 +55,11 @@ def learn(docs: DataFrame, per_language: int = 128, opening: int = 1000) -> dict
     return {lang: b"".join(map(_letters, texts)) for lang, texts in openings.items()}
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: int = 1, level: int = 6, block: int = 8000) -> DataFrame:
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: int = 1, level: int = 6, block: int = 8000, carry: bool = False) -> DataFrame:
     """``doc_id, lang_pred, score, margin, rejected`` for each row of ``docs(doc_id, text)``.
 
+    With ``carry`` the whole row comes as the struct ``row`` in place of doc_id.
+
     Whole texts are compressed, in blocks of ``block`` bytes so that a long text does
     not become its own dictionary.  ``score`` is the winner's share when each byte
     saved counts as a factor of two.
@@ -72,14 +75,17 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: int = 1, l
             d.precompute_compress(level=level)
             coders.append(zstandard.ZstdCompressor(dict_data=d, level=level, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
         for batch in batches:
-            rows = [_best(text, names, coders, block) for text in batch.column(1).to_pylist()]
+            texts = pc.struct_field(batch.column(0), "text") if carry else batch.column(1)
+            rows = [_best(text, names, coders, block) for text in texts.to_pylist()]
             pred, score, gap = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.int64()), pa.array([g < margin for g in gap], pa.bool_())],
-                ["doc_id", "lang_pred", "score", "margin", "rejected"],
+                [batch.column(0) if carry else batch.column(0).cast(pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.int64()), pa.array([g < margin for g in gap], pa.bool_())],
+                ["row" if carry else "doc_id", "lang_pred", "score", "margin", "rejected"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _RESULT)
+    if carry:
+        return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, f"row {docs.schema.simpleString()}, {_RESULT}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {_RESULT}")
 
 
 def _best(text: str | None, names: list[str], coders: list, block: int) -> tuple[str, float, int]:

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,22 +53,25 @@ class Posteriors:
     def __init__(self, domains: tuple[str, ...], terms: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> None:
         self.domains, self.terms, self.weights, self.bias = domains, terms, weights, bias
 
-    def of(self, docs: DataFrame) -> DataFrame:
-        """``doc_id, tokens, posterior`` of ``docs(doc_id, text)`` in one pass."""
+    def of(self, docs: DataFrame, carry: bool = False) -> DataFrame:
+        """``doc_id, tokens, posterior`` of ``docs(doc_id, text)`` in one pass; with ``carry`` the struct ``row`` in place of doc_id."""
         given = docs.sparkSession.sparkContext.broadcast(self)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = given.value
             for batch in batches:
                 for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
-                    x = _features(part.column(1), m.terms)
+                    x = _features(pc.struct_field(part.column(0), "text") if carry else part.column(1), m.terms)
                     z = x @ m.weights.T + m.bias
                     e = np.exp(z - z.max(axis=1, keepdims=True))
                     p = e / e.sum(axis=1, keepdims=True)
                     tokens = np.rint(np.expm1(x[:, STATISTICS.index("n_words")])).astype(np.int64)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(tokens), lists], ["doc_id", "tokens", "posterior"])
+                    first = part.column(0) if carry else part.column(0).cast(pa.int64())
+                    yield pa.RecordBatch.from_arrays([first, pa.array(tokens), lists], ["row" if carry else "doc_id", "tokens", "posterior"])
 
+        if carry:
+            return docs.select(F.struct(*docs.columns).alias("row")).mapInArrow(run, f"row {docs.schema.simpleString()}, tokens long, posterior array<double>")
         return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens long, posterior array<double>")
 
 
@@ -145,14 +149,19 @@ def copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(chance < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, **limits: int) -> DataFrame:
-    """``doc_id, tokens, domain, posterior, rate, copies`` for each row of ``docs(doc_id, text)``."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: bool = False, **limits: int) -> DataFrame:
+    """``doc_id, tokens, domain, posterior, rate, copies`` for each row of ``docs(doc_id, text)``.
+
+    With ``carry`` the whole row comes as the struct ``row`` in place of doc_id, and the
+    chance of a copy follows doc_id and text, so rows without an id do not share one draw.
+    """
     targets = targets or TARGETS
     model = learn(docs, domain_of(labels), tuple(targets), **limits)
-    members = saved(model.of(docs), "posteriors")
+    members = saved(model.of(docs, carry), "posteriors")
     rated = fit_rates(members, [targets[d] for d in model.domains])
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
-    return rated.select("doc_id", "tokens", F.element_at(F.array(*map(F.lit, model.domains)), best).alias("domain"), "posterior", "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    key = F.struct("row.doc_id", "row.text") if carry else F.col("doc_id")
+    return rated.select("row" if carry else "doc_id", "tokens", F.element_at(F.array(*map(F.lit, model.domains)), best).alias("domain"), "posterior", "rate", copies(F.col("rate"), key).alias("copies"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
