@@ -5,8 +5,9 @@ can repeat: every window of words holds a smallest 10-word prefix fingerprint, e
 windows hold equal ones, and only windows whose smallest prefix occurs in two documents
 go on.  Those suffixes are split by their smallest prefix, which chooses the group; the two
 halves of the window are the path below it, so a group is a shallow suffix tree whose
-nodes at full depth are the repeats.  The number of groups
-follows the input, tasks fold equal suffixes before sending (a passage that very many
+nodes at full depth are the repeats.  The pass counts windows too: the number of groups
+follows their count, and a prefix with very many windows is split further by the halves
+below it.  Tasks fold equal suffixes before sending (a passage that very many
 documents share reaches its group once a task), and each full-depth node gives every
 suffix in it the smallest document that has it.
 
@@ -60,20 +61,33 @@ def _windows(column: pa.Array, window: int) -> Iterator[tuple]:
         yield at, to, row[inside], (inside - first[row[inside]]).astype(np.int32), least[inside], half[inside], half[inside + window - window // 2]
 
 
-def _shared_anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, anchors``: each document's smallest prefixes that another document has too."""
+def _anchors(docs: DataFrame, window: int) -> DataFrame:
+    """``doc_id, anchor, n``: smallest prefixes of each document and the windows around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             for at, _, row, _, least, _, _ in _windows(batch.column(1), window):
-                new = np.ones(len(row), bool)
-                new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[new]]), pa.array(least[new].view(np.int64))], ["doc_id", "anchor"])
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (least[1:] != least[:-1]))[: len(row)])
+                n = np.diff(np.append(new, len(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[new]]), pa.array(least[new].view(np.int64)), pa.array(n)], ["doc_id", "anchor", "n"])
 
-    found = docs.mapInArrow(run, "doc_id long, anchor long")
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    return found.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    return docs.mapInArrow(run, "doc_id long, anchor long, n long")
+
+
+def _shared_anchors(docs: DataFrame, window: int, group_rows: int) -> tuple[DataFrame, int]:
+    """``doc_id, anchors, wide`` and the number of windows around the anchors.
+
+    Anchors are a document's smallest prefixes that another document has too; those in
+    ``wide`` have more windows than an eighth of a group's rows.
+    """
+    found = _anchors(docs, window)
+    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("anchor", "n")
+    shared = saved(shared, "shared-anchors")
+    windows = shared.agg(F.sum("n")).first()[0] or 0
+    wide = F.collect_set(F.when(F.col("n") > group_rows // 8, F.col("anchor")))
+    own = found.select("doc_id", "anchor").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), wide.alias("wide"))
+    return own, windows
 
 
 def _fold(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,31 +101,32 @@ def _fold(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray) ->
     return order, least
 
 
-def _later_starts(candidates: DataFrame, window: int, limit: int = 2_000_000) -> DataFrame:
-    """``doc_id, starts``: packed positions of windows that an earlier document has."""
-    groups = 4 * partitions(candidates.sparkSession)
+def _packed(key: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
+    for a, b in zip(cut.tolist(), np.append(cut, len(key))[1:].tolist(), strict=True):
+        yield int(key[a]), [c[a:b].tobytes() for c in columns]
 
-    def packed(key: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
-        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, int)
-        for a, b in zip(cut.tolist(), np.append(cut, len(key))[1:].tolist(), strict=True):
-            yield int(key[a]), [c[a:b].tobytes() for c in columns]
 
+def _sent(candidates: DataFrame, window: int, groups: int, limit: int = 2_000_000) -> DataFrame:
+    """Packed windows of ``candidates(doc_id, text, anchors, wide)`` by group (``bucket``), folded by task."""
     names = ["bucket", "doc_id", "starts", "ids", "one", "two"]
     types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
-    def send(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray, prefix: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def send(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray, prefix: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, least = _fold(ids, pos, one, two)
         later = ids[order] > least
         rows = []
         gone = order[later]
         gone = gone[np.lexsort((pos[gone], ids[gone]))]
-        for doc, (starts,) in packed(ids[gone], [pos[gone]]):
+        for doc, (starts,) in _packed(ids[gone], [pos[gone]]):
             rows.append((doc % groups, doc, starts, None, None, None))
         kept = order[~later]
-        bucket = ((prefix[kept] >> _U(3)) % _U(groups)).astype(np.int32)  # windows around one prefix stay together
+        key = prefix[kept]  # windows around one prefix stay together, equal windows of a wide prefix do
+        key = np.where(wide[kept], key ^ (one[kept] * _U(0x9E3779B97F4A7C15) + two[kept] * _U(0xC2B2AE3D27D4EB4F)), key)
+        bucket = ((key >> _U(3)) % _U(groups)).astype(np.int32)
         by = np.lexsort((pos[kept], ids[kept], bucket))
         kept, bucket = kept[by], bucket[by]
-        for b, (starts, docs_, x, y) in packed(bucket, [pos[kept], ids[kept], one[kept], two[kept]]):
+        for b, (starts, docs_, x, y) in _packed(bucket, [pos[kept], ids[kept], one[kept], two[kept]]):
             rows.append((b, None, starts, docs_, x, y))
         for k in range(0, len(rows), 500):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 500], strict=True), types, strict=True)], names)
@@ -123,6 +138,7 @@ def _later_starts(candidates: DataFrame, window: int, limit: int = 2_000_000) ->
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
             lists = batch.column(2)
             bounds, anchors = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)
+            widest = np.unique(batch.column(3).values.to_numpy().view(_U))
             for at, to, row, pos, least, one, two in _windows(batch.column(1), window):
                 keep = np.zeros(len(row), bool)
                 cut = np.searchsorted(row, np.arange(to - at + 1))
@@ -130,13 +146,19 @@ def _later_starts(candidates: DataFrame, window: int, limit: int = 2_000_000) ->
                     own = np.sort(anchors[bounds[at + r] : bounds[at + r + 1]])
                     mine = least[cut[r] : cut[r + 1]]
                     keep[cut[r] : cut[r + 1]] = own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine
-                held.append((ids[at + row[keep]], pos[keep], one[keep], two[keep], least[keep]))
+                held.append((ids[at + row[keep]], pos[keep], one[keep], two[keep], least[keep], np.isin(least[keep], widest)))
                 size += int(keep.sum())
                 if size > limit:
-                    yield from send(*(np.concatenate([h[k] for h in held]) for k in range(5)))
+                    yield from send(*(np.concatenate([h[k] for h in held]) for k in range(6)))
                     held, size = [], 0
         if held:
-            yield from send(*(np.concatenate([h[k] for h in held]) for k in range(5)))
+            yield from send(*(np.concatenate([h[k] for h in held]) for k in range(6)))
+
+    return candidates.select("doc_id", "text", "anchors", "wide").mapInArrow(run, "bucket int, doc_id long, starts binary, ids binary, one binary, two binary")
+
+
+def _later_starts(sent: DataFrame) -> DataFrame:
+    """``doc_id, starts``: packed positions of windows that an earlier document has."""
 
     def subtree(key: tuple, part: pa.Table) -> pa.Table:
         known = part.filter(pc.is_valid(part.column("doc_id")))
@@ -146,12 +168,11 @@ def _later_starts(candidates: DataFrame, window: int, limit: int = 2_000_000) ->
         gone = order[ids[order] > least]
         gone = gone[np.lexsort((pos[gone], ids[gone]))]
         docs_, starts = known.column("doc_id").to_pylist(), known.column("starts").to_pylist()
-        for doc, (at,) in packed(ids[gone], [pos[gone]]):
+        for doc, (at,) in _packed(ids[gone], [pos[gone]]):
             docs_.append(doc)
             starts.append(at)
         return pa.table({"doc_id": pa.array(docs_, pa.int64()), "starts": pa.array(starts, pa.binary())})
 
-    sent = candidates.select("doc_id", "text", "anchors").mapInArrow(run, "bucket int, doc_id long, starts binary, ids binary, one binary, two binary")
     found = sent.groupBy("bucket").applyInArrow(subtree, "doc_id long, starts binary")
     return found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
 
@@ -186,16 +207,18 @@ def _cover(docs: DataFrame, window: int, texts: bool) -> DataFrame:
     return docs.select("doc_id", "text", "starts").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, texts: bool = False, group_rows: int = 400_000) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
     With ``texts`` also kept_text (the text itself where nothing was removed, else the
-    kept words joined by spaces) and the removed spans of words.
+    kept words joined by spaces) and the removed spans of words.  There are enough groups
+    for ``group_rows`` windows in each.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors = saved(_shared_anchors(rows.where(F.col("doc_id").isNotNull()), window), "anchors")
+    anchors, windows = _shared_anchors(rows.where(F.col("doc_id").isNotNull()), window, group_rows)
+    anchors = saved(anchors, "anchors")
     candidates = saved(rows.join(anchors, "doc_id"), "candidates")
-    starts = _later_starts(candidates, window)
+    starts = _later_starts(_sent(candidates, window, max(4 * partitions(docs.sparkSession), -(-windows // group_rows))))
     some = _cover(candidates.select("doc_id", "text").join(starts, "doc_id", "left"), window, texts)
     rest = rows.join(anchors.select("doc_id"), "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("array<binary>"))
     return some.unionByName(_cover(rest, window, texts))

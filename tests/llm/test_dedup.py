@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from syllabary.llm import embedding_dedup, graph, jaccard, substrings
 
@@ -59,6 +60,24 @@ def test_substrings_equal_brute_force(spark, docs, corpus):
     assert sum(r["n_removed"] for r in got) > 0 and all(bool(r["spans"]) == (r["n_removed"] > 0) for r in got)
 
 
+def test_substring_groups_of_a_frequent_line(spark, docs):
+    rng = np.random.default_rng(9)
+    lines = [" ".join(f"line{line}w{k}" for k in range(20)) for line in range(12)]
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    rows = [(i, words(45) + " " + " ".join(lines) + " " + words(45)) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    largest = {}
+    for group_rows in (10**9, 800):  # one prefix a group, as wide as it is; split by the halves
+        anchors, windows = substrings._shared_anchors(frame, 50, group_rows)
+        sent = substrings._sent(frame.join(anchors, "doc_id"), 50, max(16, -(-windows // group_rows)))
+        sizes = sent.where("doc_id is null").groupBy("bucket").agg((F.sum(F.length("starts")) / 4).alias("n"))
+        largest[group_rows] = sizes.agg(F.max("n")).first()[0]
+    assert windows > 10_000 and largest[800] <= 1600 < largest[10**9]
+    for given in (docs, frame):
+        one, other = (sorted(map(repr, substrings.remove_repeats(given, texts=True, group_rows=n).collect())) for n in (400_000, 80))
+        assert one == other
+
+
 def test_embeddings_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     v = rng.standard_normal((300, 16))
