@@ -30,6 +30,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Mark a table of short rows for broadcast if it has ``rows`` at most; a larger one is left to shuffled joins."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

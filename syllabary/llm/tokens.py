@@ -7,6 +7,7 @@ between rows so that temporary arrays stay near ``CHUNK_BYTES``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +26,12 @@ def _splitmix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE_VALUE = _splitmix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_POW = np.ones(1, _U)
-_INV = np.ones(1, _U)
+_STEP = _U(0x9E3779B97F4A7C15)
+_JOIN = _U(0xD6E8FEB86659FD93)
+_FULL = _U(0xFFFFFFFFFFFFFFFF)
+#: Keeps the first k of eight bytes.
+_FIRST = np.append(_U(0), _FULL >> (_U(64) - np.arange(1, 9, dtype=_U) * _U(8)))
+LONG_WORD = 4096
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,19 +39,6 @@ ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POW, _INV
-    if len(_POW) < n + 1:
-        m = max(n + 1, CHUNK_BYTES + 1)
-        out = []
-        for base in (_BASE, _BASE_INV):
-            p = np.full(m, base, _U)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _POW, _INV = out
-    return _POW, _INV
-
-
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, last row + 1, bytes, row offsets into the bytes); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,32 +76,42 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off, "left")
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit fingerprint of each word's bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each word's bytes.
+
+    Eight bytes at a time are mixed into the state by a non-linear step, so unlike a
+    polynomial it has no family of colliding words; very long words take a BLAKE2 digest.
+    """
     if not len(starts):
         return np.zeros(0, _U)
-    pw, inv = _powers(len(data))
-    table = _BYTE_VALUE if not seed else _splitmix(_BYTE_VALUE + _U(seed))
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum(table[data] * pw[: len(data)], out=total[1:])
-    return _splitmix((total[ends] - total[starts]) * inv[starts] + _U(seed))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lane = np.ndarray((len(data) + 1,), _U, padded, 0, (1,))  # the eight bytes from each place on
+    n = ends - starts
+    out = _splitmix((lane[starts] & _FIRST[np.minimum(n, 8)]) + n.astype(_U) * _STEP)
+    live, done = np.flatnonzero((n > 8) & (n <= LONG_WORD)), 8
+    while len(live):
+        left = n[live] - done
+        out[live] = _splitmix(out[live] * _JOIN + (lane[starts[live] + done] & _FIRST[np.minimum(left, 8)]))
+        done += 8
+        live = live[left > 8]
+    for k in np.flatnonzero(n > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def doubled(grams: np.ndarray, apart: int) -> np.ndarray:
+    """Fingerprint of each gram together with the one ``apart`` places on."""
+    n = max(0, len(grams) - apart)
+    return _splitmix(grams[:n] * _JOIN + grams[apart:])
 
 
 def gram_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Fingerprint of the ``size`` words from each position on (the last size - 1 positions are absent)."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    if size <= 8:
-        out = np.zeros(n, _U)
-        for k in range(size):
-            out = out * _U(_BASE) + words[k : k + n]
-    else:
-        pw, inv = _powers(len(words))
-        total = np.zeros(len(words) + 1, _U)
-        np.cumsum(words * pw[: len(words)], out=total[1:])
-        out = (total[size:] - total[:n]) * inv[:n]
-    return _splitmix(out)
+    out, have = words, 1
+    while have * 2 <= size:
+        out, have = doubled(out, have), have * 2
+    return doubled(out, size - have) if size > have else out
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -144,8 +143,7 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, np.ndar
 
 
 def _short(words: np.ndarray) -> np.uint64:
-    out = _U(len(words))
-    with np.errstate(over="ignore"):
-        for w in words:
-            out = out * _U(_BASE) + w
-    return _splitmix(np.array([out], _U))[0]
+    out = np.array([len(words)], _U)
+    for k in range(len(words)):
+        out = _splitmix(out * _JOIN + words[k : k + 1])
+    return out[0]
