@@ -3,8 +3,9 @@
 Documents with equal shingle sets form a class and are represented by their smallest
 doc_id.  Nearly all pairs of sets lie at distance 1, where no pivot set tells them
 apart, so the first pivots are single shingles: a set belongs to the regions of its
-first few shingles in a common order (rarer ones first, by a fixed-size count sketch of
-the whole corpus), as many as make any two linked sets meet in one.  Pairs of a small
+first few shingles in a common order (rarer ones first, by a count sketch of the whole
+corpus and by exact counts of the shingles that prefixes are mostly made of), as many as
+make any two linked sets meet in one.  Pairs of a small
 region must pass bounds on size, position and parity; a larger region is kept as a star.
 What stays connected is a space: linked sets are always in one space.
 
@@ -47,6 +48,9 @@ LEAF = 32
 PIVOTS = 8
 NEAR = 0.6
 HOT_TOKEN = 1 << 17
+LOW = _U(int(0.35 * 2**64))
+PLACES = 1 << 24
+FREQUENT = 1 << 21
 SPACE_BYTES = 64 << 20
 
 
@@ -94,38 +98,61 @@ def _bits_apart(x: pa.Array, y: pa.Array) -> np.ndarray:
     return least
 
 
-def summaries(docs: DataFrame, words: int = 5) -> DataFrame:
-    """One pass: per document its set size and two set fingerprints, per task its count sketch."""
+def summaries(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """One pass: per document its set size, two set fingerprints and its parity; per task its count sketch.
+
+    Tasks also send the shingles of the lowest hashes, of which prefixes are mostly made,
+    to be counted one by one.
+    """
+    names = ["doc_id", "n", "s1", "s2", "bits", "block", "counts", "bucket", "low"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
+
+    def batch_of(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(rows, t)) for c, t in zip(names, types, strict=True)], names)
+
+    def sent(low: np.ndarray) -> pa.RecordBatch:
+        low = np.sort(low)
+        where = ((low >> _U(32)) % _U(buckets)).astype(np.int32)
+        order = np.argsort(where, kind="stable")
+        cut = np.flatnonzero(np.diff(where[order], prepend=-1))
+        low = low[order].astype(np.uint32)
+        packed = [low[a:b].tobytes() for a, b in zip(cut.tolist(), np.append(cut, len(low))[1:].tolist(), strict=True)]
+        return batch_of(len(cut), bucket=pa.array(where[order][cut], pa.int32()), low=pa.array(packed, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
+        counts, held, size, seen = np.zeros(SLOTS, np.int64), [], 0, set()
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             for at, values, bounds in shingle_sets(batch.column(1), words):
                 counts += np.bincount(_slots(values), minlength=SLOTS)
-                rows = len(bounds) - 1
-                one, two = (np.append(np.zeros(1, _U), np.cumsum(v)) for v in (values, values * values ^ (values >> _U(17))))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, rows), pa.array(np.diff(bounds)), *(pa.array((s[bounds[1:]] - s[bounds[:-1]]).view(np.int64)) for s in (one, two)), pa.array(_parity(values, bounds), pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                    ["doc_id", "n", "s1", "s2", "bits", "block", "counts"],
+                n = np.diff(bounds)
+                one, two = _sums(values, bounds)
+                yield batch_of(
+                    len(n), doc_id=ids.slice(at, len(n)), n=pa.array(n), s1=pa.array(one.view(np.int64)), s2=pa.array(two.view(np.int64)), bits=pa.array(_parity(values, bounds), pa.binary())
                 )
+                fresh = np.array([not (mark in seen or seen.add(mark)) for mark in one.tolist()], bool)
+                held.append(values[(values < LOW) & np.repeat(fresh, n)])
+                size += len(held[-1])
+                if size > 4_000_000:
+                    yield sent(np.concatenate(held))
+                    held, size, seen = [], 0, set()
+        if size:
+            yield sent(np.concatenate(held))
         k = SLOTS // _BLOCK
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), pa.array([counts[b * _BLOCK : (b + 1) * _BLOCK].astype(np.int64).tobytes() for b in range(k)], pa.binary())],
-            ["doc_id", "n", "s1", "s2", "bits", "block", "counts"],
-        )
+        yield batch_of(k, block=pa.array(np.arange(k, dtype=np.int32)), counts=pa.array([counts[b * _BLOCK : (b + 1) * _BLOCK].tobytes() for b in range(k)], pa.binary()))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits binary, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits binary, block int, counts binary, bucket int, low binary")
 
 
 def _slot_counts(summary: DataFrame) -> np.ndarray:
-    """The corpus's count sketch: how often shingles of each slot occur (documents count once)."""
+    """The corpus's count sketch: in how many sets shingles of each slot occur."""
 
-    def add(key: tuple, part: pa.Table) -> pa.Table:
+    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_BLOCK, np.int64)
-        for c in part.column("counts").to_pylist():
-            total += np.frombuffer(c, np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        for part in parts:
+            for c in part.column("counts").to_pylist():
+                total += np.frombuffer(c, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
     rows = summary.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
     counts = np.zeros(SLOTS, np.int64)
@@ -134,6 +161,28 @@ def _slot_counts(summary: DataFrame) -> np.ndarray:
     return counts
 
 
+def _frequent(summary: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Places (of the low 32 bits, cut to ``PLACES``) of the counted shingles that exceed ``PAIRS_UP_TO``, and their levels.
+
+    They only order shingles, so the least frequent of more than ``FREQUENT`` may be left out.
+    """
+
+    def count(key: tuple, part: pa.Table) -> pa.Table:
+        found, n = np.unique(np.frombuffer(b"".join(part.column("low").to_pylist()), np.uint32), return_counts=True)
+        keep = n > PAIRS_UP_TO
+        return pa.table({"place": pa.array((found[keep] >> np.uint32(8)).astype(np.int64)), "level": pa.array(np.log2(n[keep]).astype(np.int32))})
+
+    found = saved(summary.where("bucket is not null").select("bucket", "low").groupBy("bucket").applyInArrow(count, "place long, level int"), "frequent")
+    least, total = 0, 0
+    for r in found.groupBy("level").count().orderBy(F.desc("level")).collect():
+        total += r["count"]
+        if total > FREQUENT:
+            least = r["level"] + 1
+            break
+    kept = found.where(F.col("level") >= least).toPandas()
+    return kept["place"].to_numpy(np.int64), kept["level"].to_numpy(np.uint8)
+
+
 def _levels(counts: np.ndarray) -> np.ndarray:
     """How many times (as a power of two) each sketch slot exceeds the mean slot."""
     return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / max(8.0, counts.mean())))).astype(np.uint8)
@@ -214,7 +263,7 @@ def _edges_of(token: np.ndarray, mark: np.ndarray, n: np.ndarray, rank: np.ndarr
     return mark[x].view(np.int64), mark[y].view(np.int64), n[x], n[y], star
 
 
-def candidate_edges(docs: DataFrame, counts: np.ndarray, percent: int, words: int) -> DataFrame:
+def candidate_edges(docs: DataFrame, counts: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], percent: int, words: int, buckets: int) -> DataFrame:
     """``a, b, na, nb, star``: marks of classes that share a prefix shingle.
 
     Pairs of a small region must fit in size and position; of a larger region each member
@@ -222,11 +271,12 @@ def candidate_edges(docs: DataFrame, counts: np.ndarray, percent: int, words: in
     the shingle itself, so that no hot region is gathered.
     """
     spark = docs.sparkSession
-    buckets = max(4 * partitions(spark), int(counts.sum()) // 2_000_000)
-    given = spark.sparkContext.broadcast((_levels(counts), np.flatnonzero(counts > HOT_TOKEN)))
+    given = spark.sparkContext.broadcast((_levels(counts), np.flatnonzero(counts > HOT_TOKEN), *frequent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (level, hot), held, size, seen = given.value, [], 0, set()
+        (level, hot, place, often), held, size, seen = given.value, [], 0, set()
+        known = np.zeros(PLACES, np.uint8)
+        known[place] = often
         for batch in batches:
             null = np.asarray(batch.column(0).is_null())
             for at, values, bounds in shingle_sets(batch.column(1), words):
@@ -238,7 +288,8 @@ def candidate_edges(docs: DataFrame, counts: np.ndarray, percent: int, words: in
                         seen.add(mark)
                         fresh[r] = True
                 row = np.repeat(np.arange(len(n)), n)
-                values = values[np.lexsort((values, level[_slots(values)], row))]
+                rare = np.maximum(level[_slots(values)], known[((values & _U(0xFFFFFFFF)) >> _U(8)).astype(np.int64)])
+                values = values[np.lexsort((values, rare, row))]
                 rank = np.arange(len(row)) - bounds[row]
                 keep = (rank < _prefix(n, percent)[0][row]) & fresh[row]
                 row, rank = row[keep], rank[keep]
@@ -512,16 +563,17 @@ def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, space_bytes:
     Sets link when 100 * intersection >= percent * union.
     """
     spark = docs.sparkSession
-    summary = saved(summaries(docs, words), "summaries")
+    buckets = 4 * partitions(spark)
+    summary = saved(summaries(docs, words, buckets), "summaries")
     counts = _slot_counts(summary)
-    meta = summary.where("block is null").select("doc_id", "n", "s1", "s2")
+    meta = summary.where("block is null and bucket is null").select("doc_id", "n", "s1", "s2")
     known = meta.where("n > 0 and doc_id is not null")
     classes = saved(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
 
-    edges = saved(candidate_edges(docs, counts, percent, words), "edges")
+    edges = saved(candidate_edges(docs, counts, _frequent(summary), percent, words, max(buckets, int(counts.sum()) // 2_000_000)), "edges")
     pairs = edges.where("not star")
     ends = saved(pairs.select(F.explode(F.array("a", "b")).alias("s1")).distinct().join(classes, "s1").select(F.col("s1").alias("mark"), "rep"), "pair-ends")
-    bits = summary.where("block is null and n > 0").select(F.col("doc_id").alias("rep"), "bits").join(bounded(ends), "rep").select("mark", "bits")
+    bits = summary.where("n > 0").select(F.col("doc_id").alias("rep"), "bits").join(bounded(ends), "rep").select("mark", "bits")
     plausible = _plausible(pairs, saved(bits, "parities"), percent)
     spaces = components(edges.where("star").select("a", "b").unionByName(plausible))
     members = saved(spaces.join(classes, F.col("id") == F.col("s1")).select("rep", F.col("component_id").alias("space")).distinct(), "space-members")
