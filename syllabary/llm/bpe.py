@@ -1,17 +1,19 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Frequent words and the ids they encode to are compiled into a minimal acyclic
-automaton: equal suffixes share states, and the numbers on a word's arcs add up to its
-place in a table of id lists.  Tasks map the compiled arrays from a file and walk all
-distinct words of a batch at once; a word that is not in the lexicon is merged exactly
-by the vocabulary's merge ranks.  The lexicon therefore only affects speed.
-
-Normalisation and word splitting follow the vocabulary file ``word_bpe_49k.json``
-(canonical composition, lower case, words, single digits, runs of symbols, and the two
-special strings, which are found before anything else).
+Frequent words (runs without white space, as they stand in the texts) and the ids they
+encode to are compiled into a minimal acyclic automaton: equal suffixes share states, and
+the numbers on a word's arcs add up to its place in a table of id lists.  Words are
+counted over all documents; the lexicon is compiled by a task, reaches each executor once
+as a file and is mapped into memory there.  Tasks walk all new words of a batch at once;
+a word that is not in the lexicon is merged exactly by the vocabulary's merge ranks.  The
+lexicon's size therefore only affects speed.
+
+Normalisation and splitting follow the vocabulary file ``word_bpe_49k.json`` (canonical
+composition, lower case, words, single digits, runs of symbols, and the two special
+strings, which are found before anything else).  None of it looks across white space.
 
 Defined results: null texts are empty texts; an empty text has no ids; repeated rows
-get equal results; other columns of the input are ignored.
+get equal results; a null doc_id is kept; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -19,17 +21,22 @@ from __future__ import annotations
 import hashlib
 import json
 import mmap
+import os
 import re
-import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved, shared_dir
+
 _SPACES = r"\t-\r \x85\xa0  -     　"
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _PLAIN_TEXT = re.compile("[^\x00-\x1b\x20-\x7f\xc0-įı-ɏ]")
@@ -73,6 +80,10 @@ class Vocabulary:
                 order[k - 1] = rank((parts[k - 1], parts[k]), never)
         return [self.ids[p] for p in parts if p in self.ids]
 
+    def encode(self, word: bytes) -> list[int]:
+        """Ids of a run without white space."""
+        return list(chain.from_iterable([self.special[w]] if w in self.special else self.merge(w) for w in self.words(word.decode("utf-8", "surrogatepass"))))
+
     def words(self, text: str) -> list[str]:
         """The words of a text in order; special strings stand as they are."""
         if self.split_special and "<|" in text:
@@ -98,9 +109,13 @@ def _words(text: str) -> list[str]:
     return _slow_words.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
 
 
-def compile_lexicon(entries: Iterable[tuple[str, list[int]]]) -> bytes:
-    """The minimal acyclic transducer of sorted distinct words, as one block of arrays."""
-    words = sorted((w.encode("utf-8", "surrogatepass"), ids) for w, ids in entries)
+#: The arrays of a compiled lexicon, in order.
+_ARRAYS = (("root", np.int64), ("keys", np.int64), ("targets", np.int32), ("numbers", np.int32), ("final", np.uint8), ("starts", np.int32), ("ids", np.int32))
+
+
+def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
+    """The minimal acyclic transducer of distinct words, as one block of arrays."""
+    words = sorted(entries)
     known: dict[tuple, int] = {}
     arcs: list[tuple[tuple[int, int], ...]] = []  # of each finished state: (byte, next state)
     final: list[bool] = []
@@ -124,7 +139,7 @@ def compile_lexicon(entries: Iterable[tuple[str, list[int]]]) -> bytes:
 
     last = b""
     for word, _ in words:
-        shared = next((k for k, (a, b) in enumerate(zip(word, last, strict=False)) if a != b), min(len(word), len(last)))
+        shared = len(os.path.commonprefix([word, last]))
         close(shared, last)
         path.extend([False, []] for _ in word[shared:])
         path[-1][0] = True
@@ -140,34 +155,31 @@ def compile_lexicon(entries: Iterable[tuple[str, list[int]]]) -> bytes:
             targets.append(to)
             numbers.append(before)
             before += reach[to]
-    counts = np.array([len(ids) for _, ids in words], np.int64)
-    arrays = [
-        np.array([root], np.int64), np.array(keys, np.int64), np.array(targets, np.int64), np.array(numbers, np.int64), np.array(final, np.int64),
-        np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), np.array([i for _, ids in words for i in ids], np.int64),
-    ]
-    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    starts = np.concatenate([[0], np.cumsum([len(ids) for _, ids in words])])
+    values = ([root], keys, targets, numbers, final, starts, [i for _, ids in words for i in ids])
+    arrays = [np.array(v).astype(kind) for v, (_, kind) in zip(values, _ARRAYS, strict=True)]
+    return np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() + b"\0" * (-a.nbytes % 8) for a in arrays)
 
 
 class Lexicon:
     """A compiled transducer, mapped from a file."""
 
-    def __init__(self, compiled: bytes) -> None:
-        with tempfile.TemporaryFile() as f:
-            f.write(compiled)
-            f.flush()
-            mapped = np.frombuffer(mmap.mmap(f.fileno(), len(compiled), access=mmap.ACCESS_READ), np.int64)
-        bounds = np.concatenate([[7], 7 + np.cumsum(mapped[:7])])
-        self.root, self.keys, self.targets, self.numbers, self.final, self.starts, self.ids = (mapped[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+    def __init__(self, path: str) -> None:
+        with open(path, "rb") as f:
+            mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+        at = 8 * len(_ARRAYS)
+        for (name, kind), n in zip(_ARRAYS, np.frombuffer(mapped, np.int64, len(_ARRAYS)).tolist(), strict=True):
+            setattr(self, name, np.frombuffer(mapped, kind, n, at))
+            at += -(-n * np.dtype(kind).itemsize // 8) * 8
 
-    def places(self, words: list[str]) -> np.ndarray:
+    def places(self, words: list[bytes]) -> np.ndarray:
         """Each word's place in the id table, or -1."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        sizes = np.array([len(w) for w in raw], np.int64)
-        place = np.full(len(raw), -1, np.int64)
-        if not len(raw) or not len(self.keys):
+        sizes = np.array([len(w) for w in words], np.int64)
+        place = np.full(len(words), -1, np.int64)
+        if not len(words) or not len(self.keys):
             return place
-        data, first = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes
-        live, state, number = np.arange(len(raw)), np.full(len(raw), self.root[0]), np.zeros(len(raw), np.int64)
+        data, first = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        live, state, number = np.arange(len(words)), np.full(len(words), self.root[0]), np.zeros(len(words), np.int64)
         step = 0
         while len(live):
             done = sizes[live] == step
@@ -178,7 +190,7 @@ class Lexicon:
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             found = self.keys[at] == key
             live, at = live[found], at[found]
-            state, number = self.targets[at], number[found] + self.numbers[at]
+            state, number = self.targets[at].astype(np.int64), number[found] + self.numbers[at]
             step += 1
         return place
 
@@ -186,54 +198,100 @@ class Lexicon:
         return self.ids[self.starts[place] : self.starts[place + 1]].tolist()
 
 
+def shipped(spark: SparkSession, content: bytes) -> str:
+    """Send a file of the shared folder to all executors, once for each content; returns its name."""
+    context = spark.sparkContext
+    name = f"syllabary-{hashlib.sha256(content).hexdigest()[:24]}"
+    if not any(f.endswith(name) for f in context.listFiles):
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(content))
+        out.close()
+        context.addFile(path.toString())
+    return name
+
+
+@lru_cache(4)
+def _vocabulary(name: str) -> Vocabulary:
+    with open(SparkFiles.get(name), encoding="utf-8") as f:
+        return Vocabulary(f.read())
+
+
+@lru_cache(4)
+def _lexicon(name: str) -> Lexicon:
+    return Lexicon(SparkFiles.get(name))
+
+
 class Encoder:
-    """Word results for one task; the memory of unseen words is emptied when it is full."""
+    """Results for words in one task; the memory of words is emptied when it is full."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, memory: int = 400_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, memory: int = 200_000) -> None:
         self.vocabulary, self.lexicon, self.memory = vocabulary, lexicon, memory
-        self.text: dict[str, str] = {}
-        self.shown: dict[str, str] = {}
+        self.ids: dict[bytes, list[int]] = {}
+        self.text: dict[bytes, str] = {}
+        self.shown: dict[bytes, str] = {}
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[bytes]) -> None:
         if len(self.text) > self.memory:
-            self.text.clear()
-            self.shown.clear()
+            for table in (self.ids, self.text, self.shown):
+                table.clear()
         new = [w for w in words if w not in self.text]
-        v = self.vocabulary
+        names = self.vocabulary.names
         for word, place in zip(new, self.lexicon.places(new).tolist(), strict=True):
-            ids = [v.special[word]] if word in v.special else self.lexicon.ids_at(place) if place >= 0 else v.merge(word)
+            ids = self.lexicon.ids_at(place) if place >= 0 else self.vocabulary.encode(word)
+            self.ids[word] = ids
             self.text[word] = " ".join(map(str, ids))
-            self.shown[word] = " ".join([v.names[i] for i in ids])
+            self.shown[word] = " ".join([names[i] for i in ids])
 
-    def encode(self, words: list[str]) -> tuple[int, str, str]:
+    def encode(self, words: list[bytes]) -> tuple[int, str, str]:
         """Number of ids, the ids as decimal text, and the decoded text of learnt words."""
-        if not words:
-            return 0, "", ""
-        ids = " ".join([self.text[w] for w in words])
-        return ids.count(" ") + 1, ids, " ".join([self.shown[w] for w in words])
+        ids = " ".join(filter(None, map(self.text.__getitem__, words)))
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join(filter(None, map(self.shown.__getitem__, words)))
 
 
-def frequent_words(docs: DataFrame, vocabulary: str, size: int = 1 << 18, sample: int = 16_000) -> list[str]:
-    """The most frequent words of about ``sample`` documents, ``size`` at most."""
-    total = docs.count()
-    drawn = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(total, 1))))
+def word_counts(docs: DataFrame, longest: int = 48) -> DataFrame:
+    """``word, n`` over all of ``docs(text)`` for words that occur twice at least and have ``longest`` bytes at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, counts = Vocabulary(vocabulary), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(v.words(text or ""))
-        for s in v.special:
-            counts.pop(s, None)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        counts: Counter[bytes] = Counter()
 
-    counted = drawn.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()]
+        def out() -> pa.RecordBatch:
+            rows = [(w, n) for w, n in counts.items() if len(w) <= longest]
+            counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()).to_pylist():
+                counts.update((text or b"").split())
+                if len(counts) > 300_000:
+                    yield out()
+        yield out()
+
+    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+
+
+def build_lexicon(docs: DataFrame, vocabulary: str, size: int = 1 << 16) -> bytes:
+    """A lexicon of the most frequent words of all documents, ``size`` at most."""
+    name = shipped(docs.sparkSession, vocabulary.encode())
+    counted = saved(word_counts(docs), "word-counts").withColumn("level", F.floor(8 * F.log2("n")).cast("int"))
+    least, total = 0, 0
+    for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # 512 levels at most
+        total += r["count"]
+        if total > size:
+            least = r["level"] + 1
+            break
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _vocabulary(name)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.encode(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
 
+    def compiled(part: pa.Table) -> pa.Table:  # ``size`` rows at most
+        return pa.table({"lexicon": pa.array([compile_lexicon(zip(part.column("word").to_pylist(), part.column("ids").to_pylist(), strict=True))], pa.binary())})
 
-def build_lexicon(docs: DataFrame, vocabulary: str, **limits: int) -> bytes:
-    v = Vocabulary(vocabulary)
-    return compile_lexicon((w, v.merge(w)) for w in frequent_words(docs, vocabulary, **limits))
+    entries = counted.where(F.col("level") >= least).select("word").mapInArrow(encode, "word binary, ids array<int>")
+    found = entries.groupBy(F.lit(0).alias("all")).applyInArrow(compiled, "lexicon binary").first()
+    return found["lexicon"] if found else compile_lexicon([])
 
 
 def read_vocabulary(path: str | None = None) -> str:
@@ -255,20 +313,19 @@ def encode_decode(docs: DataFrame, vocabulary: str, lexicon: bytes, texts: bool
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 6 if texts else 4]
-    context = docs.sparkSession.sparkContext
-    given = context.broadcast((vocabulary, lexicon))
+    given = [shipped(docs.sparkSession, content) for content in (vocabulary.encode(), bytes(lexicon))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(given.value[0]), Lexicon(given.value[1]))
+        encoder = Encoder(_vocabulary(given[0]), _lexicon(given[1]))
         for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+            for part in (batch.slice(k, 128) for k in range(0, batch.num_rows, 128)):
                 rows = []
-                split = [encoder.vocabulary.words(text or "") for text in part.column(1).to_pylist()]
+                split = [(text or b"").split() for text in part.column(1).cast(pa.binary()).to_pylist()]
                 encoder.learn(set().union(*split))
                 for i, words in zip(part.column(0).to_pylist(), split, strict=True):
                     n, ids, decoded = encoder.encode(words)
                     sha = hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-                    rows.append((i, n, *sha, *([[int(x) for x in ids.split()], decoded] if texts else [])))
+                    rows.append((i, n, *sha, *([np.fromiter(chain.from_iterable(map(encoder.ids.__getitem__, words)), np.int32, n), decoded] if texts else [])))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
@@ -277,9 +334,10 @@ def encode_decode(docs: DataFrame, vocabulary: str, lexicon: bytes, texts: bool
 
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """Texts of ``encoded(doc_id, ids array<int>)``: the tokens joined by spaces."""
+    name = shipped(encoded.sparkSession, vocabulary.encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Vocabulary(vocabulary).names
+        names = _vocabulary(name).names
         for batch in batches:
             texts = [" ".join([names[i] for i in ids or () if i in names]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
