@@ -11,31 +11,11 @@ dropped by language and rate only: they neither link with others nor lose passag
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from syllabary.llm import bpe, jaccard, language_id, mixing, substrings
-from syllabary.llm.common import partitions, saved
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Add ``__key``, one number a distinct (doc_id, text) in the order of doc_id; null where doc_id is null.
-
-    It is the doc_id itself where no two texts share one.
-    """
-    ids = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("__mark"))
-    if ids.groupBy("doc_id").agg(F.min("__mark").alias("lo"), F.max("__mark").alias("hi")).where("lo < hi").isEmpty():
-        return docs.withColumn("__key", F.col("doc_id"))
-    spark = docs.sparkSession
-    dealt = saved(ids.distinct().repartitionByRange(partitions(spark), "doc_id", "__mark").withColumn("part", F.spark_partition_id()), "row-keys")
-    sizes = sorted((r["part"], r["count"]) for r in dealt.groupBy("part").count().collect())
-    starts = zip([p for p, _ in sizes], accumulate([0] + [n for _, n in sizes[:-1]]), strict=True)
-    within = F.row_number().over(Window.partitionBy("part").orderBy("doc_id", "__mark"))
-    keys = dealt.withColumn("within", within).join(F.broadcast(spark.createDataFrame(list(starts), "part int, start long")), "part")
-    keys = keys.select("doc_id", "__mark", (F.col("start") + F.col("within")).alias("__key"))
-    return saved(docs.withColumn("__mark", F.xxhash64("text")).join(keys, ["doc_id", "__mark"], "left").drop("__mark"), "keyed")
+from syllabary.llm.common import keyed, saved
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the smallest doc_id of each group of linked documents."""
-    rows = _keyed(docs)
+    rows = keyed(docs)
     groups = jaccard.near_groups(rows.select(F.col("__key").alias("doc_id"), "text"))
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
     return rows.join(gone, "__key", "left_anti").select(*docs.columns)
@@ -55,7 +35,7 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out passages that an earlier document has; documents left without words go."""
-    rows = _keyed(docs)
+    rows = keyed(docs)
     known = rows.where("__key is not null")
     found = substrings.remove_repeats(known.select(F.col("__key").alias("doc_id"), "text"), texts=True).where("n_removed < n_words or n_words = 0")
     found = found.select(F.col("doc_id").alias("__key"), F.col("kept_text").alias("__text")).dropDuplicates(["__key"])

@@ -1,20 +1,22 @@
 """Repeated passages: windows of consecutive words that also start in an earlier document.
 
-Suffixes (word positions) are cut at the window length.  A first pass keeps those that
-can repeat: every window of words holds a smallest 10-word prefix fingerprint, equal
-windows hold equal ones, and only windows whose smallest prefix occurs in two documents
-go on.  Those suffixes are split by their smallest prefix, which chooses the group; the two
-halves of the window are the path below it, so a group is a shallow suffix tree whose
-nodes at full depth are the repeats.  The pass counts windows too: the number of groups
-follows their count, and a prefix with very many windows is split further by the halves
-below it.  Tasks fold equal suffixes before sending (a passage that very many
-documents share reaches its group once a task), and each full-depth node gives every
-suffix in it the smallest document that has it.
-
-Half fingerprints have 64 bits each; a window counts as equal when both halves do.
+Suffixes (word positions) are cut at the window length and sorted into prefix-partitioned
+suffix trees.  A first pass keeps those that can repeat: every window holds a smallest
+16-word fingerprint, equal windows hold equal ones, and only windows whose smallest one
+occurs in two documents go on.  A second pass counts the prefixes of 1, 2, 4, ... words of
+these in slots; a suffix's own prefix is the shortest whose slot is small enough for a
+group in memory, so common beginnings are split by longer prefixes and rare ones are not.
+In a group, suffixes are sorted by their path below the prefix; an inner node at full
+depth is a repeat and gives every suffix in it the smallest document that has it.
+Neighbouring repeats of a document make up its maximal repeated passages (``spans``).
+
+Paths are fingerprints: two of 64 bits, over the first and the last 32 words of the
+window, stand for its words.  Tasks fold equal suffixes before sending, so a passage that
+very many documents share reaches its group once a task.
 
 Defined results: null texts have no words; rows with a null doc_id neither lose words
-nor cause others to; rows that share a doc_id count as one document; other columns are
+nor cause others to; rows that share doc_id and text get equal results; texts that share
+a doc_id count as documents of their own, in the order of a hash; other columns are
 ignored.
 """
 
@@ -29,10 +31,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
-from .tokens import gram_hashes, text_chunks, word_hashes, word_spans
+from .common import bounded, keyed, partitions, saved
+from .tokens import doubled, text_chunks, word_hashes, word_spans
 
-PREFIX = 10
+ANCHOR = 16
+BROADCAST_ANCHORS = 2_000_000
 _U = np.uint64
 
 
@@ -47,7 +50,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _windows(column: pa.Array, window: int) -> Iterator[tuple]:
-    """Yield (first row, rows, row and position of each window, its smallest prefix, its two halves)."""
+    """Yield (first row, rows, row and position of each window, its anchor, its prefixes of 1, 2, 4, ... words, its path)."""
     for at, to, data, off in text_chunks(column):
         starts, ends, first = word_spans(data, off)
         words = word_hashes(data, starts, ends)
@@ -56,38 +59,47 @@ def _windows(column: pa.Array, window: int) -> Iterator[tuple]:
             continue
         row = np.repeat(np.arange(to - at), np.diff(first))
         inside = np.flatnonzero(row[:n] == row[window - 1 :])
-        least = _sliding_min(gram_hashes(words, PREFIX), window - PREFIX + 1)
-        half = gram_hashes(words, window // 2)
-        yield at, to, row[inside], (inside - first[row[inside]]).astype(np.int32), least[inside], half[inside], half[inside + window - window // 2]
+        if not len(inside):
+            continue
+        grams, size = [words], 1
+        while size * 2 <= window:
+            grams.append(doubled(grams[-1], size))
+            size *= 2
+        short = min(ANCHOR, size)
+        anchor = _sliding_min(grams[short.bit_length() - 1], window - short + 1)
+        yield at, to, row[inside], (inside - first[row[inside]]).astype(np.int32), anchor[inside], [g[inside] for g in grams], grams[-1][inside + window - size]
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    """``doc_id, anchor, n``: smallest prefixes of each document and the windows around them."""
+    """``doc_id, anchor, n``: smallest fingerprints of each document and the windows around them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            for at, _, row, _, least, _, _ in _windows(batch.column(1), window):
-                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (least[1:] != least[:-1]))[: len(row)])
+            for at, _, row, _, anchor, _, _ in _windows(batch.column(1), window):
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])))
                 n = np.diff(np.append(new, len(row)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[new]]), pa.array(least[new].view(np.int64)), pa.array(n)], ["doc_id", "anchor", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[new]]), pa.array(anchor[new].view(np.int64)), pa.array(n)], ["doc_id", "anchor", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, anchor long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, anchor long, n long")
 
 
-def _shared_anchors(docs: DataFrame, window: int, group_rows: int) -> tuple[DataFrame, int]:
-    """``doc_id, anchors, wide`` and the number of windows around the anchors.
+def _candidates(docs: DataFrame, window: int) -> tuple[DataFrame, int, np.ndarray | None]:
+    """Documents with a shared anchor, the number of windows around such anchors, and the anchors.
 
-    Anchors are a document's smallest prefixes that another document has too; those in
-    ``wide`` have more windows than an eighth of a group's rows.
+    With more than ``BROADCAST_ANCHORS`` of them each document comes with its own shared
+    anchors in ``anchors`` instead.
     """
-    found = _anchors(docs, window)
+    found = saved(_anchors(docs, window), "anchors")
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("anchor", "n")
     shared = saved(shared, "shared-anchors")
-    windows = shared.agg(F.sum("n")).first()[0] or 0
-    wide = F.collect_set(F.when(F.col("n") > group_rows // 8, F.col("anchor")))
-    own = found.select("doc_id", "anchor").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), wide.alias("wide"))
-    return own, windows
+    size = shared.agg(F.count("*").alias("k"), F.sum("n").alias("n")).first()
+    if size["k"] <= BROADCAST_ANCHORS:
+        marks = np.sort(shared.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(_U))
+        ids = saved(found.join(F.broadcast(shared.select("anchor")), "anchor", "left_semi").select("doc_id").distinct(), "candidate-ids")
+        return docs.join(bounded(ids), "doc_id", "left_semi").withColumn("anchors", F.lit(None).cast("array<long>")), size["n"] or 0, marks
+    own = found.select("doc_id", "anchor").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    return saved(docs.join(own, "doc_id"), "candidates"), size["n"] or 0, None
 
 
 def _fold(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,12 +119,54 @@ def _packed(key: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, l
         yield int(key[a]), [c[a:b].tobytes() for c in columns]
 
 
-def _sent(candidates: DataFrame, window: int, groups: int, limit: int = 2_000_000) -> DataFrame:
-    """Packed windows of ``candidates(doc_id, text, anchors, wide)`` by group (``bucket``), folded by task."""
+def _open_windows(batch: pa.RecordBatch, window: int, marks: np.ndarray | None) -> Iterator[tuple]:
+    """Ids, positions, prefixes and path end of the windows of ``batch(doc_id, text, anchors)`` around shared anchors."""
+    ids, lists = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False), batch.column(2)
+    for at, _, row, pos, anchor, grams, tail in _windows(batch.column(1), window):
+        if marks is not None:
+            keep = marks[np.minimum(np.searchsorted(marks, anchor), len(marks) - 1)] == anchor if len(marks) else np.zeros(len(anchor), bool)
+        else:
+            keep, cut = np.zeros(len(row), bool), np.searchsorted(row, np.arange(row[-1] + 2))
+            for r in np.flatnonzero(np.diff(cut)).tolist():
+                own = np.sort(lists[at + r].values.to_numpy().view(_U))
+                mine = anchor[cut[r] : cut[r + 1]]
+                keep[cut[r] : cut[r + 1]] = own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine
+        yield ids[at + row[keep]], pos[keep], [g[keep] for g in grams], tail[keep]
+
+
+def _heavy_prefixes(candidates: DataFrame, window: int, marks: np.ndarray | None, slots: int, most: int) -> list[np.ndarray]:
+    """For each prefix length, the slots with more than ``most`` windows."""
+    given, levels = candidates.sparkSession.sparkContext.broadcast(marks), window.bit_length()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((levels, slots), np.int64)
+        for batch in batches:
+            for _, _, grams, _ in _open_windows(batch, window, given.value):
+                for k, g in enumerate(grams):
+                    counts[k] += np.bincount((g & _U(slots - 1)).astype(np.int64), minlength=slots)
+        level, slot = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(slot), pa.array(counts[level, slot])], ["level", "slot", "n"])
+
+    found = candidates.select("doc_id", "text", "anchors").mapInArrow(run, "level int, slot long, n long").groupBy("level", "slot").agg(F.sum("n").alias("n")).where(F.col("n") > most).collect()
+    return [np.array(sorted(r["slot"] for r in found if r["level"] == k), np.int64) for k in range(levels)]
+
+
+def _groups_of(grams: list[np.ndarray], tail: np.ndarray, heavy: list[np.ndarray], slots: int) -> np.ndarray:
+    """Fingerprint of each window's shortest prefix that is not heavy; of the whole window if all are."""
+    key = grams[-1] * _U(0x9E3779B97F4A7C15) ^ tail
+    for g, full in reversed(list(zip(grams, heavy, strict=True))):
+        light = ~np.isin((g & _U(slots - 1)).astype(np.int64), full) if len(full) else np.ones(len(g), bool)
+        key = np.where(light, g, key)
+    return key
+
+
+def _sent(candidates: DataFrame, window: int, marks: np.ndarray | None, heavy: list[np.ndarray], slots: int, groups: int, limit: int = 1_500_000) -> DataFrame:
+    """Packed windows of ``candidates`` by group (``bucket``), folded by task."""
     names = ["bucket", "doc_id", "starts", "ids", "one", "two"]
     types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    given = candidates.sparkSession.sparkContext.broadcast((marks, heavy))
 
-    def send(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray, prefix: np.ndarray, wide: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def send(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray, prefix: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, least = _fold(ids, pos, one, two)
         later = ids[order] > least
         rows = []
@@ -121,9 +175,7 @@ def _sent(candidates: DataFrame, window: int, groups: int, limit: int = 2_000_00
         for doc, (starts,) in _packed(ids[gone], [pos[gone]]):
             rows.append((doc % groups, doc, starts, None, None, None))
         kept = order[~later]
-        key = prefix[kept]  # windows around one prefix stay together, equal windows of a wide prefix do
-        key = np.where(wide[kept], key ^ (one[kept] * _U(0x9E3779B97F4A7C15) + two[kept] * _U(0xC2B2AE3D27D4EB4F)), key)
-        bucket = ((key >> _U(3)) % _U(groups)).astype(np.int32)
+        bucket = ((prefix[kept] >> _U(20)) % _U(groups)).astype(np.int32)
         by = np.lexsort((pos[kept], ids[kept], bucket))
         kept, bucket = kept[by], bucket[by]
         for b, (starts, docs_, x, y) in _packed(bucket, [pos[kept], ids[kept], one[kept], two[kept]]):
@@ -133,28 +185,18 @@ def _sent(candidates: DataFrame, window: int, groups: int, limit: int = 2_000_00
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        size, (marks, heavy) = 0, given.value
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            bounds, anchors = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)
-            widest = np.unique(batch.column(3).values.to_numpy().view(_U))
-            for at, to, row, pos, least, one, two in _windows(batch.column(1), window):
-                keep = np.zeros(len(row), bool)
-                cut = np.searchsorted(row, np.arange(to - at + 1))
-                for r in np.flatnonzero(np.diff(cut)).tolist():
-                    own = np.sort(anchors[bounds[at + r] : bounds[at + r + 1]])
-                    mine = least[cut[r] : cut[r + 1]]
-                    keep[cut[r] : cut[r + 1]] = own[np.minimum(np.searchsorted(own, mine), len(own) - 1)] == mine
-                held.append((ids[at + row[keep]], pos[keep], one[keep], two[keep], least[keep], np.isin(least[keep], widest)))
-                size += int(keep.sum())
+            for ids, pos, grams, tail in _open_windows(batch, window, marks):
+                held.append((ids, pos, grams[-1], tail, _groups_of(grams, tail, heavy, slots)))
+                size += len(ids)
                 if size > limit:
-                    yield from send(*(np.concatenate([h[k] for h in held]) for k in range(6)))
+                    yield from send(*(np.concatenate([h[k] for h in held]) for k in range(5)))
                     held, size = [], 0
         if held:
-            yield from send(*(np.concatenate([h[k] for h in held]) for k in range(6)))
+            yield from send(*(np.concatenate([h[k] for h in held]) for k in range(5)))
 
-    return candidates.select("doc_id", "text", "anchors", "wide").mapInArrow(run, "bucket int, doc_id long, starts binary, ids binary, one binary, two binary")
+    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "bucket int, doc_id long, starts binary, ids binary, one binary, two binary")
 
 
 def _later_starts(sent: DataFrame) -> DataFrame:
@@ -178,7 +220,7 @@ def _later_starts(sent: DataFrame) -> DataFrame:
 
 
 def _cover(docs: DataFrame, window: int, texts: bool) -> DataFrame:
-    """Results of ``docs(doc_id, text, starts)``; starts may be null."""
+    """Results of ``docs(id, text, starts)``; starts may be null."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<struct<first:int,last:int>>" * texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,23 +246,24 @@ def _cover(docs: DataFrame, window: int, texts: bool) -> DataFrame:
                     rows.append(out)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], [f.split()[0] for f in schema.split(", ")])
 
-    return docs.select("doc_id", "text", "starts").mapInArrow(run, schema)
+    return docs.select("id", "text", "starts").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, texts: bool = False, group_rows: int = 400_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, texts: bool = False, group_rows: int = 2_000_000) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` for each row of ``docs(doc_id, text)``.
 
     With ``texts`` also kept_text (the text itself where nothing was removed, else the
-    kept words joined by spaces) and the removed spans of words.  There are enough groups
-    for ``group_rows`` windows in each.
+    kept words joined by spaces) and the removed spans of words.  ``group_rows`` bounds
+    the windows of a group.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    anchors, windows = _shared_anchors(rows.where(F.col("doc_id").isNotNull()), window, group_rows)
-    anchors = saved(anchors, "anchors")
-    candidates = saved(rows.join(anchors, "doc_id"), "candidates")
-    starts = _later_starts(_sent(candidates, window, max(4 * partitions(docs.sparkSession), -(-windows // group_rows))))
-    some = _cover(candidates.select("doc_id", "text").join(starts, "doc_id", "left"), window, texts)
-    rest = rows.join(anchors.select("doc_id"), "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("array<binary>"))
+    rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select(F.col("__key").alias("doc_id"), "text", F.col("doc_id").alias("id"))
+    candidates, windows, marks = _candidates(rows.where(F.col("doc_id").isNotNull()), window)
+    slots = 1 << max(12, (32 * windows // group_rows).bit_length())
+    heavy = _heavy_prefixes(candidates, window, marks, slots, group_rows // 4)
+    starts = saved(_later_starts(_sent(candidates, window, marks, heavy, slots, max(4 * partitions(docs.sparkSession), 4 * windows // group_rows))), "starts")
+    touched = bounded(starts.select("doc_id"))
+    some = _cover(rows.join(touched, "doc_id", "left_semi").join(starts, "doc_id"), window, texts)
+    rest = rows.join(touched, "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("array<binary>"))
     return some.unionByName(_cover(rest, window, texts))
 
 
