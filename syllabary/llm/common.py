@@ -54,6 +54,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return saved(docs.withColumn("__mark", F.xxhash64("text")).join(keys, ["doc_id", "__mark"], "left").drop("__mark"), "keyed")
 
 
+def attach(rows: DataFrame, classes: DataFrame, key: list[str], copies: str) -> DataFrame:
+    """Join each row with its class, where few classes may hold most rows.
+
+    ``copies`` is a class's number of rows.  Classes with more than a ten-thousandth of
+    all rows, at most 10,000, are broadcast; the others are joined by shuffling.
+    """
+    each = max(1, (classes.agg(F.sum(copies)).first()[0] or 0) // 10_000)
+    hot = F.broadcast(classes.where(F.col(copies) > each))
+    mine = rows.join(F.broadcast(hot.select(*key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(mine.join(classes.where(F.col(copies) <= each), key))
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -2,18 +2,21 @@
 
 Equal vectors are first folded into one.  Each tree splits at random hyperplanes; the
 split values are medians of a bounded sample of vectors, and vectors near a split go to
-both sides (spill).  Vectors that share a leaf of some tree are compared by cosine in
-double precision, and linked pairs are united.  A leaf that is larger than ``leaf_rows``
-is split again by further random hyperplanes before it is compared, at spill wide
-enough to lose no link.
-
-A pair that meets in several trees is counted in the first of them only, so pairs need
-not be gathered: leaves send each vector's number of new partners and a spanning set of
-links.
-
-Defined results: vectors that are null or zero, or hold null or non-finite components,
-or differ in length from the most common one, link with nothing; equal vectors link
-with each other; repeated ids count as separate vectors with one result a row.
+both sides (spill; its width follows the link radius and the square root of the
+dimension, as the projections' differences do).  Vectors that share a leaf of some tree
+are compared by cosine in double precision, and linked pairs are united.  A leaf with
+more than ``4 * leaf_rows`` vectors is dealt into blocks, and every two blocks are
+compared by a task of their own.
+
+A pair that meets in several leaves is counted in the first of them only: a task finds the
+earlier leaves of its vectors again instead of having them sent.  Leaves
+send each vector's number of new partners and a spanning set of links, never pairs.
+
+Defined results: vectors that are null, empty or zero, or hold null or non-finite
+components, link with nothing; only vectors of equal length can link; components may be
+as small or large as doubles are, as each vector is scaled by its largest one first;
+every row has its own result, also where vec_id is null or repeated; equal vectors link
+with each other; a component's id is the smallest vec_id in it, null if it has none.
 """
 
 from __future__ import annotations
@@ -21,21 +24,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import attach, bounded, saved
 from .graph import components
 
+_SHIFT = 32
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """Rows of ``vectors(vec_id, embedding)`` that can link."""
-    v = F.col("embedding")
-    sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    kept = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(sound)
-    size = kept.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return kept.where(F.size("embedding") == (size["n"] if size else 0))
+
+def unit_vectors(vectors: DataFrame) -> DataFrame:
+    """``vec_id, k1, k2, unit`` of ``vectors(vec_id, embedding)``: keys of equal vectors, and the vector at length one; null where it cannot link."""
+    v = F.col("v")
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = rows.withColumn("v", F.when(v.isNotNull() & sound, F.transform(v, lambda x: x + F.lit(0.0))))
+    rows = rows.withColumn("scaled", F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs))))
+    rows = rows.withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)))
+    keys = (F.when(v.isNotNull(), k) for k in (F.xxhash64(v), F.xxhash64(F.lit(6), v, F.size(v))))
+    return rows.select("vec_id", *(k.alias(n) for k, n in zip(keys, ("k1", "k2"), strict=True)), F.transform("scaled", lambda x: x / F.col("norm")).alias("unit"))
 
 
 def grow(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -93,14 +101,6 @@ def linked_pairs(v: np.ndarray, threshold: float, leaf_rows: int, seed: int = 1)
             yield order[i[sure]], order[j[sure]]
 
 
-def _padded(lists: list[list[int]]) -> np.ndarray:
-    """Leaf numbers, then negative values."""
-    out = np.full((len(lists), max(map(len, lists), default=0)), -(1 << 62), np.int64)
-    for row, found in zip(out, lists, strict=True):
-        row[: len(found)] = found
-    return out
-
-
 def _spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     """Unite pairs in ``root`` (each row's smallest row so far); returns the links that joined two sets."""
     joined = []
@@ -119,70 +119,103 @@ def _spanning(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int,
     return joined
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = 6, spill: float = 0.03, leaf_rows: int = 512, sample: int = 20_000, seed: int = 7) -> DataFrame:
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _met_before(v: np.ndarray, forest: list[tuple[np.ndarray, np.ndarray]], spill: float, tree: int, leaf: int) -> list[np.ndarray]:
+    """For each tree up to ``tree``, which of its leaves (of the last one, those below ``leaf``) hold which rows (rows x leaves, 0 or 1)."""
+    out = []
+    for t in range(tree + 1):
+        found = leaves_of(v, [forest[t]], spill)
+        if t == tree:
+            found = [[x for x in own if x < leaf] for own in found]
+        row = np.repeat(np.arange(len(v)), [len(x) for x in found])
+        known, at = np.unique(np.array([k for x in found for k in x], np.int64), return_inverse=True)
+        held = np.zeros((len(v), len(known)), bool)
+        held[row, at] = True
+        out.append(held)
+    return out
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, trees: int = 6, spill: float = 0.4, leaf_rows: int = 512, sample: int = 50_000, seed: int = 7) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors(vec_id, embedding)``.
 
     ``sample`` bounds the vectors on which the trees are fitted; all are then placed.
+    ``spill`` is in units of the link radius over the square root of the dimension.
     """
     spark = vectors.sparkSession
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    sound = saved(usable(vectors), "vectors")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    unit = sound.withColumn("key", F.sha2(F.to_json(F.struct("embedding")), 256))
-    folded = unit.groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
-    folded = saved(folded.withColumn("unit", F.transform("embedding", lambda x: x / norm)).drop("embedding"), "unit-vectors")
-    total = folded.count()
-    rest = ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not total:
-        return rest.withColumn("kept", F.lit(True))
-    drawn = folded.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total))).select("unit").limit(2 * sample).toPandas()
-    fit = np.array(drawn["unit"].tolist(), np.float64) if len(drawn) else np.eye(1)
-    depth = max(0, int(np.ceil(np.log2(max(1, total) / leaf_rows))))
-    if fit.shape[0] < 2:
-        depth = 0
-    given = spark.sparkContext.broadcast(grow(fit, trees, min(depth, max(0, len(fit).bit_length() - 2)), spill, seed))
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = np.array(part["unit"].tolist(), np.float64).reshape(len(part), -1)
-            part["leaves"] = leaves_of(rows, given.value, spill) if len(part) else []
-            yield part
-
-    placed = folded.select("id", "copies", "unit").mapInPandas(place, "id long, copies long, unit array<double>, leaves array<long>")
-    in_leaf = placed.select("id", "copies", "unit", "leaves", F.explode("leaves").alias("leaf"))
-
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(part["unit"].tolist(), np.float64).reshape(len(part), -1)
-        tree = key[0] >> 32
-        met = [_padded([[x for x in leaves if x >> 32 == t and x < key[0]] for leaves in part["leaves"]]) for t in range(tree + 1)]
-        copies, number, root = part["copies"].to_numpy(), np.zeros(len(part), np.int64), np.arange(len(part))
+    rows = unit_vectors(vectors)
+    sound = rows.where("k1 is not null")
+    folded = sound.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    folded = saved(folded.withColumn("node", F.monotonically_increasing_id()), "unit-vectors")
+    sizes = {r["d"]: r["count"] for r in folded.groupBy(F.size("unit").alias("d")).count().collect()}
+    total = sum(sizes.values())
+    drawn = folded.where(F.pmod(F.xxhash64("k1", F.lit(6)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, total)))).select("unit").limit(2 * sample)
+    fit: dict[int, list] = {}
+    for (x,) in zip(drawn.toArrow().column("unit").to_pylist(), strict=True) if total else ():
+        fit.setdefault(len(x), []).append(x)
+    radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    forests = {}
+    for d, n in sorted(sizes.items()):
+        depth = min(max(0, int(np.ceil(np.log2(n / leaf_rows)))), max(0, len(fit.get(d, ())).bit_length() - 3))
+        forests[d] = (len(forests), spill * radius / d**0.5, grow(np.array(fit.get(d, np.zeros((1, d))), np.float64).reshape(-1, d), trees, depth, spill * radius / d**0.5, seed))
+    given = spark.sparkContext.broadcast(forests)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            length = column.value_lengths().to_numpy(zero_copy_only=False)
+            leaves: list[list[int]] = [[]] * len(column)
+            for d in np.unique(length).tolist():
+                number, width, forest = given.value[d]
+                at = np.flatnonzero(length == d)
+                for k, found in zip(at.tolist(), leaves_of(_matrix(column.take(pa.array(at))), forest, width), strict=True):
+                    leaves[k] = [(number * trees << _SHIFT) + x for x in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["node", "copies", "unit", "leaves"])
+
+    placed = folded.select("node", "copies", "unit").mapInArrow(place, "node long, copies long, unit array<double>, leaves array<long>")
+    blocks = placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().where(F.col("count") > 4 * leaf_rows)
+    blocks = saved(blocks.select("leaf", F.ceil(F.col("count") / (2 * leaf_rows)).cast("int").alias("blocks")), "large-leaves")
+    in_leaf = placed.select("node", "copies", "unit", F.explode("leaves").alias("leaf")).join(bounded(blocks), "leaf", "left")
+    own = F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.lit(0))
+    in_leaf = in_leaf.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("blocks").isNotNull(), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
+    in_leaf = in_leaf.select("leaf", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "copies", "unit")
+
+    def compare(key: tuple, part: pa.Table) -> pa.Table:
+        v = _matrix(part.column("unit").combine_chunks())
+        low, high = key[1].as_py(), key[2].as_py()
+        side = part.column("own").to_numpy() == low
+        _, width, forest = given.value[v.shape[1]]
+        tree, leaf = key[0].as_py() >> _SHIFT, key[0].as_py() & (1 << _SHIFT) - 1
+        met = _met_before(v, forest, width, tree % trees, leaf)
+        copies, number, root = part.column("copies").to_numpy(), np.zeros(len(v), np.int64), np.arange(len(v))
         joined = []
         for i, j in linked_pairs(v, threshold, leaf_rows):
+            if low != high:  # pairs within a block are compared by its own task
+                across = side[i] != side[j]
+                i, j = i[across], j[across]
             new = np.ones(len(i), bool)
-            for m in met:
-                at = np.flatnonzero(new)
-                new[at] = ~((m[i[at]][:, :, None] == m[j[at]][:, None, :]) & (m[i[at]][:, :, None] >= 0)).any((1, 2))
+            for held in met:
+                new &= ~(held[i] & held[j]).any(axis=1)
             np.add.at(number, i[new], copies[j[new]])
             np.add.at(number, j[new], copies[i[new]])
             joined += _spanning(root, i, j)
-        ident = part["id"].to_numpy()
+        ident = part.column("node").to_numpy()
         found = np.flatnonzero(number)
-        return pd.DataFrame(
-            {
-                "a": np.concatenate([ident[found], ident[[a for a, _ in joined]].astype(np.int64)]),
-                "b": np.concatenate([np.full(len(found), -1), ident[[b for _, b in joined]].astype(np.int64)]),
-                "n": np.concatenate([number[found], np.full(len(joined), -1)]),
-            }
-        )
-
-    found = saved(in_leaf.groupBy("leaf").applyInPandas(compare, "a long, b long, n long"), "vector-links")
-    counts = found.where("n >= 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    groups = components(found.where("n < 0").select("a", "b"))
-    heads = folded.join(counts, "id", "left").join(groups, "id", "left")
-    heads = heads.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    linked = unit.select("vec_id", "key").join(heads, "key").select("vec_id", "n_links", "component_id")
-    both = linked.unionByName(ids.join(sound.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        links = np.array(joined, np.int64).reshape(-1, 2)
+        columns = ((ident[found], ident[links[:, 0]]), (np.full(len(found), -1), ident[links[:, 1]]), (number[found], np.full(len(links), -1)))
+        return pa.table({k: pa.array(np.concatenate(c).astype(np.int64)) for k, c in zip("abn", columns, strict=True)})
+
+    found = saved(in_leaf.groupBy("leaf", "low", "high").applyInArrow(compare, "a long, b long, n long"), "vector-links")
+    counts = found.where("n >= 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    groups = components(found.where("n < 0").select("a", "b")).select(F.col("id").alias("node"), F.col("component_id").alias("root"))
+    heads = folded.drop("unit").join(counts, "node", "left").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = heads.groupBy("root").agg(F.min("id").alias("component_id"))
+    heads = heads.join(least, "root").select("k1", "k2", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = attach(sound.select("vec_id", "k1", "k2"), saved(heads, "vector-classes"), ["k1", "k2"], "copies").select("vec_id", "n_links", "component_id")
+    alone = rows.where("k1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
