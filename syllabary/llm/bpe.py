@@ -1,10 +1,10 @@
 """BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Frequent words (runs without white space, as they stand in the texts) and the ids they
-encode to are compiled into a minimal acyclic automaton: equal suffixes share states, and
+Frequent words and the ids they encode to are compiled into a minimal acyclic automaton: equal suffixes share states, and
 the numbers on a word's arcs add up to its place in a table of id lists.  Words are
 counted over all documents; the lexicon is compiled by a task, reaches each executor once
-as a file and is mapped into memory there.  Tasks walk all new words of a batch at once;
+as a file and is mapped into memory there.  Tasks split each distinct run without white
+space into words once, and walk all new words of a batch at once;
 a word that is not in the lexicon is merged exactly by the vocabulary's merge ranks.  The
 lexicon's size therefore only affects speed.
 
@@ -80,9 +80,8 @@ class Vocabulary:
                 order[k - 1] = rank((parts[k - 1], parts[k]), never)
         return [self.ids[p] for p in parts if p in self.ids]
 
-    def encode(self, word: bytes) -> list[int]:
-        """Ids of a run without white space."""
-        return list(chain.from_iterable([self.special[w]] if w in self.special else self.merge(w) for w in self.words(word.decode("utf-8", "surrogatepass"))))
+    def encode(self, word: str) -> list[int]:
+        return [self.special[word]] if word in self.special else self.merge(word)
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; special strings stand as they are."""
@@ -223,57 +222,74 @@ def _lexicon(name: str) -> Lexicon:
 
 
 class Encoder:
-    """Results for words in one task; the memory of words is emptied when it is full."""
+    """Results for runs without white space and for their words in one task; both memories are emptied when full."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, memory: int = 200_000) -> None:
+    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon, memory: int = 500_000) -> None:
         self.vocabulary, self.lexicon, self.memory = vocabulary, lexicon, memory
-        self.ids: dict[bytes, list[int]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
         self.text: dict[bytes, str] = {}
         self.shown: dict[bytes, str] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.text) > self.memory:
-            for table in (self.ids, self.text, self.shown):
-                table.clear()
-        new = [w for w in words if w not in self.text]
+    def _learn_words(self, new: list[str]) -> None:
         names = self.vocabulary.names
-        for word, place in zip(new, self.lexicon.places(new).tolist(), strict=True):
+        for word, place in zip(new, self.lexicon.places([w.encode("utf-8", "surrogatepass") for w in new]).tolist(), strict=True):
             ids = self.lexicon.ids_at(place) if place >= 0 else self.vocabulary.encode(word)
-            self.ids[word] = ids
-            self.text[word] = " ".join(map(str, ids))
-            self.shown[word] = " ".join([names[i] for i in ids])
-
-    def encode(self, words: list[bytes]) -> tuple[int, str, str]:
-        """Number of ids, the ids as decimal text, and the decoded text of learnt words."""
-        ids = " ".join(filter(None, map(self.text.__getitem__, words)))
-        return ids.count(" ") + 1 if ids else 0, ids, " ".join(filter(None, map(self.shown.__getitem__, words)))
-
+            self.words[word] = " ".join(map(str, ids)), " ".join([names[i] for i in ids])
 
-def word_counts(docs: DataFrame, longest: int = 48) -> DataFrame:
-    """``word, n`` over all of ``docs(text)`` for words that occur twice at least and have ``longest`` bytes at most."""
+    def learn(self, runs: set[bytes]) -> None:
+        if len(self.text) > self.memory:
+            self.text.clear()
+            self.shown.clear()
+        if len(self.words) > self.memory:
+            self.words.clear()
+        new = [r for r in runs if r not in self.text]
+        split = [self.vocabulary.words(r.decode("utf-8", "surrogatepass")) for r in new]
+        self._learn_words([w for w in set(chain.from_iterable(split)) if w not in self.words])
+        for run, words in zip(new, split, strict=True):
+            if len(words) == 1:
+                self.text[run], self.shown[run] = self.words[words[0]]
+            else:
+                found = [x for x in map(self.words.__getitem__, words) if x[0]]
+                self.text[run], self.shown[run] = " ".join([t for t, _ in found]), " ".join([n for _, n in found])
+
+    def encode(self, runs: list[bytes]) -> tuple[int, str, str]:
+        """Number of ids, the ids as decimal text, and the decoded text of learnt runs."""
+        ids = " ".join(filter(None, map(self.text.__getitem__, runs)))
+        return ids.count(" ") + 1 if ids else 0, ids, " ".join(filter(None, map(self.shown.__getitem__, runs)))
+
+
+def word_counts(docs: DataFrame, vocabulary: str, longest: int = 48) -> DataFrame:
+    """``word, n`` over all of ``docs(text)`` for words that occur twice at least and have ``longest`` letters at most.
+
+    ``vocabulary`` is the name of a shipped file.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        v, runs = _vocabulary(vocabulary), Counter()
 
         def out() -> pa.RecordBatch:
-            rows = [(w, n) for w, n in counts.items() if len(w) <= longest]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+            words: dict[str, int] = {}
+            for r, n in runs.items():
+                for w in v.words(r.decode("utf-8", "surrogatepass")):
+                    words[w] = words.get(w, 0) + n
+            runs.clear()
+            rows = [(w, n) for w, n in words.items() if len(w) <= longest and w not in v.special]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                counts.update((text or b"").split())
-                if len(counts) > 300_000:
+                runs.update((text or b"").split())
+                if len(runs) > 500_000:
                     yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def build_lexicon(docs: DataFrame, vocabulary: str, size: int = 1 << 16) -> bytes:
+def build_lexicon(docs: DataFrame, vocabulary: str, size: int = 1 << 17) -> bytes:
     """A lexicon of the most frequent words of all documents, ``size`` at most."""
     name = shipped(docs.sparkSession, vocabulary.encode())
-    counted = saved(word_counts(docs), "word-counts").withColumn("level", F.floor(8 * F.log2("n")).cast("int"))
+    counted = saved(word_counts(docs, name), "word-counts").withColumn("level", F.floor(8 * F.log2("n")).cast("int"))
     least, total = 0, 0
     for r in counted.groupBy("level").count().orderBy(F.desc("level")).collect():  # 512 levels at most
         total += r["count"]
@@ -287,9 +303,9 @@ def build_lexicon(docs: DataFrame, vocabulary: str, size: int = 1 << 16) -> byte
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.encode(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
 
     def compiled(part: pa.Table) -> pa.Table:  # ``size`` rows at most
-        return pa.table({"lexicon": pa.array([compile_lexicon(zip(part.column("word").to_pylist(), part.column("ids").to_pylist(), strict=True))], pa.binary())})
+        return pa.table({"lexicon": pa.array([compile_lexicon(zip(part.column("word").cast(pa.binary()).to_pylist(), part.column("ids").to_pylist(), strict=True))], pa.binary())})
 
-    entries = counted.where(F.col("level") >= least).select("word").mapInArrow(encode, "word binary, ids array<int>")
+    entries = counted.where(F.col("level") >= least).select("word").mapInArrow(encode, "word string, ids array<int>")
     found = entries.groupBy(F.lit(0).alias("all")).applyInArrow(compiled, "lexicon binary").first()
     return found["lexicon"] if found else compile_lexicon([])
 
@@ -325,7 +341,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, lexicon: bytes, texts: bool
                 for i, words in zip(part.column(0).to_pylist(), split, strict=True):
                     n, ids, decoded = encoder.encode(words)
                     sha = hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
-                    rows.append((i, n, *sha, *([np.fromiter(chain.from_iterable(map(encoder.ids.__getitem__, words)), np.int32, n), decoded] if texts else [])))
+                    rows.append((i, n, *sha, *([np.array(ids.split(), np.int32), decoded] if texts else [])))
                 columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
 
