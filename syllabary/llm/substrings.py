@@ -161,25 +161,21 @@ def _groups_of(grams: list[np.ndarray], tail: np.ndarray, heavy: list[np.ndarray
 
 
 def _sent(candidates: DataFrame, window: int, marks: np.ndarray | None, heavy: list[np.ndarray], slots: int, groups: int, limit: int = 1_500_000) -> DataFrame:
-    """Packed windows of ``candidates`` by group (``bucket``), folded by task."""
-    names = ["bucket", "doc_id", "starts", "ids", "one", "two"]
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    """Packed windows of ``candidates`` by group (``bucket``), folded by task; without a path those known to be later."""
+    names = ["bucket", "starts", "ids", "one", "two"]
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     given = candidates.sparkSession.sparkContext.broadcast((marks, heavy))
 
     def send(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray, prefix: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, least = _fold(ids, pos, one, two)
         later = ids[order] > least
-        rows = []
-        gone = order[later]
-        gone = gone[np.lexsort((pos[gone], ids[gone]))]
-        for doc, (starts,) in _packed(ids[gone], [pos[gone]]):
-            rows.append((doc % groups, doc, starts, None, None, None))
+        rows = [(part, *packed, None, None) for part, packed in _by_part(ids[order[later]], pos[order[later]], groups)]
         kept = order[~later]
         bucket = ((prefix[kept] >> _U(20)) % _U(groups)).astype(np.int32)
         by = np.lexsort((pos[kept], ids[kept], bucket))
         kept, bucket = kept[by], bucket[by]
         for b, (starts, docs_, x, y) in _packed(bucket, [pos[kept], ids[kept], one[kept], two[kept]]):
-            rows.append((b, None, starts, docs_, x, y))
+            rows.append((b, starts, docs_, x, y))
         for k in range(0, len(rows), 500):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 500], strict=True), types, strict=True)], names)
 
@@ -196,27 +192,37 @@ def _sent(candidates: DataFrame, window: int, marks: np.ndarray | None, heavy: l
         if held:
             yield from send(*(np.concatenate([h[k] for h in held]) for k in range(5)))
 
-    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "bucket int, doc_id long, starts binary, ids binary, one binary, two binary")
+    return candidates.select("doc_id", "text", "anchors").mapInArrow(run, "bucket int, starts binary, ids binary, one binary, two binary")
 
 
-def _later_starts(sent: DataFrame) -> DataFrame:
+def _by_part(ids: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Positions and documents packed by a share of the documents, in order."""
+    part = ids % parts
+    order = np.lexsort((pos, ids, part))
+    return _packed(part[order], [pos[order], ids[order]])
+
+
+def _later_starts(sent: DataFrame, groups: int) -> DataFrame:
     """``doc_id, starts``: packed positions of windows that an earlier document has."""
 
     def subtree(key: tuple, part: pa.Table) -> pa.Table:
-        known = part.filter(pc.is_valid(part.column("doc_id")))
-        rest = part.filter(pc.is_null(part.column("doc_id")))
+        known = part.filter(pc.is_null(part.column("one")))
+        rest = part.filter(pc.is_valid(part.column("one")))
         pos, ids, one, two = (np.frombuffer(b"".join(rest.column(c).to_pylist()), t) for c, t in (("starts", np.int32), ("ids", np.int64), ("one", _U), ("two", _U)))
         order, least = _fold(ids, pos, one, two)
         gone = order[ids[order] > least]
-        gone = gone[np.lexsort((pos[gone], ids[gone]))]
-        docs_, starts = known.column("doc_id").to_pylist(), known.column("starts").to_pylist()
-        for doc, (at,) in _packed(ids[gone], [pos[gone]]):
-            docs_.append(doc)
-            starts.append(at)
-        return pa.table({"doc_id": pa.array(docs_, pa.int64()), "starts": pa.array(starts, pa.binary())})
+        rows = [(share, *packed) for share, packed in _by_part(ids[gone], pos[gone], groups)]
+        rows += zip(*(known.column(c).to_pylist() for c in ("bucket", "starts", "ids")), strict=True)
+        return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("part", pa.int32()), ("starts", pa.binary()), ("ids", pa.binary())))})
+
+    def gather(key: tuple, part: pa.Table) -> pa.Table:
+        pos, ids = (np.frombuffer(b"".join(part.column(c).to_pylist()), t) for c, t in (("starts", np.int32), ("ids", np.int64)))
+        order = np.lexsort((pos, ids))
+        found = [(doc, starts) for doc, (starts,) in _packed(ids[order], [pos[order]])]
+        return pa.table({"doc_id": pa.array([d for d, _ in found], pa.int64()), "starts": pa.array([x for _, x in found], pa.binary())})
 
-    found = sent.groupBy("bucket").applyInArrow(subtree, "doc_id long, starts binary")
-    return found.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    found = sent.groupBy("bucket").applyInArrow(subtree, "part int, starts binary, ids binary")
+    return found.groupBy("part").applyInArrow(gather, "doc_id long, starts binary")
 
 
 def _cover(docs: DataFrame, window: int, texts: bool) -> DataFrame:
@@ -231,10 +237,9 @@ def _cover(docs: DataFrame, window: int, texts: bool) -> DataFrame:
                 for i, text, starts in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
                     words = (text or "").encode("utf-8", "surrogatepass").split()
                     gone = np.zeros(len(words) + 1, np.int32)
-                    for packed in starts or ():
-                        at = np.frombuffer(packed, np.int32)
-                        np.add.at(gone, at, 1)
-                        np.add.at(gone, at + window, -1)
+                    at = np.frombuffer(starts or b"", np.int32)
+                    np.add.at(gone, at, 1)
+                    np.add.at(gone, at + window, -1)
                     mask = np.cumsum(gone[:-1]) > 0
                     removed = int(mask.sum())
                     kept = b" ".join([w for w, m in zip(words, mask.tolist(), strict=True) if not m] if removed else words)
@@ -260,10 +265,11 @@ def remove_repeats(docs: DataFrame, window: int = 50, texts: bool = False, group
     candidates, windows, marks = _candidates(rows.where(F.col("doc_id").isNotNull()), window)
     slots = 1 << max(12, (32 * windows // group_rows).bit_length())
     heavy = _heavy_prefixes(candidates, window, marks, slots, group_rows // 4)
-    starts = saved(_later_starts(_sent(candidates, window, marks, heavy, slots, max(4 * partitions(docs.sparkSession), 4 * windows // group_rows))), "starts")
+    groups = max(4 * partitions(docs.sparkSession), 4 * windows // group_rows)
+    starts = saved(_later_starts(_sent(candidates, window, marks, heavy, slots, groups), groups), "starts")
     touched = bounded(starts.select("doc_id"))
     some = _cover(rows.join(touched, "doc_id", "left_semi").join(starts, "doc_id"), window, texts)
-    rest = rows.join(touched, "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("array<binary>"))
+    rest = rows.join(touched, "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("binary"))
     return some.unionByName(_cover(rest, window, texts))
 
 
