@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language gets a zstandard raw-content dictionary made from the opening of a few
-of its documents.  A text is compressed once per language; the language whose
+Each language gets a zstandard raw-content dictionary made from pieces of some of its
+documents, each taken at a place that follows a hash of the text.  A text is compressed once per language; the language whose
 dictionary gives the fewest bytes wins.  When the runner-up is within ``margin`` bytes
 the result is rejected (``rejected`` is true; ``lang_pred`` still names the best).
 
@@ -14,7 +14,10 @@ input with other names are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,35 +27,43 @@ from pyspark.sql import functions as F
 from .common import remainder
 
 UNKNOWN = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
 _RESULT = "lang_pred string, score double, margin long, rejected boolean"
 
 
+@lru_cache(1)
+def _not_letters() -> re.Pattern:
+    """Runs of anything but letters; numbers that are no digits (as in 1st powers, fractions, Roman ones) are word characters to ``re``."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
+    return re.compile(rf"[\W\d_{re.escape(numbers)}]+")
+
+
 def _letters(text: str) -> bytes:
     """The words in lower case, one space after each."""
-    return (_NOT_LETTERS.sub(" ", text.lower()).strip() + " ").encode("utf-8", "surrogatepass")
+    return (_not_letters().sub(" ", text.lower()).strip() + " ").encode("utf-8", "surrogatepass")
 
 
-def learn(docs: DataFrame, per_language: int = 128, opening: int = 1000) -> dict[str, bytes]:
+def learn(docs: DataFrame, per_language: int = 128, piece: int = 1000) -> dict[str, bytes]:
     """Dictionaries by language from ``docs(doc_id, text, lang)``, one for every language that has a text.
 
-    The sample is bounded a language: ``per_language`` distinct openings (the first
-    ``opening`` characters of a text), or all where a language has fewer.  The draw rate
-    follows the number of distinct openings, so copies take no places.
+    The sample is bounded a language: pieces of ``piece`` characters of ``per_language``
+    distinct texts, or of all where a language has fewer.  A piece begins anywhere in its
+    text.  The draw rate follows the number of distinct texts, so copies take no places.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, opening).alias("text"))
-    counts = known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()
+    mark = F.xxhash64("text", F.lit(8))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", mark.alias("mark"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).collect()
     if not counts:
         return {}
     rate = known.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * per_language / max(1, r["n"]))) for r in counts], "lang string, rate double")
-    draw = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 30)) / float(1 << 30)  # equal openings are drawn together
-    sample = known.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("lang", "text", draw.alias("draw"))
-    openings: dict[str, list[str]] = {}
-    for r in sample.groupBy("lang", "text").agg(F.min("draw").alias("draw")).orderBy("lang", "draw", "text").toLocalIterator():
-        kept = openings.setdefault(r["lang"], [])
+    draw = F.pmod("mark", F.lit(1 << 30)) / float(1 << 30)  # equal texts are drawn together
+    start = F.pmod(F.shiftright("mark", 30), F.greatest(F.length("text") - F.lit(piece), F.lit(0)) + 1).cast("int") + 1
+    sample = known.join(F.broadcast(rate), "lang").where(draw < F.col("rate")).select("lang", "mark", draw.alias("draw"), F.substr("text", start, F.lit(piece)).alias("text"))
+    pieces: dict[str, list[str]] = {}
+    for r in sample.groupBy("lang", "mark").agg(F.min("draw").alias("draw"), F.min("text").alias("text")).orderBy("lang", "draw", "mark").toLocalIterator():
+        kept = pieces.setdefault(r["lang"], [])
         if len(kept) < per_language:
             kept.append(r["text"])
-    return {lang: b"".join(map(_letters, texts)) for lang, texts in openings.items()}
+    return {lang: b"".join(map(_letters, texts)) for lang, texts in pieces.items()}
 
 
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], margin: int = 1, level: int = 6, block: int = 8000, carry: bool = False) -> DataFrame:

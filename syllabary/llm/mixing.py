@@ -2,15 +2,18 @@
 
 A multinomial model fitted on labelled rows gives each document a posterior over
 domains; a document's tokens belong to the domains in those shares.  Rates, one a
-document and not negative, are fitted by projected gradient steps on the squared gap
-between expected domain tokens and their targets.  A step needs one sum a domain over
-all documents; the rates themselves are a fold over the small list of past gaps, so no
-table of rates is rewritten.
-
-``fit_rows`` bounds the labelled rows used for the fit.  Defined results: documents
-without words have no tokens and rate 1; without at least two labelled domains all
-posteriors are equal and rates move together; repeated rows get equal results; a null
-doc_id is kept.
+document and not negative, are fitted by projected gradient steps on half the sum of
+squared gaps between expected domain tokens and their targets, in the metric that weighs
+documents by tokens.  A step needs a few sums over all documents; its length follows the
+last two (Barzilai-Borwein) and is taken back where the squares grow.  Rates are a fold
+over the list of past steps, and written now and then so that the list stays short.
+
+``fit_rows`` bounds the labelled rows used for the fit.  Steps end when the gaps are
+within the tolerance or, where targets cannot be met, when rates no longer move; else
+``settled`` is false.  Defined results: documents without words have no tokens and rate
+1; without at least two labelled domains all posteriors are equal and rates move
+together; repeated rows get equal results; a null doc_id is kept; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -114,33 +117,60 @@ def learn(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...] = DOMAI
     return Posteriors(domains, terms, weights, bias)
 
 
-def _rate(gaps: list[list[float]]) -> Column:
-    """Each document's rate after steps against the given gaps."""
-    if not gaps:
-        return F.lit(1.0)
+def _rate(start: Column, steps: list[list[float]]) -> Column:
+    """Each document's rate after projected steps along its posterior."""
+    if not steps:
+        return start
     p = F.col("posterior")
-    steps = F.array(*[F.array(*[F.lit(float(g)) for g in gap]) for gap in gaps])
-    return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+    listed = F.array(*[F.array(*[F.lit(float(g)) for g in step]) for step in steps])
+    moved = F.aggregate(listed, start, lambda r, g: F.greatest(F.lit(0.0), r - F.aggregate(F.zip_with(p, g, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
+    return F.when(F.col("tokens") > 0, moved).otherwise(start)
 
 
-def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, steps: int = 40, tolerance: float = 1e-4) -> DataFrame:
-    """Add ``rate`` to ``members(tokens, posterior)`` so that expected domain tokens meet weights * total.
+def fit_rates(members: DataFrame, weights: list[float], total: float | None = None, steps: int = 200, tolerance: float = 1e-4, written: int = 16) -> DataFrame:
+    """Add ``rate`` and ``settled`` to ``members(tokens, posterior)`` so that expected domain tokens meet weights * total.
 
-    ``total`` defaults to the tokens of the table.
+    ``total`` defaults to the tokens of the table.  Every ``written`` steps rates are saved.
     """
     k = len(weights)
-    sums = members.agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * F.col("posterior")[i] * F.col("posterior")[i]).alias(f"s{i}") for i in range(k)]).first()
+    share = [F.col("posterior")[i] for i in range(k)]
+    sums = members.agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * share[i] * share[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
     tokens = float(sums["t"] or 0)
+    if not tokens:
+        return members.withColumn("rate", F.lit(1.0)).withColumn("settled", F.lit(True))
     goal = np.array(weights, float) / max(sum(weights), 1e-12) * (tokens if total is None else total)
-    scale = np.array([1.0 / max(float(sums[f"s{i}"] or 0), 1e-9 * max(tokens, 1.0)) for i in range(k)])
-    gaps: list[list[float]] = []
-    for _ in range(steps if tokens else 0):
-        row = members.select("tokens", "posterior", _rate(gaps).alias("rate")).agg(*[F.sum(F.col("tokens") * F.col("rate") * F.col("posterior")[i]).alias(f"e{i}") for i in range(k)]).first()
-        gap = np.array([float(row[f"e{i}"] or 0) for i in range(k)]) - goal
+    safe = 1.0 / max(float(np.linalg.eigvalsh(np.array([[float(sums[f"m{i}_{j}"]) for j in range(k)] for i in range(k)])).max()), 1e-300)
+
+    base, taken, settled = members.withColumn("start", F.lit(1.0)), [], False
+    known: list[float] = []  # squares of the last iterates that were kept
+    gap_before, length = None, safe
+    for _ in range(steps):
+        now, before = _rate(F.col("start"), taken), _rate(F.col("start"), taken[:-1])
+        moved = F.col("now") - F.col("before")
+        rates = base.select("tokens", "posterior", now.alias("now"), before.alias("before"))
+        row = rates.agg(*[F.sum(F.col("tokens") * F.col("now") * share[i]).alias(f"e{i}") for i in range(k)], F.sum(F.col("tokens") * moved * moved).alias("d"), F.sum(F.col("tokens") * F.abs(moved)).alias("a")).first()
+        gap = np.array([float(row[f"e{i}"]) for i in range(k)]) - goal
+        squares = float(gap @ gap)
         if np.abs(gap).max() <= tolerance * tokens:
+            settled = True
             break
-        gaps.append((0.8 * gap * scale).tolist())
-    return members.withColumn("rate", _rate(gaps))
+        if taken and known and squares > max(known[-4:]) * (1 + 1e-12) and length > safe:
+            length = max(safe, length / 4)  # too far: the last step again, shorter
+            taken[-1] = (length * gap_before).tolist()
+            continue
+        if gap_before is not None and float(row["a"]) <= 1e-3 * tolerance * tokens:
+            settled = True  # no rate moves: the least squares are found, though not zero
+            break
+        change = None if gap_before is None else gap - gap_before
+        if change is not None and float(change @ change) > 0 and float(row["d"]) > 0:
+            length = float(np.clip(float(row["d"]) / float(change @ change), safe, 1e6 * safe))
+        known.append(squares)
+        gap_before = gap
+        if len(taken) >= written:
+            base = saved(base.withColumn("start", _rate(F.col("start"), taken)), "rates")
+            taken = []
+        taken.append((length * gap).tolist())
+    return base.withColumn("rate", _rate(F.col("start"), taken)).drop("start").withColumn("settled", F.lit(settled))
 
 
 def copies(rate: Column, key: Column) -> Column:
@@ -150,7 +180,7 @@ def copies(rate: Column, key: Column) -> Column:
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, carry: bool = False, **limits: int) -> DataFrame:
-    """``doc_id, tokens, domain, posterior, rate, copies`` for each row of ``docs(doc_id, text)``.
+    """``doc_id, tokens, domain, posterior, rate, settled, copies`` for each row of ``docs(doc_id, text)``.
 
     With ``carry`` the whole row comes as the struct ``row`` in place of doc_id, and the
     chance of a copy follows doc_id and text, so rows without an id do not share one draw.
@@ -161,10 +191,10 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     rated = fit_rates(members, [targets[d] for d in model.domains])
     best = F.array_position("posterior", F.array_max("posterior")).cast("int")
     key = F.struct("row.doc_id", "row.text") if carry else F.col("doc_id")
-    return rated.select("row" if carry else "doc_id", "tokens", F.element_at(F.array(*map(F.lit, model.domains)), best).alias("domain"), "posterior", "rate", copies(F.col("rate"), key).alias("copies"))
+    return rated.select("row" if carry else "doc_id", "tokens", F.element_at(F.array(*map(F.lit, model.domains)), best).alias("domain"), "posterior", "rate", "settled", copies(F.col("rate"), key).alias("copies"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
     found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     shares = [F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(TARGETS)]
-    return found.select("doc_id", "tokens", "domain", *shares, "rate", "copies")
+    return found.select("doc_id", "tokens", "domain", *shares, "rate", "settled", "copies")

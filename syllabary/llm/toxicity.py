@@ -9,7 +9,7 @@ cosine are found: blocks are visited by their upper bound until none can hold a
 example.  Votes weighted by distance, 1 / (1 - cosine + 0.05), are turned into a
 probability by a table fitted on the examples themselves, each judged without itself.
 
-``examples`` and ``vocabulary`` bound the index; all texts are scored, whole.
+``examples`` bounds the index and with it the vocabulary; all texts are scored, whole.
 Defined results: texts without a term of the vocabulary (also null and empty ones) get
 the share of label 1 among such examples; equal cosines are taken by example number;
 without labels every score is 0.
@@ -121,8 +121,8 @@ def _vectors(column: pa.Array, terms: np.ndarray, idf: np.ndarray) -> tuple[np.n
     return (np.concatenate(rows), np.concatenate(ts), np.concatenate(ws)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def choose_terms(labelled: DataFrame, positive: int, negative: int, vocabulary: int, least_chi: float = 30.0) -> np.ndarray:
-    """Fingerprints of the terms that depend most on the label, in order."""
+def choose_terms(labelled: DataFrame, positive: int, negative: int, vocabulary: int | None, least_chi: float = 30.0) -> np.ndarray:
+    """Fingerprints of the terms whose chi-squared with the label is ``least_chi`` at least (the ``vocabulary`` largest), in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, ys = [], []
@@ -142,7 +142,8 @@ def choose_terms(labelled: DataFrame, positive: int, negative: int, vocabulary:
     a, n = F.col("a"), F.col("n")
     gap = a * total - n * n1
     chi = gap * gap * total / (n * (total - n) * n1 * (total - n1))
-    best = counts.where(n < total).withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(vocabulary).collect()
+    best = counts.where(n < total).withColumn("chi", chi).where(F.col("chi") >= least_chi)
+    best = (best if vocabulary is None else best.orderBy(F.desc("chi"), "term").limit(vocabulary)).collect()  # as many as the examples have terms at most
     return np.sort(np.array([r["term"] for r in best], np.int64).view(_U))
 
 
@@ -162,7 +163,7 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.nd
     return by.get(-1, 0), np.array([by.get(k, 0) for k in range(len(terms))], np.float64)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", corpus: DataFrame | None = None, examples: int = 6000, vocabulary: int = 2048, neighbours: int = 15) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", corpus: DataFrame | None = None, examples: int = 6000, vocabulary: int | None = None, neighbours: int = 15) -> Model:
     """An index of about ``examples`` labelled rows of ``docs(doc_id, text)`` and ``labels(doc_id, <label>)``.
 
     Document frequencies come from ``corpus`` (all of it), or ``docs`` if it is not given.
