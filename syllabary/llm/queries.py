@@ -1,7 +1,8 @@
-"""The driver's queries over the corpus operators.
+"""The driver's queries over the corpus operators, and SQL for those that it can express.
 
-None of them has SQL: what SQL can express of them (windows of words, set overlaps) is
-too slow on whole tables; ``tests/llm`` holds each against brute force instead.
+Repeated windows, set overlaps and cosines are compared as whole values there, with no
+fingerprint, index or filter.  The others (trained models, encodings, shards) have no
+SQL; ``tests/llm`` holds them against brute force instead.
 """
 
 from __future__ import annotations
@@ -21,4 +22,45 @@ QUERIES = {
     f.__name__: f
     for f in (op1_toxicity, op2_sharding, op3_webp, op4_jaccard, op5_bpe, op6_embedding_dedup, op7_substrings, op8_language_id, op9_quality, op10_mixing)
 }
-ORACLES: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: From ``link(a, b)`` in both directions: each id that has a link, with the smallest id it reaches.
+_REACHED = """
+reach(id, other) AS (SELECT a, b FROM link UNION SELECT r.id, l.b FROM reach r JOIN link l ON l.a = r.other),
+least AS (SELECT id, min(least(id, other)) AS component_id FROM reach GROUP BY id)"""
+
+ORACLES: dict[str, str] = {
+    "op4_jaccard": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(text=_LOWER)} AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM w, unnest(range(1, len(ws) - 3)) t(i) WHERE len(ws) >= 5
+  UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),{_REACHED}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.id = d.doc_id""",
+    "op6_embedding_dedup": f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0
+),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) AND list_cosine_similarity(x.e, y.e) >= 0.95),{_REACHED},
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(l.component_id, e.vec_id) AS component_id, coalesce(l.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least l ON l.id = e.vec_id""",
+    "op7_substrings": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS g FROM w, unnest(range(1, len(ws) - 48)) t(i) WHERE len(ws) >= 50),
+early AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM (SELECT doc_id, i FROM win JOIN early USING (g) WHERE doc_id > m)),
+kept AS (
+  SELECT w.doc_id, string_agg(ws[t.j], ' ' ORDER BY t.j) AS body, count(*) AS n
+  FROM w, unnest(range(1, len(ws) + 1)) t(j) LEFT JOIN gone ON gone.doc_id = w.doc_id AND gone.j = t.j WHERE gone.j IS NULL GROUP BY w.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+}
