@@ -75,3 +75,13 @@ def units_credits(text: Column) -> Column:
     """The first number of units such as 3-0-9."""
     first = nullif_empty(F.regexp_extract(text, r"(\d+)-\d+-\d+", 1))
     return F.when(first.isNotNull(), credits_value("int", first, first))
+
+
+def title_line(line: Column) -> Column:
+    """``struct<course_id, title, credits>`` of a line ``DEPT 123. Title. 3 credits``; all null if it has another form."""
+    line, pattern = strip(line), r"^([A-Z]{2,6})\s+(\d{3,4}[A-Z]?)\.\s+(.+?)(?:\.\s+(.+))?$"
+    part = lambda k: F.regexp_extract(line, pattern, k)
+    hit = F.regexp_like(line, F.lit(pattern))
+    return F.struct(
+        F.when(hit, F.concat_ws(" ", part(1), part(2))).alias("course_id"), F.when(hit, strip(part(3))).alias("title"), F.when(hit & (part(4) != ""), extract_credits(part(4))).alias("credits"),
+    )

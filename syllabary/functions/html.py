@@ -40,7 +40,25 @@ def blocks(html: Column, css_class: str) -> Column:
     return F.filter(parts, lambda x: F.regexp_like(x, F.lit(rf'^<\w+[^>]*class="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"')))
 
 
+def class_links(html: Column, css_class: str) -> Column:
+    """Targets of the links that have the class, in page order."""
+    tags = F.regexp_extract_all(html, F.lit(rf'(<a\b[^>]*\bclass="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"[^>]*>)'), F.lit(1))
+    return F.filter(F.transform(tags, lambda t: F.regexp_extract(t, r'\bhref="([^"]*)"', 1)), lambda x: x != "")
+
+
+def last_crumb(html: Column) -> Column:
+    """The text of the last item of the element with class ``breadcrumb``; null if none."""
+    inside = F.regexp_extract(html, r'class="(?:[^"]*\s)?breadcrumb(?:\s[^"]*)?"[^>]*>([\s\S]*?)</(?:ul|ol|nav)>', 1)
+    items = F.regexp_extract_all(inside, F.lit(r"<li\b[^>]*>([^<]*)"), F.lit(1))
+    return nullif_empty(decode_entities(F.try_element_at(items, F.lit(-1))))
+
+
+def first_text(html: Column) -> Column:
+    """The first text that is not inside a tag, null if there is none."""
+    return nullif_empty(decode_entities(F.regexp_extract(html, r">([^<]+)", 1)))
+
+
 def department_name(html: Column, url: Column, path: str = r"/courses/([a-z]+)/") -> Column:
-    """The heading without its code, else the code in the address, else Unknown."""
+    """The heading without its code, else the last breadcrumb, else the code in the address, else Unknown."""
     heading = F.regexp_replace(element_text(html, "h1"), r"\s*\([A-Z]+\)\s*", "")
-    return F.coalesce(strip(heading), F.upper(nullif_empty(F.regexp_extract(url, path, 1))), F.lit("Unknown"))
+    return F.coalesce(strip(heading), strip(last_crumb(html)), F.upper(nullif_empty(F.regexp_extract(url, path, 1))), F.lit("Unknown"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import courses as C
@@ -13,11 +13,13 @@ from ..functions import prerequisites as P
 from ..functions.text import clean_text, fix_broken_lines, nullif_empty, strip
 
 RULES_SCHEMA = """name string, university string, block string, code string, title string, hours string, description string,
-    prereq string, title_pattern string, level_rule string, default_credits string, link_pattern string, links_kept int, clause string"""
+    prereq string, title_pattern string, level_rule string, default_credits string, link_pattern string, links_kept int, clause string,
+    other_links string, other_block string, detail_links string"""
 _CLAUSE = r"(?i)prereq(?:uisite)?s?\s*:\s*([^.]+)"
 _FAMILY = {
     "block": "courseblock", "code": "detail-code", "title": "detail-title", "hours": "detail-hours_html", "description": "courseblockextra", "prereq": None,
     "title_pattern": None, "level_rule": "number", "default_credits": "Unknown", "link_pattern": "/courses/[a-z]+/", "links_kept": 20, "clause": None,
+    "other_links": None, "other_block": None, "detail_links": None,
 }
 
 # Sites that share one page layout.
@@ -31,7 +33,7 @@ FAMILY_SITES = {
 def rules(spark: SparkSession, extra: list[dict] = ()) -> DataFrame:
     """One row a site; later rows of the same name win."""
     own = [
-        {"name": "uconn", "university": "University of Connecticut", "prereq": "detail-prereqs", "link_pattern": r"/(undergraduate|graduate)/courses/[a-z]+/", "clause": _CLAUSE},
+        {"name": "uconn", "university": "University of Connecticut", "prereq": "detail-prereqs", "link_pattern": r"/undergraduate/courses/[a-z]+/", "other_links": r"/graduate/courses/[a-z]+/", "other_block": "course", "detail_links": "bubblelink courseblockcode", "clause": _CLAUSE},
         {"name": "mit", "university": "Massachusetts Institute of Technology", "title_pattern": r"(?<code>\d+\.[\dA-Z]+)\s+(?<title>.+?)(?:\.|$)", "level_rule": "dotted", "clause": r"(?i)prereq(?:uisite)?s?\s*[:\-]\s*([^.;]+)"},
         {"name": "yale", "university": "Yale University", "title_pattern": r"^(?<code>[A-Z]{2,6}\s+\d{3,4}[A-Z]?)\.?\s+(?<title>.+)$", "clause": _CLAUSE},
         {"name": "stanford", "university": "Stanford University", "title_pattern": r"^(?<code>[A-Z]+\s+\d+[A-Z]?):\s+(?<title>.+)$", "default_credits": "3", "links_kept": 5},
@@ -64,6 +66,9 @@ class SiteRule:
     link_pattern: str
     links_kept: int
     clause: str | None
+    other_links: str | None
+    other_block: str | None
+    detail_links: str | None
 
 
 def site_rules(table: DataFrame) -> list[SiteRule]:
@@ -76,21 +81,45 @@ def unknown_sites(pages: DataFrame, table: DataFrame) -> DataFrame:
     return pages.join(F.broadcast(table.select(F.lower("name").alias("__name"))), F.lower("site") == F.col("__name"), "left_anti")
 
 
+def listed(table: DataFrame) -> DataFrame:
+    """``name, university, sites`` in order of the name, with the number of all sites."""
+    return table.select("name", "university").crossJoin(F.broadcast(table.agg(F.count("*").alias("sites")))).orderBy("name")  # one row
+
+
 def discover_links(pages: DataFrame, rule: SiteRule) -> DataFrame:
-    """``page_id, url, link`` of the links a site's rule follows, at most ``links_kept`` a page."""
+    """``page_id, url, link`` of the links a site's rule follows, at most ``links_kept`` a page.
+
+    The rule's other pattern counts only on pages where the first finds nothing.
+    """
     found = H.distinct_links(F.col("html"), rule.link_pattern, rule.links_kept)
+    if rule.other_links:
+        found = F.when(F.size(found) > 0, found).otherwise(H.distinct_links(F.col("html"), rule.other_links, rule.links_kept))
     return pages.select("page_id", "url", F.explode(found).alias("link"))
 
 
+def _blocks(rule: SiteRule) -> Column:
+    found = H.blocks(F.col("html"), rule.block)
+    return found if not rule.other_block else F.when(F.size(found) > 0, found).otherwise(H.blocks(F.col("html"), rule.other_block))
+
+
 def course_blocks(pages: DataFrame, rule: SiteRule) -> DataFrame:
-    """``page_id, url, department, position, block`` of each course block of ``pages(page_id, url, html)``."""
-    return pages.select("page_id", "url", H.department_name(F.col("html"), F.col("url")).alias("department"), F.posexplode(H.blocks(F.col("html"), rule.block)).alias("position", "block"))
+    """``page_id, url, department, position, block`` of each course block of ``pages(page_id, url, html)``.
+
+    The rule's other class counts only on pages without a block of the first.
+    """
+    return pages.select("page_id", "url", H.department_name(F.col("html"), F.col("url")).alias("department"), F.posexplode(_blocks(rule)).alias("position", "block"))
 
 
 def replace_by_detail(blocks: DataFrame, pages: DataFrame, rule: SiteRule) -> DataFrame:
-    """A block that links to another page takes that page's first block, if it has one."""
-    details = pages.select(F.col("url").alias("link"), H.blocks(F.col("html"), rule.block)[0].alias("detail"))
-    joined = blocks.withColumn("link", F.try_element_at(H.links(F.col("block")), F.lit(1))).join(details, "link", "left")
+    """A block that links to another page takes that page's first block, if it has one.
+
+    Links of the rule's classes count, in the order of the classes; without such a rule
+    any link.  Of pages with the same url the one with the smallest page_id counts.
+    """
+    links = [H.class_links(F.col("block"), c) for c in rule.detail_links.split()] if rule.detail_links else [H.links(F.col("block"))]
+    details = pages.groupBy(F.col("url").alias("link")).agg(F.min_by("html", "page_id").alias("html"))
+    details = details.select("link", F.try_element_at(_blocks(rule), F.lit(1)).alias("detail"))
+    joined = blocks.withColumn("link", F.coalesce(*[F.try_element_at(x, F.lit(1)) for x in links])).join(details, "link", "left")
     return joined.withColumn("block", F.coalesce("detail", "block")).drop("detail", "link")
 
 
@@ -99,7 +128,7 @@ def parse_blocks(blocks: DataFrame, rule: SiteRule) -> DataFrame:
     b = F.col("block")
     whole = clean_text(H.all_text(b))
     if rule.title_pattern:
-        line = whole if rule.level_rule == "dotted" else clean_text(F.coalesce(H.class_text(b, rule.title, "courseblocktitle"), H.element_text(b, "h3")))
+        line = whole if rule.level_rule == "dotted" else clean_text(F.coalesce(H.class_text(b, rule.title, "courseblocktitle"), H.element_text(b, "h3"), H.first_text(b)))
         names = [rule.title_pattern.index("(?<code>"), rule.title_pattern.index("(?<title>")]
         code = nullif_empty(F.regexp_extract(line, rule.title_pattern, 1 if names[0] < names[1] else 2))
         title = nullif_empty(strip(F.regexp_extract(line, rule.title_pattern, 2 if names[0] < names[1] else 1)))

@@ -29,8 +29,10 @@ def outcome(field: str, kind: str) -> Column:
     return F.when(want.isNotNull(), F.when(have.isNull(), "missing").when(same, "correct").otherwise("incorrect"))
 
 
-def compare(scraped: DataFrame, golden: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One row for each scraped row and field that the golden set states."""
+def compare(scraped: DataFrame, golden: DataFrame, fields: tuple[str, ...] = FIELDS, university: str | None = None) -> DataFrame:
+    """One row for each scraped row and field that the golden set states, of one university if it is given."""
+    if university is not None:
+        scraped, golden = (t.where(F.col("university") == university) for t in (scraped, golden))
     kinds = {f: "credits" if f == "credits" else "string" if dict(scraped.dtypes)[f] == "string" else "other" for f in fields}
     last = keep_last(golden)
     left = scraped.select("nseq", *KEY, *[F.col(f).alias(f"s_{f}") for f in fields])
@@ -70,6 +72,7 @@ def report(compared: DataFrame) -> DataFrame:
     return fields.crossJoin(n).crossJoin(wrong)  # one row each
 
 
-def sample(rows: DataFrame, size: int = 50, seed: int = 0) -> DataFrame:
-    """Exactly ``size`` rows (all if there are fewer), the same for the same seed."""
+def sample(rows: DataFrame, size: int = 50, seed: int = 0, university: str | None = None) -> DataFrame:
+    """Exactly ``size`` rows (all if there are fewer), the same for the same seed; of one university if it is given."""
+    rows = rows if university is None else rows.where(F.col("university") == university)
     return rows.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *KEY, F.col("nseq").cast("string")).cast("binary")), "nseq").limit(size)

@@ -31,6 +31,7 @@ def check(current: DataFrame, snapshots: DataFrame, now: str, force: bool = Fals
     )
     rows = rows.withColumn("action", state)
     a, stamp = F.col("action"), F.lit(now).cast("timestamp")
+    # The reasons as users know them.
     reasons = {"failed": "Failed to fetch catalog", "first": "First snapshot - needs scraping", "recent": "Checked recently - skipping", "changed": "Catalog content changed", "same": "No changes detected"}
     reason = F.lit(None).cast("string")
     for k, v in reasons.items():
@@ -59,6 +60,28 @@ def update_counts(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     return both.select("university", "content_hash", "last_checked", "last_updated", F.coalesce("n", "course_count").alias("course_count"), F.coalesce(F.when(F.col("note") != "", F.col("note")), F.col("notes")).alias("notes"))
 
 
+def snapshot(snapshots: DataFrame, university: str) -> DataFrame:
+    """The snapshot of one university, no row if there is none."""
+    return snapshots.where(F.col("university") == university).limit(1)
+
+
+def snapshots_listed(snapshots: DataFrame) -> DataFrame:
+    return snapshots.orderBy("university")
+
+
+def tasks(checked: DataFrame, force: bool = False) -> DataFrame:
+    """What a refresh job works on: skipped if unchanged, unless forced."""
+    return checked if force else checked.where("changed")
+
+
+def run_duration(runs: DataFrame, start: str = "start_time", end: str = "end_time") -> DataFrame:
+    """Add ``duration``: end less start as text, ``Unknown`` where either is no time."""
+    gap = F.unix_micros(F.try_to_timestamp(end)) - F.unix_micros(F.try_to_timestamp(start))
+    whole = F.floor(F.abs(gap) / F.lit(1_000_000)).cast("long")
+    parts = [F.floor(whole / 3600).cast("string"), F.lpad((F.floor(whole / 60) % 60).cast("string"), 2, "0"), F.lpad((whole % 60).cast("string"), 2, "0")]
+    return runs.withColumn("duration", F.coalesce(F.concat(F.when(gap < 0, "-").otherwise(""), parts[0], F.lit(":"), parts[1], F.lit(":"), parts[2]), F.lit("Unknown")))
+
+
 def stale(snapshots: DataFrame, now: str, days: int = 7) -> DataFrame:
     return snapshots.where(_age(now, F.col("last_updated")) > days * DAY)
 
@@ -77,7 +100,7 @@ def priorities(snapshots: DataFrame, now: str) -> DataFrame:
 
 
 def plan(snapshots: DataFrame, now: str, most: int = 5, order: str = "nseq") -> DataFrame:
-    """The catalogues longest without an update."""
+    """The catalogues longest without an update, with their address where the snapshots have one."""
     return priorities(snapshots, now).orderBy(F.desc("priority"), order).limit(most)
 
 

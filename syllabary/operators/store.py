@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,12 +14,14 @@ KEY = ["university", "course_id"]
 
 
 def _one(rows: DataFrame, order: str, last: bool, key: list[str]) -> DataFrame:
-    pick = (F.max_by if last else F.min_by)(F.struct(*rows.columns), F.col(order))
-    return rows.groupBy(*key).agg(pick.alias("r")).select("r.*")
+    """Hash-aggregates the order only, then keeps the rows that have it; ``order`` must be unique within a key."""
+    found = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg((F.max if last else F.min)(order).alias("__place"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
+    return rows.join(found, reduce(and_, same, F.col(order).eqNullSafe(F.col("__place"))), "left_semi")
 
 
 def keep_first(rows: DataFrame, order: str = "nseq", key: list[str] = KEY) -> DataFrame:
-    """The first row of each key: an aggregation that combines before the shuffle."""
+    """The first row of each key, in the order of ``order``."""
     return _one(rows, order, False, key)
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.prerequisites import tree_json
@@ -38,21 +39,34 @@ def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     )
 
 
-def read_jsonl(spark: SparkSession, *paths: str, bad: str = "keep") -> DataFrame:
-    """JSON lines as courses; blank lines are skipped.
+def numbered(rows: DataFrame, place: list[str], row: str = "row") -> DataFrame:
+    """Add ``nseq``: 0, 1, 2, ... in the order of the ``place`` columns and then of ``row``.
 
-    ``nseq`` orders rows by argument and then by place in the file.  ``bad`` says what
-    happens to lines that cannot become a course: ``keep`` (with their error), ``skip`` or ``fail``.
+    ``row`` must count up by one within each place.  Rows are counted by place first (one
+    short row for each block of a file), so no row is sorted or moved.
     """
+    sizes = rows.groupBy(*place).agg(F.min(row).alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(*place, (before - F.col("first")).alias("shift"))
+    return rows.join(starts, place).withColumn("nseq", F.col(row) + F.col("shift")).drop("shift")
+
+
+def _files(spark: SparkSession, paths: tuple[str, ...], **options: bool) -> DataFrame:
+    """``value, arg, file, block`` of text files."""
     for p in paths:
         _check_suffix(p)
-    parts = []
-    for k, p in enumerate(paths):
-        rows = spark.read.text(p).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-        parts.append(rows.select("value", (F.lit(k).cast("long") * (1 << 56) + F.col("row")).alias("nseq")))
-    lines = parts[0]
-    for more in parts[1:]:
-        lines = lines.unionByName(more)
+    parts = [spark.read.text(p, **options).select("value", F.lit(k).alias("arg"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")) for k, p in enumerate(paths)]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def read_jsonl(spark: SparkSession, *paths: str, bad: str = "keep") -> DataFrame:
+    """JSON lines as courses; blank lines are skipped.
+
+    ``nseq`` orders rows by argument, then by file name and by place in the file.  ``bad``
+    says what happens to lines that cannot become a course: ``keep`` (with their error),
+    ``skip`` or ``fail``.
+    """
+    lines = numbered(_files(spark, paths).withColumn("row", F.monotonically_increasing_id()), ["arg", "file", "block"]).select("value", "nseq")
     parsed = parse_lines(lines.where(~F.regexp_like("value", F.lit(r"^\s*$"))))
     if bad == "skip":
         return parsed.where("construct_error is null")
@@ -61,11 +75,15 @@ def read_jsonl(spark: SparkSession, *paths: str, bad: str = "keep") -> DataFrame
     return parsed
 
 
-def read_json_document(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of courses, or one course object, as courses."""
-    _check_suffix(path)
-    rows = spark.read.text(path, wholetext=True).select(F.explode(F.coalesce(F.from_json("value", "array<variant>"), F.array(F.try_parse_json("value")))).alias("v"))
-    return parse_lines(rows.select(F.to_json("v").alias("value")))
+def read_json_document(spark: SparkSession, *paths: str) -> DataFrame:
+    """JSON arrays of courses, or one course object a file, as courses with ``nseq`` by argument, file and place."""
+    rows = _files(spark, paths, wholetext=True).select("arg", "file", F.posexplode(F.coalesce(F.from_json("value", "array<variant>"), F.array(F.try_parse_json("value")))).alias("row", "v"))
+    return parse_lines(numbered(rows, ["arg", "file"]).select(F.to_json("v").alias("value"), "nseq"))
+
+
+def first_rows(rows: DataFrame, most: int | None, order: str = "nseq") -> DataFrame:
+    """The first ``most`` rows, all if it is null: an item limit, a test run or a partial validation."""
+    return rows if most is None else rows.orderBy(order).limit(most)
 
 
 def _check_suffix(path: str) -> None:
@@ -87,6 +105,15 @@ def export_rows(courses: DataFrame) -> DataFrame:
     return out
 
 
+def export_decoded(table: DataFrame, university: str | None = None) -> DataFrame:
+    """Rows of a stored table with JSON text as values again, in the order of university and course_id."""
+    rows = table if university is None else table.where(F.col("university") == university)
+    for f, kind in (("prerequisites", "variant"), ("corequisites", "array<string>"), ("offerings", "array<string>")):
+        if f in table.columns and dict(table.dtypes)[f] == "string":
+            rows = rows.withColumn(f, F.try_parse_json(f) if kind == "variant" else F.from_json(f, kind))
+    return rows.drop("nseq").orderBy("university", "course_id")
+
+
 def write_jsonl(courses: DataFrame, path: str) -> None:
     """JSON lines without null fields."""
     courses.write.mode("overwrite").json(path)
@@ -96,9 +123,22 @@ def write_csv(courses: DataFrame, path: str) -> None:
     export_rows(courses).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A one-row report as a JSON file."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def to_json_array(courses: DataFrame) -> DataFrame:
-    """One row with a JSON array of all rows, for small exports only."""
-    return courses.agg(F.to_json(F.collect_list(F.struct("*"))).alias("json"))
+    """Lines that form one JSON array of all rows when written as text in order; no row is gathered.
+
+    Columns ``part`` and ``line``: the opening bracket, one line a row, the closing one.
+    """
+    spark = courses.sparkSession
+    ends = spark.createDataFrame([(-1, "["), (2**62, "]")], "part long, line string")
+    rows = courses.select(F.to_json(F.struct("*")).alias("json"), F.monotonically_increasing_id().alias("part"))
+    first = rows.agg(F.min("part").alias("first"))
+    lines = rows.crossJoin(F.broadcast(first)).select("part", F.concat(F.when(F.col("part") > F.col("first"), ",").otherwise(""), "json").alias("line"))  # one row
+    return lines.unionByName(ends).orderBy("part")
 
 
 def append_runs(runs: DataFrame, path: str) -> None:

@@ -11,23 +11,36 @@ from ..operators.validation import normalize, with_errors
 from ..sources.courses import parse_lines
 
 
+SHARES = 64
+
+
 def ingest_lines(spark: SparkSession, folder: str, target: str, checkpoint: str, run_time: str):
     """Append each key's first valid course of arriving ``nseq<TAB>json`` text files to ``target``.
 
     Each micro-batch is deduplicated by ``nseq`` and then against keys accepted before;
     its rows go to a folder named by the batch, so a repeated batch overwrites itself.
+    Accepted keys are kept in a table of their own (``<target>_keys``), dealt by a hash of
+    the key, so that a batch reads the keys of its own shares only and no earlier rows.
     """
     raw = spark.readStream.schema("value string").text(folder)
     lines = raw.select(F.split_part("value", F.lit("\t"), F.lit(1)).try_cast("bigint").alias("nseq"), F.substring_index("value", "\t", -1).alias("value"))
+    share = F.pmod(F.xxhash64(*KEY), F.lit(SHARES)).cast("int").alias("share")
+    keys = f"{target}_keys"
 
     def accept(batch: DataFrame, number: int) -> None:
         rows = with_errors(normalize(parse_lines(batch).where("construct_error is null"), run_time))
-        new = keep_first(rows.where("is_valid"))
-        earlier = [f"{target}/batch={k}" for k in range(number)]
-        if earlier:
-            known = spark.read.schema(new.schema).option("ignoreMissingFiles", True).parquet(*earlier)
-            new = new.join(known.select(*KEY), KEY, "left_anti")
-        new.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        new = keep_first(rows.where("is_valid")).persist()
+        if number:
+            shares = [r["share"] for r in new.select(share).distinct().collect()]  # SHARES at most
+            known = spark.read.schema("university string, course_id string, share int, batch long").parquet(keys)
+            known = known.where(F.col("share").isin(shares) & (F.col("batch") < number))
+            left = new.join(known.select(*KEY), KEY, "left_anti")
+        else:
+            left = new
+        left.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        accepted = spark.read.schema(new.schema).parquet(f"{target}/batch={number}").select(*KEY, share, F.lit(number).cast("long").alias("batch"))
+        accepted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("share", "batch").parquet(keys)
+        new.unpersist()
 
     return lines.writeStream.foreachBatch(accept).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

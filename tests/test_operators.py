@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from syllabary.functions import courses as C
 from syllabary.operators import extraction, golden, refresh, store, validation
 from syllabary.sources import courses as sources
 from syllabary.streaming import ingest
@@ -115,7 +116,7 @@ def test_site_rules(spark, site, block, want):
 def test_detail_pages_and_unknown_sites(spark):
     rules = extraction.rules(spark)
     rule = next(r for r in extraction.site_rules(rules) if r.name == "uconn")
-    block = lambda title, link: f'<div class="courseblock"><a href="{link}">x</a><b class="detail-code">CSE 1.</b><b class="detail-title">{title}</b></div>'
+    block = lambda title, link: f'<div class="courseblock"><a class="bubblelink" href="{link}">x</a><b class="detail-code">CSE 1.</b><b class="detail-title">{title}</b></div>'
     pages = spark.createDataFrame([(1, "/list", block("Short", "/detail") + block("Other", "/none")), (2, "/detail", block("Long", "/self"))], "page_id long, url string, html string")
     got = extraction.parse_blocks(extraction.replace_by_detail(extraction.course_blocks(pages.where("page_id = 1"), rule), pages, rule), rule)
     assert sorted(r["title"] for r in got.collect()) == ["Long", "Other"]
@@ -137,7 +138,8 @@ def test_files(spark, tmp_path):
     out = rows.select("university", "title", "notes")
     sources.write_jsonl(out, str(tmp_path / "out"))
     assert "notes" not in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*"))
-    assert len(json.loads(sources.to_json_array(out).first()["json"])) == 2
+    assert len(json.loads("\n".join(r["line"] for r in sources.to_json_array(out).collect()))) == 2
+    assert json.loads("".join(r["line"] for r in sources.to_json_array(out.where("false")).collect())) == []
 
 
 def test_streams(spark, tmp_path):
@@ -155,3 +157,76 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([("U", h, k)], "university string, content_hash string, seq long").write.mode("append").parquet(str(hashes))
         ingest.watch_catalogues(spark, str(hashes), str(tmp_path / "snap"), str(tmp_path / "state2"), "2024-01-31 00:00:00").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "snap/v1")).first()["notes"] == "Catalog updated"
+
+
+def test_files_are_read_in_order(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, size in (("a", 1), ("b", 30), ("c", 400)):  # Spark packs the largest first
+        (folder / f"{name}.jsonl").write_text("".join(json.dumps(ROW | {"title": f"{name}{k}"}) + "\n\n" for k in range(size)))
+    rows = sources.read_jsonl(spark, str(folder)).orderBy("nseq")
+    assert [r["title"] for r in rows.collect()] == [f"{n}{k}" for n, size in (("a", 1), ("b", 30), ("c", 400)) for k in range(size)]
+    assert store.keep_first(rows).first()["title"] == "a0" and store.keep_last(rows).first()["title"] == "c399"
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # one file in several blocks
+    try:
+        split = sources.read_jsonl(spark, str(folder / "c.jsonl"), *[str(folder / "a.jsonl")] * 130)
+        titles = [r["title"] for r in split.orderBy("nseq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    assert titles == [f"c{k}" for k in range(400)] + ["a0"] * 130
+    (tmp_path / "d.json").write_text(json.dumps([ROW | {"title": "x"}, ROW | {"title": "y"}]))
+    (tmp_path / "e.json").write_text(json.dumps(ROW | {"title": "z"}))
+    documents = sources.read_json_document(spark, str(tmp_path / "d.json"), str(tmp_path / "e.json"))
+    assert [(r["nseq"], r["title"]) for r in documents.orderBy("nseq").collect()] == [(0, "x"), (1, "y"), (2, "z")]
+    assert store.keep_first(documents).first()["title"] == "x"
+    assert [r["title"] for r in sources.first_rows(documents, 2).collect()] == ["x", "y"] and sources.first_rows(documents, None).count() == 3
+
+
+def test_uconn_fallbacks(spark):
+    rule = next(r for r in extraction.site_rules(extraction.rules(spark)) if r.name == "uconn")
+    block = lambda code, link="": f'<div class="course"><a class="courseblockcode" href="/wrong">w</a><a href="{link}" class="x bubblelink">c</a><span class="detail-code">{code}.</span><span class="detail-title">T.</span></div>'
+    pages = spark.createDataFrame(
+        [
+            (1, "u1", '<a href="/undergraduate/courses/cse/">a</a><a href="/graduate/courses/cse/">b</a>'), (2, "u2", '<a href="/graduate/courses/math/">b</a>'),
+            (3, "u3", '<ul class="breadcrumb"><li>Home</li><li>Mathematics </li></ul>' + block("MATH 100", "d")), (5, "d", '<div class="courseblock"><span class="detail-code">MATH 200</span></div>'),
+            (6, "d", '<div class="courseblock"><span class="detail-code">MATH 300</span></div>'),
+        ],
+        "page_id long, url string, html string",
+    )
+    assert [(r["page_id"], r["link"]) for r in extraction.discover_links(pages, rule).orderBy("page_id").collect()] == [(1, "/undergraduate/courses/cse/"), (2, "/graduate/courses/math/")]
+    found = extraction.course_blocks(pages, rule)
+    assert {(r["page_id"], r["department"]) for r in found.collect()} >= {(3, "Mathematics")}
+    assert [r["block"] for r in extraction.replace_by_detail(found.where("page_id = 3"), pages, rule).collect()] == ['<div class="courseblock"><span class="detail-code">MATH 200</span></div>']
+    assert extraction.listed(extraction.rules(spark)).first()["sites"] == extraction.rules(spark).count()
+
+
+def test_title_lines(spark):
+    lines = ["CSE 2100. Data Structures. 3 credits", "MATH 101Q. Calculus", "no course"]
+    got = spark.createDataFrame([(t,) for t in lines], "t string").select(C.title_line(F.col("t")).alias("r")).select("r.*").collect()
+    assert [(r["course_id"], r["title"], r["credits"] and r["credits"]["num"]) for r in got] == [("CSE 2100", "Data Structures", 3.0), ("MATH 101Q", "Calculus", None), (None, None, None)]
+
+
+def test_yale_title_from_any_text(spark):
+    rule = next(r for r in extraction.site_rules(extraction.rules(spark)) if r.name == "yale")
+    blocks = spark.createDataFrame([(1, "u", "D", 0, '<div class="courseblock">CPSC 201. Introduction<p>x</p></div>')], "page_id long, url string, department string, position int, block string")
+    assert extraction.parse_blocks(blocks, rule).first()["course_id"] == "CPSC 201"
+
+
+def test_snapshots_and_runs(spark):
+    snap = spark.createDataFrame([("b", "h"), ("a", "h")], "university string, content_hash string")
+    assert refresh.snapshot(snap, "b").count() == 1 and refresh.snapshot(snap, "z").count() == 0
+    assert [r["university"] for r in refresh.snapshots_listed(snap).collect()] == ["a", "b"]
+    checked = spark.createDataFrame([("a", True), ("b", False)], "university string, changed boolean")
+    assert refresh.tasks(checked).count() == 1 and refresh.tasks(checked, force=True).count() == 2
+    runs = spark.createDataFrame([("2024-01-01 00:00:00", "2024-01-01 01:02:03"), ("bad", "2024-01-01 01:02:03"), (None, None)], "start_time string, end_time string")
+    assert [r["duration"] for r in refresh.run_duration(runs).collect()] == ["1:02:03", "Unknown", "Unknown"]
+
+
+def test_export_decoded(spark, tmp_path):
+    table = spark.createDataFrame([(1, "V", "B 1", '["A 1"]'), (2, "U", "C 1", None), (3, "U", "A 1", "[]")], "nseq long, university string, course_id string, corequisites string")
+    got = sources.export_decoded(table).collect()
+    assert [(r["university"], r["course_id"], r["corequisites"]) for r in got] == [("U", "A 1", []), ("U", "C 1", None), ("V", "B 1", ["A 1"])]
+    assert sources.export_decoded(table, "V").count() == 1 and "nseq" not in got[0].asDict()
+    sources.write_report(table.limit(1), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 1
