@@ -35,6 +35,17 @@ def test_language_of_copies_and_many_languages(spark):
     assert {w for w in found["copied"].decode().split() if w != "text"} == {word(k) for k in range(40)}
 
 
+def test_other_numbers_are_no_letters(spark):
+    rows = spark.createDataFrame([(1, "\u00bd\u00b2"), (2, "\u2167"), (3, "the \u00bd")], "doc_id long, text string")
+    assert [r["lang_pred"] for r in language_id.classify(rows, {"en": b"the "}).orderBy("doc_id").collect()] == ["und", "und", "en"]
+
+
+def test_equal_dictionaries_tie_and_are_rejected(spark):
+    rows = spark.createDataFrame([(1, "same words"), (1, "same words")], "doc_id long, text string")
+    got = language_id.classify(rows, {"b": b"same words ", "a": b"same words "}).collect()
+    assert [(r["lang_pred"], r["margin"], r["rejected"]) for r in got] == [("a", 0, True)] * 2
+
+
 def test_quality_held_out(tables):
     docs, labels = tables
     held = remainder(F.col("doc_id"), 3) == 1
@@ -101,10 +112,62 @@ def test_mixing_meets_targets(tables):
     assert got.where("rate < 0").count() == 0
 
 
-def test_webp_round_trip():
-    for n in (0, 1, 63, 64, 65, 5000, 1_200_000):
-        payload = webp.padded(os.urandom(n))[1]
+def _fitted(spark, rows, weights):
+    got = mixing.fit_rates(spark.createDataFrame(rows, "tokens long, posterior array<double>"), weights).collect()
+    t, p, r = (np.array([x[c] for x in got], float) for c in ("tokens", "posterior", "rate"))
+    gap = (t * r) @ p - np.array(weights) / sum(weights) * t.sum()
+    slope = p @ gap / max(t.sum(), 1)  # at the least squares 0 where a rate is positive, and not negative where it is 0
+    return r, np.abs(gap).max() / max(t.sum(), 1), np.abs(np.where(r > 0, slope, np.minimum(slope, 0)))[t > 0].max(initial=0), {x["settled"] for x in got}
+
+
+def test_rates_are_least_squares(spark):
+    rate, _, _, settled = _fitted(spark, [(10, [0.6, 0.4])], [0.1, 0.9])
+    assert abs(rate[0] - 0.42 / 0.52) < 1e-6 and settled == {True}
+    rng = np.random.default_rng(0)
+    rows = [(int(t), p.tolist()) for t, p in zip(rng.integers(0, 500, 200), rng.dirichlet([8, 0.3, 0.5], 200), strict=True)]
+    rate, gap, slope, settled = _fitted(spark, rows, [0.9, 0.02, 0.08])
+    assert gap <= 1e-4 and settled == {True} and (rate >= 0).all() and set(rate[[t == 0 for t, _ in rows]]) <= {1.0}
+    _, gap, slope, settled = _fitted(spark, rows, [0.01, 0.01, 0.98])  # cannot be met
+    assert gap > 0.1 and slope < 1e-4 and settled == {True}
+    assert mixing.fit_rates(spark.createDataFrame([], "tokens long, posterior array<double>"), [0.5, 0.5]).count() == 0
+
+
+def test_webp_round_trip(tables):
+    texts = [r["text"] for r in tables[0].limit(40).collect()] + ["a" * 9000, "ab" * 40, "".join(map(chr, range(1, 128))) * 3, "x" * 70 + "abcdefghijklm" * 400]
+    for payload in [webp.padded(os.urandom(n))[1] for n in (0, 1, 63, 64, 65, 5000, 1_200_000)] + [webp.padded(t)[1] for t in texts]:
         assert webp.payload_of(webp.encode(payload)) == payload
+    assert all(len(webp.encode(webp.padded(t)[1])) < 0.8 * len(t) for t in texts if len(t) > 1000)
+
+
+def _pictures():
+    rng = np.random.default_rng(0)
+    noise = rng.integers(0, 256, (9, 13, 4), dtype=np.uint8)
+    noise[3:7] = noise[2]  # rows that repeat
+    yield noise, [], 0
+    yield np.tile(noise[:3], (4, 3, 1)), [], 6  # back-references and a colour cache
+    yield noise, [(webp.GREEN,)], 0
+    for colours in (1, 2, 3, 5, 17):
+        yield noise[:1, :colours][0][rng.integers(0, colours, (9, 13))], [(webp.PALETTE,)], 0
+    for mode in range(14):
+        yield noise, [(webp.PREDICTOR, 2, np.full((3, 4), mode))], 0
+    yield noise, [(webp.CROSS, 2, rng.integers(-128, 128, (3, 4, 3)))], 0
+    yield noise, [(webp.PREDICTOR, 2, rng.integers(0, 14, (3, 4))), (webp.CROSS, 3, rng.integers(-128, 128, (2, 2, 3))), (webp.GREEN,)], 7
+
+
+def test_webp_pictures():
+    for pixels, transforms, cache_bits in _pictures():
+        for repeats in (True, False):
+            assert (webp.decode(webp.encode_image(pixels, transforms, cache_bits, repeats)) == pixels).all()
+
+
+def test_webp_predictors_by_hand():
+    left, top, over, corner = (np.array([v] * 4) for v in (10, 40, 90, 20))
+    want = [None, 10, 40, 90, 20, 45, 15, 25, 30, 65, 40, 40, 30, 27]  # 10: average of 15 and 65; 13: 25 and half of 25 - 20
+    assert [int(webp._predicted(m, left, top, over, corner)[0]) for m in range(1, 14)] == want[1:]
+    assert webp._predicted(0, left, top, over, corner).tolist() == [255, 0, 0, 0]
+    pixel = np.array([0xFF000000 | 200 << 16 | 100 << 8 | 50], np.uint32)
+    turned = webp._uncross(pixel, 1, 1, 2, np.array([0xFF000000 | 32 << 16 | 0 << 8 | 32], np.uint32))  # green to red 1, green to blue 0, red to blue 1
+    assert int(turned[0]) == 0xFF000000 | (200 + 100 & 255) << 16 | 100 << 8 | (50 + (200 + 100 & 255)) & 255
 
 
 class _Stream:
@@ -126,8 +189,7 @@ class _Stream:
         return self.put(*[(s, 8) for s in symbols[1:]])
 
     def pixels(self):
-        data = self.w.value.to_bytes(self.w.count // 8 + 2, "little")
-        argb, width, height = webp.decode_stream(data)
+        argb, width, height = webp.decode_stream(self.w.bytes())
         return [(int(x) >> 16 & 255, int(x) >> 8 & 255, int(x) & 255, int(x) >> 24) for x in argb]
 
 
