@@ -93,19 +93,33 @@ class Vocabulary:
         return _words(text)
 
 
-_slow_words = None
+#: Letters of Unicode 17 (first and last code points), which are symbols to the tokenizer's Unicode 16.
+_LATER_LETTERS = [
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x1C89, 0x1C89), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CB, 0xA7CC), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DA), (0xA7DC, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10D50, 0x10D65), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB),
+    (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2),
+    (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96),
+    (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+]
+
+
+@lru_cache(1)
+def _slow_words():
+    """The word pattern for any text."""
+    import regex
+
+    later = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _LATER_LETTERS)
+    letters = rf"[\p{{L}}--[{later}]]" if later else r"\p{L}"
+    return regex.compile(rf"(?V1){_ENDINGS}|[{letters}]+|[\p{{N}}]|[^{_SPACES}{letters}\p{{N}}]+")
 
 
 def _words(text: str) -> list[str]:
     if not _PLAIN_TEXT.search(text):
         return _PLAIN_WORDS.findall(text.lower())
-    global _slow_words
-    if _slow_words is None:
-        import regex
-
-        _slow_words = regex.compile(rf"{_ENDINGS}|[\p{{L}}]+|[\p{{N}}]|[^{_SPACES}\p{{L}}\p{{N}}]+")
     text = unicodedata.normalize("NFC", text)
-    return _slow_words.findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
+    return _slow_words().findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
 
 
 #: The arrays of a compiled lexicon, in order.

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, partitions, saved
+from .common import attach, bounded, forget, partitions, saved
 from .graph import components
 from .tokens import shingle_sets
 
@@ -581,8 +581,9 @@ def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, space_bytes:
     text = docs.select("doc_id", "text").join(bounded(members), F.col("doc_id") == F.col("rep")).select("space", "doc_id", "text")
     sets = saved(_packed_sets(text, words), "sets")
     total = sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0
-    sets, through = _cut_spaces(sets, percent, space_bytes, pivots)
-    heads = saved(_join_spaces(sets, percent, max(partitions(spark), total >> 23)), "heads")
+    cut, through = _cut_spaces(sets, percent, space_bytes, pivots)
+    heads = saved(_join_spaces(cut, percent, max(partitions(spark), total >> 23)), "heads")
+    forget(sets)
     twice = known.groupBy("doc_id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("doc_id")
     if not twice.isEmpty():  # rows of one document with several texts hold their classes together
         own = known.join(twice, "doc_id").join(classes, ["n", "s1", "s2"])
@@ -592,19 +593,10 @@ def near_groups(docs: DataFrame, percent: int = 75, words: int = 5, space_bytes:
         for more in through:
             links = links.unionByName(more)
         heads = components(links.select(F.col("id").alias("a"), F.col("head").alias("b"))).select("id", F.col("component_id").alias("head"))
-    found = saved(classes.join(heads.distinct(), F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", "copies", "rep", F.coalesce("head", "rep").alias("component_id")), "class-components")
-    return _spread(meta, found).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-
-
-def _spread(meta: DataFrame, found: DataFrame) -> DataFrame:
-    """Give each row its class's component; the at most 10,000 classes with a ten-thousandth of all rows each are broadcast."""
-    key = ["n", "s1", "s2"]
-    each = max(1, meta.count() // 10_000)
-    hot = F.broadcast(found.where(F.col("copies") > each).select(*key, F.col("component_id").alias("hot")))
-    rest = found.where((F.col("copies") <= each) & ((F.col("copies") > 1) | (F.col("rep") != F.col("component_id")))).select(*key, F.col("component_id").alias("rest"))
-    rows = meta.join(hot, key, "left")
-    usual = rows.where("hot is null").join(rest, key, "left").withColumn("component_id", F.coalesce("rest", "doc_id")).drop("rest")
-    return usual.unionByName(rows.where("hot is not null").withColumn("component_id", F.col("hot"))).withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    found = saved(classes.join(heads.distinct(), F.col("rep") == F.col("id"), "left").select("n", "s1", "s2", "copies", F.coalesce("head", "rep").alias("component_id")), "class-components")
+    usual = attach(known, found.select("n", "s1", "s2", "copies", "component_id"), ["n", "s1", "s2"], "copies")
+    rest = meta.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
+    return usual.select(*rest.columns).unionByName(rest).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, keyed, partitions, saved
+from .common import bounded, forget, keyed, partitions, saved
 from .tokens import doubled, text_chunks, word_hashes, word_spans
 
 ANCHOR = 16
@@ -97,6 +97,7 @@ def _candidates(docs: DataFrame, window: int) -> tuple[DataFrame, int, np.ndarra
     if size["k"] <= BROADCAST_ANCHORS:
         marks = np.sort(shared.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(_U))
         ids = saved(found.join(F.broadcast(shared.select("anchor")), "anchor", "left_semi").select("doc_id").distinct(), "candidate-ids")
+        forget(found)
         return docs.join(bounded(ids), "doc_id", "left_semi").withColumn("anchors", F.lit(None).cast("array<long>")), size["n"] or 0, marks
     own = found.select("doc_id", "anchor").join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     return saved(docs.join(own, "doc_id"), "candidates"), size["n"] or 0, None
@@ -160,7 +161,7 @@ def _groups_of(grams: list[np.ndarray], tail: np.ndarray, heavy: list[np.ndarray
     return key
 
 
-def _sent(candidates: DataFrame, window: int, marks: np.ndarray | None, heavy: list[np.ndarray], slots: int, groups: int, limit: int = 1_500_000) -> DataFrame:
+def _sent(candidates: DataFrame, window: int, marks: np.ndarray | None, heavy: list[np.ndarray], slots: int, groups: int, parts: int, limit: int = 1_500_000) -> DataFrame:
     """Packed windows of ``candidates`` by group (``bucket``), folded by task; without a path those known to be later."""
     names = ["bucket", "starts", "ids", "one", "two"]
     types = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
@@ -169,7 +170,7 @@ def _sent(candidates: DataFrame, window: int, marks: np.ndarray | None, heavy: l
     def send(ids: np.ndarray, pos: np.ndarray, one: np.ndarray, two: np.ndarray, prefix: np.ndarray) -> Iterator[pa.RecordBatch]:
         order, least = _fold(ids, pos, one, two)
         later = ids[order] > least
-        rows = [(part, *packed, None, None) for part, packed in _by_part(ids[order[later]], pos[order[later]], groups)]
+        rows = [(part, *packed, None, None) for part, packed in _by_part(ids[order[later]], pos[order[later]], parts)]
         kept = order[~later]
         bucket = ((prefix[kept] >> _U(20)) % _U(groups)).astype(np.int32)
         by = np.lexsort((pos[kept], ids[kept], bucket))
@@ -202,7 +203,7 @@ def _by_part(ids: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[tuple[int
     return _packed(part[order], [pos[order], ids[order]])
 
 
-def _later_starts(sent: DataFrame, groups: int) -> DataFrame:
+def _later_starts(sent: DataFrame, parts: int) -> DataFrame:
     """``doc_id, starts``: packed positions of windows that an earlier document has."""
 
     def subtree(key: tuple, part: pa.Table) -> pa.Table:
@@ -211,7 +212,7 @@ def _later_starts(sent: DataFrame, groups: int) -> DataFrame:
         pos, ids, one, two = (np.frombuffer(b"".join(rest.column(c).to_pylist()), t) for c, t in (("starts", np.int32), ("ids", np.int64), ("one", _U), ("two", _U)))
         order, least = _fold(ids, pos, one, two)
         gone = order[ids[order] > least]
-        rows = [(share, *packed) for share, packed in _by_part(ids[gone], pos[gone], groups)]
+        rows = [(share, *packed) for share, packed in _by_part(ids[gone], pos[gone], parts)]
         rows += zip(*(known.column(c).to_pylist() for c in ("bucket", "starts", "ids")), strict=True)
         return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("part", pa.int32()), ("starts", pa.binary()), ("ids", pa.binary())))})
 
@@ -265,8 +266,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, texts: bool = False, group
     candidates, windows, marks = _candidates(rows.where(F.col("doc_id").isNotNull()), window)
     slots = 1 << max(12, (32 * windows // group_rows).bit_length())
     heavy = _heavy_prefixes(candidates, window, marks, slots, group_rows // 4)
-    groups = max(4 * partitions(docs.sparkSession), 4 * windows // group_rows)
-    starts = saved(_later_starts(_sent(candidates, window, marks, heavy, slots, groups), groups), "starts")
+    groups = max(2 * partitions(docs.sparkSession), 4 * windows // group_rows)
+    parts = max(partitions(docs.sparkSession), groups // 4)
+    starts = saved(_later_starts(_sent(candidates, window, marks, heavy, slots, groups, parts), parts), "starts")
     touched = bounded(starts.select("doc_id"))
     some = _cover(rows.join(touched, "doc_id", "left_semi").join(starts, "doc_id"), window, texts)
     rest = rows.join(touched, "doc_id", "left_anti").withColumn("starts", F.lit(None).cast("binary"))
