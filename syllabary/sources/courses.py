@@ -154,6 +154,10 @@ def write_version(table: DataFrame, path: str, version: int) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared checkpoint folder; a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="syllabary-")
+    """A new folder name below the shared checkpoint folder; in local mode a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="syllabary-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
