@@ -15,12 +15,13 @@ def bind(c: Column, f) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    """Without white space at the ends; the look-behind tries a run of it once, however long it is."""
+    return F.regexp_replace(c, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def normalize_whitespace(c: Column) -> Column:
     """One space for each run of white space, none at the ends; null gives an empty text."""
-    return F.coalesce(strip(F.regexp_replace(c, rf"{SPACE}+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(c, rf"{SPACE}+", " ")), F.lit(""))
 
 
 def fix_broken_lines(c: Column) -> Column:
@@ -37,8 +38,7 @@ def decode_entities(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Normalised text with four entities decoded and no white space before ``.,;:``."""
-    tidy = fix_broken_lines(decode_entities(normalize_whitespace(c)))
-    return strip(F.regexp_replace(tidy, rf"{SPACE}+([.,;:])", "$1"))
+    return F.trim(F.regexp_replace(decode_entities(normalize_whitespace(c)), r" +([.,;:])", "$1"))  # no other white space is left
 
 
 def split_entries(c: Column, delimiter: str = r"\n[\t-\r ]*\n") -> Column:
