@@ -19,14 +19,22 @@ from syllabary.llm.common import keyed, saved
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language is rejected; ``lang`` becomes the language found."""
+    """Drop documents whose language is rejected; ``lang`` becomes the language found.
+
+    Null and empty texts and texts without a letter are rejected; repeated rows and rows
+    with a null doc_id are judged by their text like all others; an empty table stays empty.
+    """
     known = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = language_id.classify(docs, language_id.learn(known), carry=True).where(~F.col("rejected"))
     return found.select(F.col("row").withField("lang", F.col("lang_pred")).alias("row")).select("row.*").select(*docs.columns)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of linked documents."""
+    """Keep the smallest doc_id of each group of linked documents.
+
+    Texts without words link with nothing and stay, as do rows with a null doc_id; rows
+    equal in doc_id and text stay or go together; an empty table stays empty.
+    """
     rows = keyed(docs)
     groups = jaccard.near_groups(rows.select(F.col("__key").alias("doc_id"), "text"))
     gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__key")).distinct()
@@ -34,7 +42,11 @@ def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take out passages that an earlier document has; documents left without words go."""
+    """Take out passages that an earlier document has; documents left without words go.
+
+    Texts that had no words stay as they are, as do rows with a null doc_id; rows equal in
+    doc_id and text get equal texts; an empty table stays empty.
+    """
     rows = keyed(docs)
     known = rows.where("__key is not null")
     found = substrings.remove_repeats(known.select(F.col("__key").alias("doc_id"), "text"), texts=True).where("n_removed < n_words or n_words = 0")
@@ -44,13 +56,17 @@ def remove_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as its fitted rate says."""
+    """Take each document as often as its fitted rate says.
+
+    Documents without words have rate 1 and stay; the chance of a copy follows doc_id and
+    text, so equal rows are taken equally often; an empty table stays empty.
+    """
     taken = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True).where("copies > 0")
     return taken.select(F.explode(F.sequence(F.lit(1), "copies")), "row").select("row.*")
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each document, with digests of ids and decoded text."""
+    """The ids of each document, with digests of ids and decoded text; null texts have no ids."""
     vocabulary = bpe.read_vocabulary()
     encoded = bpe.encode_decode(docs, vocabulary, bpe.build_lexicon(docs, vocabulary), texts=True)
     return encoded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
