@@ -21,11 +21,11 @@ with each other; a component's id is the smallest vec_id in it, null if it has n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, bounded, saved
@@ -34,16 +34,21 @@ from .graph import components
 _SHIFT = 32
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, not again for each element that uses it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def unit_vectors(vectors: DataFrame) -> DataFrame:
     """``vec_id, k1, k2, unit`` of ``vectors(vec_id, embedding)``: keys of equal vectors, and the vector at length one; null where it cannot link."""
     v = F.col("v")
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = rows.withColumn("v", F.when(v.isNotNull() & sound, F.transform(v, lambda x: x + F.lit(0.0))))
-    rows = rows.withColumn("scaled", F.transform(v, lambda x: x / F.array_max(F.transform(v, F.abs))))
-    rows = rows.withColumn("norm", F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x)))
+    scaled = _once(F.array_max(F.transform(v, F.abs)), lambda most: F.transform(v, lambda x: x / most))
+    unit = _once(scaled, lambda s: _once(F.sqrt(F.aggregate(s, F.lit(0.0), lambda t, x: t + x * x)), lambda norm: F.transform(s, lambda x: x / norm)))
     keys = (F.when(v.isNotNull(), k) for k in (F.xxhash64(v), F.xxhash64(F.lit(6), v, F.size(v))))
-    return rows.select("vec_id", *(k.alias(n) for k, n in zip(keys, ("k1", "k2"), strict=True)), F.transform("scaled", lambda x: x / F.col("norm")).alias("unit"))
+    return rows.select("vec_id", *(k.alias(n) for k, n in zip(keys, ("k1", "k2"), strict=True)), unit.alias("unit"))
 
 
 def grow(sample: np.ndarray, trees: int, depth: int, spill: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
