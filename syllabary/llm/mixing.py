@@ -4,8 +4,11 @@ A multinomial model fitted on labelled rows gives each document a posterior over
 domains; a document's tokens belong to the domains in those shares.  Rates, one a
 document and not negative, are fitted by projected gradient steps on half the sum of
 squared gaps between expected domain tokens and their targets, in the metric that weighs
-documents by tokens.  A step needs a few sums over all documents; its length follows the
-last two (Barzilai-Borwein) and is taken back where the squares grow.  Rates are a fold
+documents by tokens.  A step needs a few sums over all documents.  At first steps are
+scaled by the domains' own products over documents with a positive rate, which meets
+targets that can be met in a few steps; where that no longer helps, plain steps follow,
+whose length comes from the last two (Barzilai-Borwein) and is taken back where the
+squares grow.  Rates are a fold
 over the list of past steps, and written now and then so that the list stays short.
 
 ``fit_rows`` bounds the labelled rows used for the fit.  Steps end when the gaps are
@@ -141,24 +144,39 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
     goal = np.array(weights, float) / max(sum(weights), 1e-12) * (tokens if total is None else total)
     safe = 1.0 / max(float(np.linalg.eigvalsh(np.array([[float(sums[f"m{i}_{j}"]) for j in range(k)] for i in range(k)])).max()), 1e-300)
 
-    base, taken, settled = members.withColumn("start", F.lit(1.0)), [], False
+    base, taken, settled, scaled = members.withColumn("start", F.lit(1.0)), [], False, True
     known: list[float] = []  # squares of the last iterates that were kept
     gap_before, length = None, safe
     for _ in range(steps):
         now, before = _rate(F.col("start"), taken), _rate(F.col("start"), taken[:-1])
         moved = F.col("now") - F.col("before")
         rates = base.select("tokens", "posterior", now.alias("now"), before.alias("before"))
-        row = rates.agg(*[F.sum(F.col("tokens") * F.col("now") * share[i]).alias(f"e{i}") for i in range(k)], F.sum(F.col("tokens") * moved * moved).alias("d"), F.sum(F.col("tokens") * F.abs(moved)).alias("a")).first()
+        open_ = F.when(F.col("now") > 0, F.col("tokens")).otherwise(0)
+        row = rates.agg(*[F.sum(F.col("tokens") * F.col("now") * share[i]).alias(f"e{i}") for i in range(k)], *[F.sum(open_ * share[i] * share[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)], F.sum(F.col("tokens") * moved * moved).alias("d"), F.sum(F.col("tokens") * F.abs(moved)).alias("a")).first()
         gap = np.array([float(row[f"e{i}"]) for i in range(k)]) - goal
         squares = float(gap @ gap)
         if np.abs(gap).max() <= tolerance * tokens:
             settled = True
             break
+        if scaled and not (known and squares > 0.8 * known[-1]):
+            known.append(squares)
+            if len(taken) >= written:
+                base = saved(base.withColumn("start", _rate(F.col("start"), taken)), "rates")
+                taken = []
+            inner = np.array([[float(row[f"m{i}_{j}"]) for j in range(k)] for i in range(k)])
+            taken.append((np.linalg.pinv(inner, rcond=1e-10, hermitian=True) @ gap).tolist())
+            continue
+        if scaled:  # scaled steps no longer help: on from the better of the last two by plain ones
+            scaled, worse = False, squares >= known[-1]
+            known = []
+            if worse:
+                taken.pop()
+                continue
         if taken and known and squares > max(known[-4:]) * (1 + 1e-12) and length > safe:
             length = max(safe, length / 4)  # too far: the last step again, shorter
             taken[-1] = (length * gap_before).tolist()
             continue
-        if gap_before is not None and float(row["a"]) <= 1e-3 * tolerance * tokens:
+        if gap_before is not None and float(row["a"]) * safe / length <= 0.1 * tolerance * tokens:
             settled = True  # no rate moves: the least squares are found, though not zero
             break
         change = None if gap_before is None else gap - gap_before
