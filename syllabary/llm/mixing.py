@@ -152,7 +152,7 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
         moved = F.col("now") - F.col("before")
         rates = base.select("tokens", "posterior", now.alias("now"), before.alias("before"))
         open_ = F.when(F.col("now") > 0, F.col("tokens")).otherwise(0)
-        row = rates.agg(*[F.sum(F.col("tokens") * F.col("now") * share[i]).alias(f"e{i}") for i in range(k)], *[F.sum(open_ * share[i] * share[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)], F.sum(F.col("tokens") * moved * moved).alias("d"), F.sum(F.col("tokens") * F.abs(moved)).alias("a")).first()
+        row = rates.agg(F.sum(open_).alias("t"), *[F.sum(F.col("tokens") * F.col("now") * share[i]).alias(f"e{i}") for i in range(k)], *[F.sum(open_ * share[i] * share[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)], F.sum(F.col("tokens") * moved * moved).alias("d"), F.sum(F.col("tokens") * F.abs(moved)).alias("a")).first()
         gap = np.array([float(row[f"e{i}"]) for i in range(k)]) - goal
         squares = float(gap @ gap)
         if np.abs(gap).max() <= tolerance * tokens:
@@ -176,7 +176,7 @@ def fit_rates(members: DataFrame, weights: list[float], total: float | None = No
             length = max(safe, length / 4)  # too far: the last step again, shorter
             taken[-1] = (length * gap_before).tolist()
             continue
-        if gap_before is not None and float(row["a"]) * safe / length <= 0.1 * tolerance * tokens:
+        if gap_before is not None and float(row["a"]) * safe / length <= 0.01 * tolerance * float(row["t"] or tokens):
             settled = True  # no rate moves: the least squares are found, though not zero
             break
         change = None if gap_before is None else gap - gap_before
