@@ -147,7 +147,7 @@ def _pictures():
     yield np.tile(noise[:3], (4, 3, 1)), [], 6  # back-references and a colour cache
     yield noise, [(webp.GREEN,)], 0
     for colours in (1, 2, 3, 5, 17):
-        yield noise[:1, :colours][0][rng.integers(0, colours, (9, 13))], [(webp.PALETTE,)], 0
+        yield noise.reshape(-1, 4)[:colours][rng.integers(0, colours, (9, 13))], [(webp.PALETTE,)], 0
     for mode in range(14):
         yield noise, [(webp.PREDICTOR, 2, np.full((3, 4), mode))], 0
     yield noise, [(webp.CROSS, 2, rng.integers(-128, 128, (3, 4, 3)))], 0
