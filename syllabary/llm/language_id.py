@@ -30,16 +30,21 @@ UNKNOWN = "und"
 _RESULT = "lang_pred string, score double, margin long, rejected boolean"
 
 
+_NOT_WORDS = re.compile(r"[\W\d_]+")
+
+
 @lru_cache(1)
-def _not_letters() -> re.Pattern:
-    """Runs of anything but letters; numbers that are no digits (as in 1st powers, fractions, Roman ones) are word characters to ``re``."""
-    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
-    return re.compile(rf"[\W\d_{re.escape(numbers)}]+")
+def _other_numbers() -> re.Pattern:
+    """Numbers that are no digits (powers, fractions, Roman ones): word characters to ``re``, but no letters."""
+    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]+")
 
 
 def _letters(text: str) -> bytes:
     """The words in lower case, one space after each."""
-    return (_not_letters().sub(" ", text.lower()).strip() + " ").encode("utf-8", "surrogatepass")
+    words = _NOT_WORDS.sub(" ", text.lower())
+    if not words.isascii():
+        words = " ".join(_other_numbers().sub(" ", words).split())
+    return (words.strip() + " ").encode("utf-8", "surrogatepass")
 
 
 def learn(docs: DataFrame, per_language: int = 128, piece: int = 1000) -> dict[str, bytes]:
