@@ -34,16 +34,16 @@ _NOT_WORDS = re.compile(r"[\W\d_]+")
 
 
 @lru_cache(1)
-def _other_numbers() -> re.Pattern:
+def _other_numbers() -> frozenset[str]:
     """Numbers that are no digits (powers, fractions, Roman ones): word characters to ``re``, but no letters."""
-    return re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")) + "]+")
+    return frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No"))
 
 
 def _letters(text: str) -> bytes:
     """The words in lower case, one space after each."""
     words = _NOT_WORDS.sub(" ", text.lower())
-    if not words.isascii():
-        words = " ".join(_other_numbers().sub(" ", words).split())
+    if not words.isascii() and (found := _other_numbers().intersection(words)):
+        words = " ".join(words.translate(dict.fromkeys(map(ord, found), " ")).split())
     return (words.strip() + " ").encode("utf-8", "surrogatepass")
 
 
