@@ -8,6 +8,7 @@ SQL; ``tests/llm`` holds them against brute force instead.
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .collocations import op11_collocations
 from .embedding_dedup import op6_embedding_dedup
 from .jaccard import op4_jaccard
 from .language_id import op8_language_id
@@ -20,7 +21,7 @@ from .webp import op3_webp
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_sharding, op3_webp, op4_jaccard, op5_bpe, op6_embedding_dedup, op7_substrings, op8_language_id, op9_quality, op10_mixing)
+    for f in (op1_toxicity, op2_sharding, op3_webp, op4_jaccard, op5_bpe, op6_embedding_dedup, op7_substrings, op8_language_id, op9_quality, op10_mixing, op11_collocations)
 }
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -63,4 +64,22 @@ kept AS (
 )
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id""",
+    "op11_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (SELECT lang, t.k, array_to_string(ws[s.i : s.i + t.k - 1], ' ') AS phrase FROM w, unnest(range(1, 6)) t(k), unnest(range(1, len(ws) - t.k + 2)) s(i)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 100),
+gone AS (SELECT DISTINCT x.lang, x.phrase FROM f x JOIN f y ON y.lang = x.lang AND y.k > x.k AND 100 * y.f >= 100 * x.f AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ')),
+cand AS (SELECT f.lang, f.k AS size, f.phrase, f.f AS a, string_split(f.phrase, ' ') AS ws FROM f LEFT JOIN gone ON gone.lang = f.lang AND gone.phrase = f.phrase WHERE f.k >= 2 AND gone.phrase IS NULL),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, n.n, x.f AS l, y.f AS r, s.k,
+    CAST((CAST(1000 AS HUGEINT) * c.a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cand c JOIN n ON n.lang = c.lang, unnest(range(1, c.size)) s(k)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : s.k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[s.k + 1 :], ' ')
+),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cut),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
