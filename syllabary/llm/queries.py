@@ -15,13 +15,14 @@ from .language_id import op8_language_id
 from .mixing import op10_mixing
 from .quality import op9_quality
 from .sharding import op2_sharding
+from .spelling import op13_spelling
 from .substrings import op7_substrings
 from .toxicity import op1_toxicity
 from .webp import op3_webp
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_sharding, op3_webp, op4_jaccard, op5_bpe, op6_embedding_dedup, op7_substrings, op8_language_id, op9_quality, op10_mixing, op11_collocations)
+    for f in (op1_toxicity, op2_sharding, op3_webp, op4_jaccard, op5_bpe, op6_embedding_dedup, op7_substrings, op8_language_id, op9_quality, op10_mixing, op11_collocations, op13_spelling)
 }
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -82,4 +83,33 @@ cut AS (
 best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cut),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
+    "op13_spelling": r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)
+),
+run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS n FROM run WHERE length(w) >= 7 GROUP BY doc_id, w),
+hexed AS (SELECT w, n, hex(encode(concat(doc_id, ':', w))) AS h FROM each),
+crc AS (
+  SELECT w, n, xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, CAST(length(h) / 2 AS BIGINT) + 1), lambda k: CAST('0x' || h[2 * k - 1 : 2 * k] AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h
+  FROM hexed, tab
+),
+done AS (SELECT CASE WHEN h % 31 = 0 THEN w[1 : h % length(w)] || w[h % length(w) + 2 :] ELSE w END AS word, n FROM crc),
+word AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM done WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+less AS (SELECT word, n, k, word[1 : k - 1] || word[k + 1 :] AS rest FROM word, unnest(range(1, length(word) + 1)) t(k)),
+pair AS (
+  SELECT x.word AS a, y.word AS b, y.n AS m FROM less x JOIN less y ON x.rest = y.rest AND x.k = y.k AND x.word <> y.word
+  UNION SELECT x.word, y.word, y.n FROM less x JOIN word y ON x.rest = y.word
+  UNION SELECT y.word, x.word, x.n FROM less x JOIN word y ON x.rest = y.word
+),
+near AS (SELECT a, count(*) AS n_near FROM pair GROUP BY a),
+top AS (SELECT a, b, m FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY m DESC, b) AS place FROM pair) WHERE place = 1),
+form AS (SELECT w.word, w.n, t.b AS form, t.m AS form_n FROM word w LEFT JOIN top t ON t.a = w.word AND t.m >= 10 * w.n),
+chain(word, top, depth) AS (SELECT word, word, 0 FROM form UNION ALL SELECT c.word, f.form, c.depth + 1 FROM chain c JOIN form f ON f.word = c.top WHERE f.form IS NOT NULL),
+root AS (SELECT word, arg_max(top, depth) AS root FROM chain GROUP BY word)
+SELECT f.word, f.form, r.root, f.n, coalesce(near.n_near, 0) AS n_near, f.form_n
+FROM form f JOIN root r ON r.word = f.word LEFT JOIN near ON near.a = f.word""",
 }
