@@ -8,6 +8,7 @@ SQL; ``tests/llm`` holds them against brute force instead.
 from __future__ import annotations
 
 from .bpe import op5_bpe
+from .chat import op12_chat
 from .collocations import op11_collocations
 from .embedding_dedup import op6_embedding_dedup
 from .jaccard import op4_jaccard
@@ -22,7 +23,7 @@ from .webp import op3_webp
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_sharding, op3_webp, op4_jaccard, op5_bpe, op6_embedding_dedup, op7_substrings, op8_language_id, op9_quality, op10_mixing, op11_collocations, op13_spelling)
+    for f in (op1_toxicity, op2_sharding, op3_webp, op4_jaccard, op5_bpe, op6_embedding_dedup, op7_substrings, op8_language_id, op9_quality, op10_mixing, op11_collocations, op12_chat, op13_spelling)
 }
 
 _WORDS = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
@@ -83,6 +84,17 @@ cut AS (
 best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cut),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE place = 1)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
+    "op12_chat": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'
+),
+e AS (SELECT *, length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length(replace(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'), chr(10), '<|nl|>')) + 24 AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id""",
     "op13_spelling": r"""
 WITH RECURSIVE tab AS (
   SELECT list(list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
