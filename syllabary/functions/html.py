@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import decode_entities, nullif_empty, strip
+from .text import bind, decode_entities, nullif_empty, strip
 
 
 def links(html: Column, pattern: str | None = None) -> Column:
@@ -34,10 +34,51 @@ def all_text(html: Column) -> Column:
     return decode_entities(F.regexp_replace(html, r"<[^>]+>", " "))
 
 
-def blocks(html: Column, css_class: str) -> Column:
-    """The page cut before each element of the class; what precedes the first is left out."""
-    parts = F.split(html, rf'(?=<\w+[^>]*class="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"[^>]*>)')
-    return F.filter(parts, lambda x: F.regexp_like(x, F.lit(rf'^<\w+[^>]*class="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"')))
+#: Elements that have no content.
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+_OPEN = "array<struct<start:int,tag:string,depth:int>>"
+_DONE = "array<struct<start:int,stop:int>>"
+
+
+def elements(html: Column, css_class: str) -> Column:
+    """The elements of the class, each from its start tag to its own end tag, in page order; nested ones count too.
+
+    The page is read as start and end tags, each with the text behind it.  An open element
+    counts the tags of its name, one up and one down, and ends where the count is back at
+    none; a paragraph also ends where the next one starts; an element that nothing ends goes
+    on to the end of the page.  Comments are no part of the page.
+    """
+    page = F.regexp_replace(html, r"<!--[\s\S]*?(?:-->|$)", "")
+    start = rf'^<\w[^>]*\bclass="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"'
+
+    def cut(page: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_OPEN).alias("open"), F.array().cast(_DONE).alias("done"))
+
+        def step(s: Column, part: Column) -> Column:
+            tag = F.lower(F.regexp_extract(part, r"^</?(\w+)", 1))
+            ends, size = F.startswith(part, F.lit("</")), F.length(F.regexp_extract(part, "^<[^>]*>?", 0))
+            after = s["at"] + F.length(part)
+            change = F.when(ends, F.lit(-1)).when(tag == "p", F.lit(-1)).otherwise(F.lit(1))
+            moved = F.transform(s["open"], lambda o: o.withField("depth", F.when(o["tag"] == tag, o["depth"] + change).otherwise(o["depth"])))
+            shut = F.transform(F.filter(moved, lambda o: o["depth"] <= 0), lambda o: F.struct(o["start"].alias("start"), F.when(ends, s["at"] + size).otherwise(s["at"]).alias("stop")))
+            left = F.filter(moved, lambda o: o["depth"] > 0)
+            begins = F.regexp_like(part, F.lit(start))
+            lone = tag.isin(*VOID)
+            more = F.array(F.struct(s["at"].alias("start"), tag.alias("tag"), F.lit(1).alias("depth")))
+            whole = F.array(F.struct(s["at"].alias("start"), (s["at"] + size).alias("stop")))
+            quiet = (F.size(s["open"]) == 0) & ~begins
+            return F.when(quiet, s.withField("at", after)).otherwise(
+                F.struct(after.alias("at"), F.when(begins & ~lone, F.concat(left, more)).otherwise(left).alias("open"), F.when(begins & lone, F.concat(s["done"], shut, whole)).otherwise(F.concat(s["done"], shut)).alias("done"))
+            )
+
+        def finish(s: Column) -> Column:
+            rest = F.transform(s["open"], lambda o: F.struct(o["start"].alias("start"), s["at"].alias("stop")))
+            return F.transform(F.array_sort(F.concat(s["done"], rest)), lambda b: F.substring(page, b["start"] + 1, b["stop"] - b["start"]))
+
+        return F.aggregate(F.split(page, "(?=<)"), zero, step, finish)
+
+    some = F.regexp_like(page, F.lit(start.removeprefix("^")))  # most pages of most sites have none
+    return F.when(some, bind(page, cut)).otherwise(F.array().cast("array<string>"))
 
 
 def class_links(html: Column, css_class: str) -> Column:

@@ -98,8 +98,8 @@ def discover_links(pages: DataFrame, rule: SiteRule) -> DataFrame:
 
 
 def _blocks(rule: SiteRule) -> Column:
-    found = H.blocks(F.col("html"), rule.block)
-    return found if not rule.other_block else F.when(F.size(found) > 0, found).otherwise(H.blocks(F.col("html"), rule.other_block))
+    found = H.elements(F.col("html"), rule.block)
+    return found if not rule.other_block else F.when(F.size(found) > 0, found).otherwise(H.elements(F.col("html"), rule.other_block))
 
 
 def course_blocks(pages: DataFrame, rule: SiteRule) -> DataFrame:
@@ -141,9 +141,11 @@ def parse_blocks(blocks: DataFrame, rule: SiteRule) -> DataFrame:
     units = F.regexp_extract(source, r"(\d+)\s+Units?", 1)
     found = F.coalesce(C.extract_credits(source), C.units_credits(source) if rule.level_rule == "dotted" else F.when(units != "", C.credits_value("int", units, units)))
     default = C.credits_value("int", F.lit(3), F.lit("3")) if rule.default_credits == "3" else C.credits_value("str", F.lit(None), F.lit(rule.default_credits))
-    description = F.coalesce(clean_text(H.class_text(b, rule.description, "courseblockdesc")), whole if rule.level_rule == "dotted" else F.lit(""))
-    rows = blocks.select("page_id", "url", "department", "position", code.alias("code"), title.alias("title"), F.coalesce(found, default).alias("credits"), description.alias("description"), (H.class_text(b, rule.prereq) if rule.prereq else F.lit(None).cast("string")).alias("own"))
-    clause = P.prerequisite_clause(F.col("description"), rule.clause) if rule.clause else F.lit(None).cast("string")
+    stated = H.class_text(b, rule.description, "courseblockdesc")
+    description = F.when(stated.isNotNull(), clean_text(stated)).otherwise(whole if rule.level_rule == "dotted" else F.lit(""))
+    rows = blocks.select("page_id", "url", "department", "position", code.alias("code"), title.alias("title"), F.coalesce(found, default).alias("credits"), description.alias("description"), (H.class_text(b, rule.prereq) if rule.prereq else F.lit(None).cast("string")).alias("own"), whole.alias("whole"))
+    within = F.concat_ws(" ", "whole", "description") if rule.level_rule == "dotted" else F.col("description")
+    clause = P.prerequisite_clause(within, rule.clause) if rule.clause else F.lit(None).cast("string")
     rows = rows.withColumn("p", P.parse_prerequisites(F.coalesce("own", clause)))
     course_id = C.normalize_course_id(F.col("code"))
     level = C.infer_dotted_level(F.col("code")) if rule.level_rule == "dotted" else C.infer_level(course_id)

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
+STATE = ("university", "url", "content_hash", "last_checked", "last_updated", "course_count", "notes")
+
+
+def _with_url(rows: DataFrame) -> DataFrame:
+    return rows if "url" in rows.columns else rows.withColumn("url", F.lit(None).cast("string"))
 
 
 def _micros(c: Column) -> Column:
@@ -22,9 +27,13 @@ def _age(now: str, then: Column) -> Column:
 
 
 def check(current: DataFrame, snapshots: DataFrame, now: str, force: bool = False) -> DataFrame:
-    """Current ``university, content_hash`` against the snapshots: what changed and why, and the next state."""
-    old = snapshots.select("university", *[F.col(c).alias(f"old_{c}") for c in ("content_hash", "last_checked", "last_updated", "course_count", "notes")], F.lit(True).alias("known"))
-    rows = current.join(old, "university", "left")
+    """Current ``university, content_hash`` (and ``url``) against the snapshots: what changed and why, and the next state.
+
+    A snapshot keeps the address it was first made with.
+    """
+    snapshots = _with_url(snapshots)
+    old = snapshots.select("university", *[F.col(c).alias(f"old_{c}") for c in STATE[1:]], F.lit(True).alias("known"))
+    rows = _with_url(current).join(old, "university", "left")
     state = (
         F.when(F.col("content_hash").isNull(), "failed").when(F.col("known").isNull(), "first")
         .when(F.lit(not force) & (_age(now, F.col("old_last_checked")) < HOUR), "recent").when(~F.col("content_hash").eqNullSafe(F.col("old_content_hash")), "changed").otherwise("same")
@@ -38,7 +47,7 @@ def check(current: DataFrame, snapshots: DataFrame, now: str, force: bool = Fals
         reason = F.when(a == k, v).otherwise(reason)
     fresh = a.isin("first", "changed")
     return rows.select(
-        "university", "action", fresh.alias("changed"), reason.alias("reason"),
+        "university", "action", fresh.alias("changed"), reason.alias("reason"), F.when(a.isin("failed", "first") & F.col("known").isNull(), F.col("url")).otherwise(F.col("old_url")).alias("url"),
         F.when(fresh, F.col("content_hash")).otherwise(F.col("old_content_hash")).alias("content_hash"),
         F.when(a.isin("first", "changed", "same"), stamp).otherwise(F.col("old_last_checked")).alias("last_checked"),
         F.when(fresh, stamp).otherwise(F.col("old_last_updated")).alias("last_updated"),
@@ -49,15 +58,14 @@ def check(current: DataFrame, snapshots: DataFrame, now: str, force: bool = Fals
 
 def next_state(checked: DataFrame, snapshots: DataFrame) -> DataFrame:
     """The snapshot table after a check; universities that were not checked stay."""
-    columns = ["university", "content_hash", "last_checked", "last_updated", "course_count", "notes"]
-    touched = checked.where((F.col("action") != "failed") | F.col("last_checked").isNotNull()).select(*columns)
-    return snapshots.select(*columns).join(touched.select("university"), "university", "left_anti").unionByName(touched)
+    touched = checked.where((F.col("action") != "failed") | F.col("last_checked").isNotNull()).select(*STATE)
+    return _with_url(snapshots).select(*STATE).join(touched.select("university"), "university", "left_anti").unionByName(touched)
 
 
 def update_counts(snapshots: DataFrame, runs: DataFrame) -> DataFrame:
     """Course counts and notes of ``runs(university, n, note)``; unknown universities are added."""
-    both = snapshots.join(runs, "university", "full")
-    return both.select("university", "content_hash", "last_checked", "last_updated", F.coalesce("n", "course_count").alias("course_count"), F.coalesce(F.when(F.col("note") != "", F.col("note")), F.col("notes")).alias("notes"))
+    both = _with_url(snapshots).join(runs, "university", "full")
+    return both.select("university", "url", "content_hash", "last_checked", "last_updated", F.coalesce("n", "course_count").alias("course_count"), F.coalesce(F.when(F.col("note") != "", F.col("note")), F.col("notes")).alias("notes"))
 
 
 def snapshot(snapshots: DataFrame, university: str) -> DataFrame:
@@ -101,7 +109,7 @@ def priorities(snapshots: DataFrame, now: str) -> DataFrame:
 
 def plan(snapshots: DataFrame, now: str, most: int = 5, order: str = "nseq") -> DataFrame:
     """The catalogues longest without an update, with their address where the snapshots have one."""
-    return priorities(snapshots, now).orderBy(F.desc("priority"), order).limit(most)
+    return priorities(_with_url(snapshots), now).orderBy(F.desc("priority"), order).limit(most)
 
 
 def rank_configs(configs: DataFrame, snapshots: DataFrame, now: str, most: int = 5, order: str = "nseq") -> DataFrame:
@@ -115,9 +123,10 @@ def run_metrics(events: DataFrame) -> DataFrame:
     """Sums, peak memory and speed of ``events(university, ts, courses, pages, errors, memory_mb)``."""
     n = events.groupBy("university").agg(
         F.sum("courses").alias("courses"), F.sum("pages").alias("pages"), F.sum("errors").alias("errors"), F.max("memory_mb").alias("memory_peak_mb"),
-        F.bround((_micros(F.max("ts")) - _micros(F.min("ts"))) / F.lit(1e6), 2).alias("duration_s"),
+        ((_micros(F.max("ts")) - _micros(F.min("ts"))) / F.lit(1e6)).alias("duration_s"),
     )
-    return n.withColumn("courses_per_second", F.when(F.col("duration_s") > 0, F.bround(F.col("courses") / F.col("duration_s"), 2)).otherwise(0.0))
+    speed = F.when(F.col("duration_s") > 0, F.bround(F.col("courses") / F.col("duration_s"), 2)).otherwise(0.0)
+    return n.withColumns({"courses_per_second": speed, "duration_s": F.bround("duration_s", 2)})
 
 
 def timing_summary(durations: DataFrame, seconds: str = "seconds") -> DataFrame:

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_ascii, preview
@@ -13,31 +12,44 @@ from ..functions.text import fold_ascii, preview
 KEY = ["university", "course_id"]
 
 
-def _one(rows: DataFrame, order: str, last: bool, key: list[str]) -> DataFrame:
-    """Hash-aggregates the order only, then keeps the rows that have it; ``order`` must be unique within a key."""
-    found = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg((F.max if last else F.min)(order).alias("__place"))
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in key]
-    return rows.join(found, reduce(and_, same, F.col(order).eqNullSafe(F.col("__place"))), "left_semi")
+def whole_row(rows: DataFrame) -> Column:
+    """A row as text, equal for equal rows only: what tells rows of one place apart."""
+    return F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
 
 
-def keep_first(rows: DataFrame, order: str = "nseq", key: list[str] = KEY) -> DataFrame:
-    """The first row of each key, in the order of ``order``."""
-    return _one(rows, order, False, key)
+def _order(rows: DataFrame, order: str, last: bool, unique: bool) -> list[Column]:
+    by = F.col(order).desc_nulls_last() if last else F.col(order).asc_nulls_last()
+    return [by] if unique else [by, whole_row(rows).asc()]
 
 
-def keep_last(rows: DataFrame, order: str = "nseq", key: list[str] = KEY) -> DataFrame:
-    return _one(rows, order, True, key)
+def _one(rows: DataFrame, order: str, last: bool, key: list[str], unique: bool) -> DataFrame:
+    """One pass: each task keeps one row a key before anything is shuffled, so a hot key costs a row a task."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*_order(rows, order, last, unique)))
+    return rows.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
-def duplicates(rows: DataFrame, order: str = "nseq", key: list[str] = KEY) -> DataFrame:
+def keep_first(rows: DataFrame, order: str = "nseq", key: list[str] = KEY, unique: bool = False) -> DataFrame:
+    """One row of each key: the first by ``order``, nulls last; of equal places the smallest row as JSON text.
+
+    ``unique`` promises that no key has a place twice, and saves that text.
+    """
+    return _one(rows, order, False, key, unique)
+
+
+def keep_last(rows: DataFrame, order: str = "nseq", key: list[str] = KEY, unique: bool = False) -> DataFrame:
+    """One row of each key: the last by ``order``, nulls before all; ties as in :func:`keep_first`."""
+    return _one(rows, order, True, key, unique)
+
+
+def duplicates(rows: DataFrame, order: str = "nseq", key: list[str] = KEY, unique: bool = False) -> DataFrame:
     """The rows that :func:`keep_first` leaves out, with their place in the key's order."""
-    place = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*_order(rows, order, False, unique)))
     return rows.withColumn("occurrence", place.cast("long")).where("occurrence > 1")
 
 
-def upsert(existing: DataFrame, batch: DataFrame, key: list[str] = KEY, order: str = "nseq") -> DataFrame:
+def upsert(existing: DataFrame, batch: DataFrame, key: list[str] = KEY, order: str = "nseq", unique: bool = False) -> DataFrame:
     """Rows of the batch (the last of each key) replace rows of the table."""
-    new = keep_last(batch, order, key)
+    new = keep_last(batch, order, key, unique)
     return existing.join(new.select(*key), key, "left_anti").unionByName(new)
 
 

@@ -23,9 +23,9 @@ NOW = views.NOW
 _WITH = f"""WITH courses_raw AS ({views.COURSES_RAW}),
 golden_changes AS ({views.GOLDEN_CHANGES}),
 snapshot_rows AS ({views.SNAPSHOTS}),
-snapshots AS (SELECT university, nseq, sha256(body) AS content_hash, last_checked, last_updated, course_count FROM snapshot_rows),
+snapshots AS (SELECT university, url, nseq, sha256(body) AS content_hash, last_checked, last_updated, course_count FROM snapshot_rows),
 current_rows AS ({views.CURRENT}),
-current_hashes AS (SELECT university, sha256(body) AS content_hash FROM current_rows),
+current_hashes AS (SELECT university, url, sha256(body) AS content_hash FROM current_rows),
 run_events AS ({views.RUN_EVENTS}),
 ids AS (SELECT courses_raw.*, upper(regexp_replace(regexp_replace(trim(course_id), '(-|\\s)+', ' ', 'g'), '([A-Z]+)(\\d)', '\\1 \\2', 'g')) AS norm_id FROM courses_raw),
 digits AS (SELECT ids.*, regexp_extract(norm_id, '\\d+') AS digits FROM ids),
@@ -85,11 +85,11 @@ def golden_courses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _view(spark, sf_dir, views.SNAPSHOTS, events="events")
-    return rows.select("university", "nseq", F.sha2("body", 256).alias("content_hash"), *[F.col(c).cast("timestamp").alias(c) for c in ("last_checked", "last_updated")], "course_count", F.lit(None).cast("string").alias("notes"))
+    return rows.select("university", "url", "nseq", F.sha2("body", 256).alias("content_hash"), *[F.col(c).cast("timestamp").alias(c) for c in ("last_checked", "last_updated")], "course_count", F.lit(None).cast("string").alias("notes"))
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _view(spark, sf_dir, views.CURRENT, events="events").select("university", F.sha2("body", 256).alias("content_hash"))
+    return _view(spark, sf_dir, views.CURRENT, events="events").select("university", "url", F.sha2("body", 256).alias("content_hash"))
 
 
 def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -131,17 +131,17 @@ def annotate_notes(spark, sf_dir):
 
 @query("SELECT university, norm_id AS course_id, min(nseq) AS nseq, arg_min(title, nseq) AS title FROM checked WHERE len(errors) = 0 GROUP BY ALL")
 def dedupe_first(spark, sf_dir):
-    return store.keep_first(validation.with_errors(courses(spark, sf_dir)).where("is_valid")).select("university", "course_id", "nseq", "title")
+    return store.keep_first(validation.with_errors(courses(spark, sf_dir)).where("is_valid"), unique=True).select("university", "course_id", "nseq", "title")
 
 
 @query("SELECT university, norm_id AS course_id, max(nseq) AS nseq, arg_max(title, nseq) AS title FROM ids GROUP BY ALL")
 def keep_last(spark, sf_dir):
-    return store.keep_last(courses(spark, sf_dir)).select("university", "course_id", "nseq", "title")
+    return store.keep_last(courses(spark, sf_dir), unique=True).select("university", "course_id", "nseq", "title")
 
 
 @query("""SELECT university, norm_id AS course_id, nseq, occurrence FROM (SELECT university, norm_id, nseq, row_number() OVER (PARTITION BY university, norm_id ORDER BY nseq) AS occurrence FROM ids) WHERE occurrence > 1""")
 def duplicate_report(spark, sf_dir):
-    return store.duplicates(courses(spark, sf_dir)).select("university", "course_id", "nseq", "occurrence")
+    return store.duplicates(courses(spark, sf_dir), unique=True).select("university", "course_id", "nseq", "occurrence")
 
 
 @query("""SELECT university, norm_id AS course_id, max(nseq) AS nseq FROM ids WHERE nseq % 3 = 0 GROUP BY ALL
@@ -149,7 +149,7 @@ UNION ALL SELECT university, norm_id, nseq FROM (SELECT university, norm_id, max
 WHERE NOT EXISTS (SELECT 1 FROM ids b WHERE b.nseq % 3 = 0 AND b.university = o.university AND b.norm_id = o.norm_id)""")
 def upsert(spark, sf_dir):
     rows = courses(spark, sf_dir)
-    return store.upsert(store.keep_last(rows.where("nseq % 3 <> 0")), rows.where("nseq % 3 = 0")).select("university", "course_id", "nseq")
+    return store.upsert(store.keep_last(rows.where("nseq % 3 <> 0"), unique=True), rows.where("nseq % 3 = 0"), unique=True).select("university", "course_id", "nseq")
 
 
 @query("""SELECT nseq, university, title, notes, NULL::VARCHAR AS extra FROM courses_raw UNION ALL SELECT nseq, university, title, NULL, 'golden' FROM golden_changes""")
@@ -338,14 +338,14 @@ def golden_sample(spark, sf_dir):
 
 # --- refresh ------------------------------------------------------------------------------------
 
-_CHECK = f"""checks AS (SELECT c.university, c.content_hash AS new_hash, s.content_hash AS old_hash, s.university IS NOT NULL AS known, s.last_checked, s.last_updated, s.course_count,
+_CHECK = f"""checks AS (SELECT c.university, c.content_hash AS new_hash, s.content_hash AS old_hash, s.university IS NOT NULL AS known, CASE WHEN s.university IS NULL THEN c.url ELSE s.url END AS url, s.last_checked, s.last_updated, s.course_count,
  CASE WHEN c.content_hash IS NULL THEN 'failed' WHEN s.university IS NULL THEN 'first' WHEN TIMESTAMP '{NOW}' - s.last_checked < INTERVAL 1 HOUR THEN 'recent' WHEN c.content_hash IS DISTINCT FROM s.content_hash THEN 'changed' ELSE 'same' END AS action
  FROM current_hashes c LEFT JOIN snapshots s ON c.university = s.university),
 reasons AS (SELECT checks.*, action IN ('first', 'changed') AS changed, CASE action WHEN 'failed' THEN 'Failed to fetch catalog' WHEN 'first' THEN 'First snapshot - needs scraping' WHEN 'recent' THEN 'Checked recently - skipping' WHEN 'changed' THEN 'Catalog content changed' ELSE 'No changes detected' END AS reason FROM checks)
 """
 
 
-@query("," + _CHECK + f"""SELECT university, action, changed, reason, CASE WHEN changed THEN new_hash ELSE old_hash END AS content_hash, CASE WHEN action IN ('first', 'changed', 'same') THEN TIMESTAMP '{NOW}' ELSE last_checked END AS last_checked,
+@query("," + _CHECK + f"""SELECT university, url, action, changed, reason, CASE WHEN changed THEN new_hash ELSE old_hash END AS content_hash, CASE WHEN action IN ('first', 'changed', 'same') THEN TIMESTAMP '{NOW}' ELSE last_checked END AS last_checked,
 CASE WHEN changed THEN TIMESTAMP '{NOW}' ELSE last_updated END AS last_updated, CASE WHEN action = 'first' THEN 0 ELSE course_count END AS course_count FROM reasons""")
 def change_detection(spark, sf_dir):
     return refresh.check(current(spark, sf_dir), snapshots(spark, sf_dir), NOW).drop("notes")
@@ -370,9 +370,9 @@ def refresh_priority(spark, sf_dir):
     return refresh.priorities(snapshots(spark, sf_dir), NOW).select("university", "priority")
 
 
-@query(f"SELECT university, {_AGE} AS priority, last_updated, course_count FROM snapshots ORDER BY {_AGE} DESC, nseq LIMIT 5")
+@query(f"SELECT university, url, {_AGE} AS priority, last_updated, course_count FROM snapshots ORDER BY {_AGE} DESC, nseq LIMIT 5")
 def refresh_plan(spark, sf_dir):
-    return refresh.plan(snapshots(spark, sf_dir), NOW).select("university", "priority", "last_updated", "course_count")
+    return refresh.plan(snapshots(spark, sf_dir), NOW).select("university", "url", "priority", "last_updated", "course_count")
 
 
 @query(f"""SELECT c.university, coalesce(s.priority, 0) AS priority FROM (SELECT university, min(event_order) AS o FROM (SELECT concat('U', CAST(user_id AS VARCHAR)) AS university, event_id AS event_order FROM events WHERE user_id % 4 <> 1) GROUP BY 1) c
@@ -391,9 +391,10 @@ def refresh_summary(spark, sf_dir):
 
 
 @query("""SELECT university, CAST(sum(courses) AS BIGINT) AS courses, CAST(sum(pages) AS BIGINT) AS pages, CAST(sum(errors) AS BIGINT) AS errors, max(memory_mb) AS memory_peak_mb,
-round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS duration_s FROM run_events GROUP BY 1""")
+round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 2) AS duration_s,
+CASE WHEN max(ts) > min(ts) THEN round_even(sum(courses) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 2) ELSE 0.0 END AS courses_per_second FROM run_events GROUP BY 1""")
 def run_metrics(spark, sf_dir):
-    return refresh.run_metrics(_view(spark, sf_dir, views.RUN_EVENTS, events="events")).drop("courses_per_second")
+    return refresh.run_metrics(_view(spark, sf_dir, views.RUN_EVENTS, events="events"))
 
 
 @query("SELECT count(*) AS iterations, round_even(avg(value * 1000), 3) AS avg_ms, round_even(min(value * 1000), 3) AS min_ms, round_even(max(value * 1000), 3) AS max_ms FROM events")
@@ -447,6 +448,37 @@ def course_blocks(spark, sf_dir):
     return rows.select("page_id", "course_id", "title", F.col("credits.text").alias("credits"), F.coalesce("level", F.lit("Unknown")).alias("level"), "department", "status")
 
 
+def _rule(spark: SparkSession, name: str) -> extraction.SiteRule:
+    return next(r for r in extraction.site_rules(extraction.rules(spark)) if r.name == name)
+
+
+@query("""SELECT nseq AS page_id, unnest([0, 1, 2])::BIGINT AS position, unnest(['One ' || title || ' Two In Three', 'In', 'Last ' || department]) AS text FROM ids
+UNION ALL SELECT nseq, 3, 'Open end' FROM ids WHERE nseq % 5 = 0""")
+def balanced_blocks(spark, sf_dir):
+    """Blocks end at their own end tags: nested blocks, other text between them, and a footer behind the last."""
+    c = courses_raw(spark, sf_dir)
+    html = F.concat(
+        F.lit('<div>Top<div class="x courseblock">One <b>'), F.col("title"), F.lit("</b><div>Two</div><!-- </div> --><div class='n'><div class=\"courseblock\">In</div></div> Three</div>between</div>"),
+        F.lit('<section class="courseblock">Last <br>'), F.col("department"), F.lit('</section><div class="footer">Prerequisite: CSE 9999</div>'), F.when(F.col("nseq") % 5 == 0, '<div class="courseblock">Open<p>end').otherwise(""),
+    )
+    pages = c.select(F.col("nseq").alias("page_id"), F.lit("https://example.org/courses/x/").alias("url"), html.alias("html"))
+    found = extraction.course_blocks(pages, _rule(spark, "columbia"))
+    return found.select("page_id", F.col("position").cast("long").alias("position"), T.clean_text(H.all_text(F.col("block"))).alias("text"))
+
+
+@query("""SELECT nseq AS page_id, CAST(nseq % 90 AS VARCHAR) || '.01' AS course_id, title, CASE WHEN nseq % 2 = 0 THEN 'Told apart' ELSE CAST(nseq % 90 AS VARCHAR) || '.01 ' || title || '. 3-0-9 units. Prereq: CSE 1010 and CSE 1729; x.' END AS description,
+'3' AS credits, CASE WHEN nseq % 3 = 0 AND nseq % 2 = 0 THEN NULL ELSE 'CSE 1010 and CSE 1729' END AS prerequisites_text FROM ids""")
+def whole_text_fields(spark, sf_dir):
+    """A site without field elements: description and prerequisite clause from the block's whole text, none from the footer."""
+    c = courses_raw(spark, sf_dir)
+    clause = F.when((F.col("nseq") % 3 == 0) & (F.col("nseq") % 2 == 0), "").otherwise(" Prereq: CSE 1010 and CSE 1729; x.")
+    stated = F.when(F.col("nseq") % 2 == 0, '<i class="courseblockextra">Told apart</i>').otherwise("")
+    html = F.concat(F.lit('<div class="courseblock"><p>'), (F.col("nseq") % 90).cast("string"), F.lit(".01 "), F.col("title"), F.lit(". 3-0-9 units."), clause, F.lit("</p>"), stated, F.lit("</div><footer>Prerequisite: CSE 9999</footer>"))
+    rule = _rule(spark, "mit")
+    rows = extraction.parse_blocks(extraction.course_blocks(c.select(F.col("nseq").alias("page_id"), F.lit("u").alias("url"), html.alias("html")), rule), rule)
+    return rows.select("page_id", "course_id", "title", "description", F.col("credits.text").alias("credits"), "prerequisites_text")
+
+
 @query("""SELECT 'Columbia University' AS university, count(*) FILTER (nseq % 17 <> 0) AS parsed, count(*) FILTER (nseq % 17 = 0) AS failed, round_even(count(*) FILTER (nseq % 17 <> 0) * 100.0 / count(*), 2)::DOUBLE AS success_rate FROM ids""")
 def scrape_success(spark, sf_dir):
     return extraction.success_rates(_family_rows(spark, sf_dir)).withColumn("success_rate", F.col("success_rate").cast("double"))
@@ -497,3 +529,26 @@ def stream_ingest(spark, sf_dir):
     lines.write.text(f"{base}/in")
     ingest.ingest_lines(spark, f"{base}/in", f"{base}/out", f"{base}/state", NOW).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("university", "course_id", "nseq")
+
+
+@query("""SELECT university, norm_id AS course_id, CAST(min(struct_pack(place := nseq % 3, nseq := coalesce(nullif(nseq % 10, 9), 100), title)).title AS VARCHAR) AS title
+FROM checked WHERE nseq % 23 <> 0 AND nseq % 29 <> 0 AND NOT list_contains(list_transform(errors, lambda x: left(x, 7)), 'Missing') AND NOT list_contains(list_transform(errors, lambda x: left(x, 17)), 'Invalid course_id') GROUP BY ALL""")
+def stream_batches(spark, sf_dir):
+    """Three arrivals of two files each with repeated and missing nseq, and one arrival again: one row a key, from the first arrival that has it."""
+    base = sources.scratch(spark, "stream")
+    rows = json_lines(spark, sf_dir).withColumn("place", F.col("nseq") % 3)
+    nseq = F.when(F.col("nseq") % 10 == 9, "").otherwise((F.col("nseq") % 10).cast("string"))
+    for k in (0, 1, 2, 0):
+        own = rows.where(F.col("place") == k).select(F.concat(nseq, F.lit("\t"), F.col("value")).alias("value"))
+        own.repartition(2).write.mode("append").text(f"{base}/in")
+        ingest.ingest_lines(spark, f"{base}/in", f"{base}/out", f"{base}/state", NOW).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("university", "course_id", "title")
+
+
+@query("""SELECT university, norm_id AS course_id, 'first' AS kept, min(struct_pack(o := nseq % 4, t := title)).t AS title FROM ids GROUP BY ALL
+UNION ALL SELECT university, norm_id, 'last', min(struct_pack(o := CASE WHEN nseq % 4 = 3 THEN 9 ELSE -(nseq % 4) END, t := title)).t FROM ids GROUP BY ALL""")
+def keep_one_with_ties(spark, sf_dir):
+    """Places that repeat within a key, some null: one row a key either way."""
+    rows = courses(spark, sf_dir).select("title", "university", "course_id", F.when(F.col("nseq") % 4 != 3, F.col("nseq") % 4).alias("nseq"))
+    kept = [f(rows).withColumn("kept", F.lit(k)) for k, f in (("first", store.keep_first), ("last", store.keep_last))]
+    return kept[0].unionByName(kept[1]).select("university", "course_id", "kept", "title")

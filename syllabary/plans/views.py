@@ -23,13 +23,13 @@ FROM courses_raw WHERE nseq % 5 = 0
 """
 
 SNAPSHOTS = """
-SELECT concat('U', cast(user_id AS string)) AS university, min(event_id) AS nseq, cast(sum(event_id) AS string) AS body,
+SELECT concat('U', cast(user_id AS string)) AS university, concat('https://example.org/', cast(user_id AS string)) AS url, min(event_id) AS nseq, cast(sum(event_id) AS string) AS body,
   max(ts) AS last_checked, coalesce(max(CASE WHEN event_type = 'purchase' THEN ts END), min(ts)) AS last_updated, count(*) AS course_count
 FROM events WHERE user_id % 10 <> 3 GROUP BY user_id
 """
 
 CURRENT = """
-SELECT concat('U', cast(user_id AS string)) AS university, CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 'altered' ELSE cast(sum(event_id) AS string) END AS body
+SELECT concat('U', cast(user_id AS string)) AS university, concat('https://example.com/', cast(user_id AS string)) AS url, CASE WHEN user_id % 7 = 0 THEN NULL WHEN user_id % 3 = 0 THEN 'altered' ELSE cast(sum(event_id) AS string) END AS body
 FROM events WHERE user_id % 11 <> 5 GROUP BY user_id
 """
 

@@ -2,47 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.refresh import check, next_state
-from ..operators.store import KEY, keep_first
+from ..operators.store import KEY
 from ..operators.validation import normalize, with_errors
 from ..sources.courses import parse_lines
 
 
-SHARES = 64
+#: Keyed state lives on disk, and a batch uploads its changes only, however many keys there are.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def _accept(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The key's first line, once in the life of the stream: smallest nseq, nulls last, then smallest line."""
+    if state.exists:
+        return
+    best = None
+    for batch in rows:
+        for nseq, line in zip(batch["nseq"], batch["value"], strict=True):
+            place = (pd.isna(nseq), 0 if pd.isna(nseq) else int(nseq), line)
+            best = place if best is None or place < best else best
+    state.update((True,))
+    yield pd.DataFrame({"nseq": pd.array([None if best[0] else best[1]], "Int64"), "value": [best[2]]})
 
 
-def ingest_lines(spark: SparkSession, folder: str, target: str, checkpoint: str, run_time: str):
+def first_lines(lines: DataFrame, run_time: str) -> DataFrame:
+    """Of a stream ``nseq, value`` of JSON lines, those that are the first valid course of their key.
+
+    A key is taken once: the batch that first has it decides, within the batch the smallest
+    nseq, nulls last, then the smallest line.  Later lines of the key, smaller nseq or not,
+    are duplicates.  The state holds a flag a key.
+    """
+    parsed = with_errors(normalize(parse_lines(lines).where("construct_error is null"), run_time)).where("is_valid")
+    short = parsed.select(*KEY, "nseq", F.col("line").alias("value"))
+    return short.groupBy(*KEY).applyInPandasWithState(_accept, "nseq long, value string", "accepted boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def ingest_lines(spark: SparkSession, folder: str, target: str, checkpoint: str, run_time: str, files: int | None = None):
     """Append each key's first valid course of arriving ``nseq<TAB>json`` text files to ``target``.
 
-    Each micro-batch is deduplicated by ``nseq`` and then against keys accepted before;
-    its rows go to a folder named by the batch, so a repeated batch overwrites itself.
-    Accepted keys are kept in a table of their own (``<target>_keys``), dealt by a hash of
-    the key, so that a batch reads the keys of its own shares only and no earlier rows.
+    :func:`first_lines` decides; a batch reads its own lines and the state of its own keys,
+    nothing of earlier batches.  Its rows go to a folder named by the batch, so a repeated
+    batch overwrites itself.  ``files`` bounds the files a batch takes.  A line without a tab
+    has no nseq.
     """
-    raw = spark.readStream.schema("value string").text(folder)
+    own = spark.newSession()  # settings of this stream alone
+    for k, v in STATE_STORE.items():
+        own.conf.set(k, v)
+    reader = own.readStream.schema("value string")
+    raw = (reader if files is None else reader.option("maxFilesPerTrigger", files)).text(folder)
     lines = raw.select(F.split_part("value", F.lit("\t"), F.lit(1)).try_cast("bigint").alias("nseq"), F.substring_index("value", "\t", -1).alias("value"))
-    share = F.pmod(F.xxhash64(*KEY), F.lit(SHARES)).cast("int").alias("share")
-    keys = f"{target}_keys"
-
-    def accept(batch: DataFrame, number: int) -> None:
-        rows = with_errors(normalize(parse_lines(batch).where("construct_error is null"), run_time))
-        new = keep_first(rows.where("is_valid")).persist()
-        if number:
-            shares = [r["share"] for r in new.select(share).distinct().collect()]  # SHARES at most
-            known = spark.read.schema("university string, course_id string, share int, batch long").parquet(keys)
-            known = known.where(F.col("share").isin(shares) & (F.col("batch") < number))
-            left = new.join(known.select(*KEY), KEY, "left_anti")
-        else:
-            left = new
-        left.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        accepted = spark.read.schema(new.schema).parquet(f"{target}/batch={number}").select(*KEY, share, F.lit(number).cast("long").alias("batch"))
-        accepted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("share", "batch").parquet(keys)
-        new.unpersist()
-
-    return lines.writeStream.foreachBatch(accept).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = with_errors(normalize(parse_lines(batch), run_time))
+        rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return first_lines(lines, run_time).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def watch_catalogues(spark: SparkSession, folder: str, state: str, checkpoint: str, now: str):
@@ -51,7 +75,7 @@ def watch_catalogues(spark: SparkSession, folder: str, state: str, checkpoint: s
     Within a batch only each university's last content counts, by ``seq``.
     """
     schema = "university string, content_hash string, seq long"
-    empty = "university string, content_hash string, last_checked timestamp, last_updated timestamp, course_count long, notes string"
+    empty = "university string, url string, content_hash string, last_checked timestamp, last_updated timestamp, course_count long, notes string"
     rows = spark.readStream.schema(schema).parquet(folder)
 
     def fold(batch: DataFrame, number: int) -> None:

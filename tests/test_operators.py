@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from syllabary.functions import courses as C
+from syllabary.functions import html as H
 from syllabary.operators import extraction, golden, refresh, store, validation
 from syllabary.sources import courses as sources
 from syllabary.streaming import ingest
@@ -230,3 +231,70 @@ def test_export_decoded(spark, tmp_path):
     assert sources.export_decoded(table, "V").count() == 1 and "nseq" not in got[0].asDict()
     sources.write_report(table.limit(1), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 1
+
+
+def test_keep_one_with_ties_and_nulls(spark):
+    schema = "nseq long, university string, course_id string, title string"
+    rows = spark.createDataFrame([(1, "U", "A 1", "y"), (1, "U", "A 1", "x"), (1, "U", "A 1", "x"), (None, "U", "A 1", "w"), (None, "U", "B 1", "q"), (None, "U", "B 1", "p"), (3, None, None, "n"), (3, None, None, "m")], schema)
+    first = {r["course_id"]: r["title"] for r in store.keep_first(rows).collect()}
+    last = {r["course_id"]: r["title"] for r in store.keep_last(rows).collect()}
+    assert first == {"A 1": "x", "B 1": "p", None: "m"} and last == {"A 1": "x", "B 1": "p", None: "m"}
+    assert store.keep_first(rows).count() == store.keep_last(rows).count() == 3 and store.duplicates(rows).count() == 5
+    shuffled = rows.orderBy(F.desc("title")).repartition(3)
+    assert {r["course_id"]: r["title"] for r in store.keep_first(shuffled).collect()} == first
+
+
+def test_keep_one_reads_its_source_once(spark, tmp_path):
+    spark.createDataFrame([(1, "U", "A 1")], "nseq long, university string, course_id string").write.parquet(str(tmp_path / "t"))
+    plan = store.keep_first(spark.read.parquet(str(tmp_path / "t")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("WindowGroupLimit") == 2  # one of them before the shuffle
+
+
+def test_stream_state(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write = lambda name, *rows: (folder / name).write_text("".join((f"{k}\t" if k is not None else "") + json.dumps(r) + "\n" for k, r in rows))
+    args = (spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state"), "2024-01-01T00:00:00Z", 1)
+    titles = lambda: sorted((r["course_id"], r["nseq"], r["title"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    other = ROW | {"course_id": "CSE 3100"}
+    write("a.txt", (0, ROW | {"title": "B"}), (0, ROW | {"title": "A"}), (None, other | {"title": "no place"}))
+    write("b.txt", (0, ROW | {"title": "C"}), (5, other))
+    ingest.ingest_lines(*args).awaitTermination()
+    assert len(titles()) == 2 and ("CSE 3100" in {t[0] for t in titles()})
+    before = titles()
+    write("c.txt", (-7, ROW | {"title": "late"}), (1, other), (2, ROW | {"course_id": "CSE 1"}), (3, ROW | {"course_id": "CSE 4100"}))
+    (folder / "d.txt").write_text((folder / "a.txt").read_text())  # the same lines again
+    ingest.ingest_lines(*args).awaitTermination()
+    assert titles() == sorted([*before, ("CSE 4100", 3, "Data Structures")])
+    ingest.ingest_lines(*args).awaitTermination()
+    assert len(titles()) == 3
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "none") != ingest.STATE_STORE["spark.sql.streaming.stateStore.providerClass"]
+
+
+def test_elements_end_where_their_tag_ends(spark):
+    cut = lambda page: spark.createDataFrame([(page,)], "h string").select(H.elements(F.col("h"), "block").alias("r")).first()["r"]
+    assert cut('<div><div class="block">a<div>b</div>c</div>foot</div><p>end') == ['<div class="block">a<div>b</div>c</div>']
+    assert cut('<div class="block">a<div class="block x">b</div>c</div>') == ['<div class="block">a<div class="block x">b</div>c</div>', '<div class="block x">b</div>']
+    assert cut('<DIV class="block">a<!-- </div> --></div>z') == ['<DIV class="block">a</div>']
+    assert cut('<p class="block">one<p class="block">two</p>x') == ['<p class="block">one', '<p class="block">two</p>']
+    assert cut('<img class="block">x<div class="block">open<b>y') == ['<img class="block">', '<div class="block">open<b>y']
+    assert cut('<div class="blocks">x</div>') == cut("") == cut(None) == []
+    assert cut('<div class="block">é</div>' * 50) == ['<div class="block">é</div>'] * 50
+
+
+def test_mit_takes_the_whole_text(spark):
+    rule = next(r for r in extraction.site_rules(extraction.rules(spark)) if r.name == "mit")
+    html = '<div class="courseblock"><p>8.01 Physics I. 3-0-9 units. Mechanics. Prereq: CSE 1010; none.</p></div><footer>Prerequisite: CSE 9999</footer>'
+    page = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    row = extraction.parse_blocks(extraction.course_blocks(page, rule), rule).first()
+    assert row["description"] == "8.01 Physics I. 3-0-9 units. Mechanics. Prereq: CSE 1010; none." and row["prerequisites_text"] == "CSE 1010"
+
+
+def test_addresses_in_state_and_plan(spark):
+    now = "2024-01-31 00:00:00"
+    current = spark.createDataFrame([("a", "x", "new"), ("b", "y", "b-url")], "university string, content_hash string, url string")
+    snap = spark.sql("SELECT 'a' AS university, 'old' AS url, 'h' AS content_hash, timestamp'2024-01-01' AS last_checked, timestamp'2024-01-01' AS last_updated, 1L AS course_count, 'n' AS notes, 0L AS nseq")
+    state = refresh.next_state(refresh.check(current, snap, now), snap)
+    assert {r["university"]: r["url"] for r in state.collect()} == {"a": "old", "b": "b-url"}
+    assert [(r["university"], r["url"]) for r in refresh.plan(snap, now).collect()] == [("a", "old")]
+    assert refresh.plan(snap.drop("url"), now).first()["url"] is None
