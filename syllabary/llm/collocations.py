@@ -16,7 +16,7 @@ a part occurs at least as often as the whole.
 Second count: grams whose bit is set are counted exactly, as phrases.  A set bit can only
 let too much through; the exact counts decide, so tables of any filling give the same
 result.  A task adds up phrases by 64-bit fingerprints between two writes and writes the
-phrase itself; tasks are added up by phrase.
+phrases themselves, a row a hash partition; partitions add up by phrase.
 
 Defined results: a null language is ``und``; a null or empty text has no phrase; repeated
 rows count again; an empty table gives no row.
@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from math import ceil, log2
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -99,10 +100,12 @@ class Grams:
             self.plain[size] = doubled(self._half(size // 2), size // 2)
         return self.plain[size]
 
-    def marked(self, size: int, table: np.ndarray) -> np.ndarray:
+    def marked(self, size: int, table: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
         """Which grams lie in one piece and have their bit set."""
         h = self.hashes(size)
         ok = self.left[: len(h)] >= size
+        if among is not None:
+            ok &= among
         at = np.flatnonzero(ok)
         place = h[at] >> _U(64 - int(log2(len(table) * 8)))
         ok[at] = (table[(place >> _U(3)).astype(np.int64)] >> (place & _U(7)).astype(np.uint8)) & 1
@@ -124,11 +127,15 @@ class Grams:
             out[size] = np.flatnonzero(may)
         return out
 
-    def surviving(self, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
-        out: dict[int, np.ndarray] = {}
-        for size in sizes:
-            out[size] = np.flatnonzero(self.marked(size, self.tables[min(size, 3) - 1])) if len(self.starts) >= size else np.zeros(0, np.int64)
-        return out
+    def surviving(self, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprint, place and size of the grams whose bit and whose parts' bits are set."""
+        found = [(np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        ok = np.ones(len(self.starts) + 1, bool)
+        for size in range(1, min(longest, len(self.starts)) + 1):
+            ok = self.marked(size, self.tables[min(size, 3) - 1], ok[:-1] & ok[1:])
+            at = np.flatnonzero(ok)
+            found.append((self.hashes(size)[at], at, np.full(len(at), size)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def phrase(self, at: int, size: int) -> str:
         return b" ".join(self.data[self.starts[k] : self.ends[k]].tobytes() for k in range(at, at + size)).decode()
@@ -153,7 +160,7 @@ class Summary:
 
     def __init__(self, capacity: int) -> None:
         self.capacity, self.taken = capacity, 0
-        self.grams, self.counts = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.grams, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
         self.grams, self.counts = _added([self.grams, grams], [self.counts, counts.astype(np.int64)])
@@ -172,6 +179,19 @@ class Summary:
         return self.grams[self.counts + self.taken >= least]
 
 
+def _dealt(grams: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash partition of each fingerprint, and its place there in 32 bits; both rise with the fingerprint."""
+    v = (grams >> _U(32)) * _U(parts) + ((grams & _U(0xFFFFFFFF)) * _U(parts) >> _U(32))
+    return v >> _U(32), (v & _U(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _places(part: int, inside: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Bits, by the first ``bits`` of a fingerprint, of all fingerprints at these places of a partition: one or two neighbours each."""
+    base, inside = _U(part << bits), inside.astype(_U)
+    low, high = ((base + (x << _U(bits) >> _U(32))) // _U(parts) for x in (inside, inside + _U(1)))
+    return np.unique(np.minimum(np.concatenate([low, high]), _U((1 << bits) - 1)))
+
+
 def _bits(least: int, mass: int) -> int:
     """Bits of a table with 16 for each gram that can be frequent, within ``BITS``."""
     return min(max(ceil(log2(max(2, 16 * mass // least))), BITS[0]), BITS[1])
@@ -193,7 +213,7 @@ def survivors(docs: DataFrame, sizes: tuple[int, ...], least: int, tables: list[
 
         def flush() -> Iterator[pa.RecordBatch]:
             g, c = _added(grams, counts)
-            part = ((g >> _U(32)) * _U(parts)) >> _U(32)
+            part, inside = _dealt(g, parts)
             edge = np.searchsorted(part, np.arange(parts + 1, dtype=_U))
             some = np.flatnonzero(np.diff(edge))
             size = np.minimum(c, 0xFFFFFFFF).astype(np.uint32)
@@ -202,7 +222,7 @@ def survivors(docs: DataFrame, sizes: tuple[int, ...], least: int, tables: list[
                 masses = [int(c[edge[p] : edge[p + 1]].sum()) for p in own]
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([0] * len(own), pa.int8()), pa.array(masses, pa.int64()), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.binary())], names)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), pa.array([1] * len(own), pa.int8()), pa.nulls(len(own), pa.int64()), pa.array([g[edge[p] : edge[p + 1]].tobytes() for p in own], pa.binary()), pa.array([size[edge[p] : edge[p + 1]].tobytes() for p in own], pa.binary())], names
+                    [pa.array(own, pa.int32()), pa.array([1] * len(own), pa.int8()), pa.nulls(len(own), pa.int64()), pa.array([inside[edge[p] : edge[p + 1]].tobytes() for p in own], pa.binary()), pa.array([size[edge[p] : edge[p + 1]].tobytes() for p in own], pa.binary())], names
                 )
             grams.clear()
             counts.clear()
@@ -230,7 +250,7 @@ def survivors(docs: DataFrame, sizes: tuple[int, ...], least: int, tables: list[
         now, total, summary = -1, 0, None
 
         def done() -> Iterator[pa.RecordBatch]:
-            place = np.unique(summary.frequent(least) >> _U(64 - bits)) if summary else np.zeros(0, _U)
+            place = _places(now, summary.frequent(least), parts, bits) if summary else np.zeros(0, _U)
             low = int(place[0]) >> 3 if len(place) else 0
             own = np.zeros(((int(place[-1]) >> 3) - low + 1) if len(place) else 0, np.uint8)
             np.bitwise_or.at(own, (place >> _U(3)).astype(np.int64) - low, (1 << (place & _U(7)).astype(np.uint8)).astype(np.uint8))
@@ -247,7 +267,7 @@ def survivors(docs: DataFrame, sizes: tuple[int, ...], least: int, tables: list[
                     total += mass_of
                 else:
                     summary = summary or Summary(total // least + 1)
-                    summary.add(np.frombuffer(g, _U), np.frombuffer(c, np.uint32))
+                    summary.add(np.frombuffer(g, np.uint32), np.frombuffer(c, np.uint32))
         if now >= 0:
             yield from done()
 
@@ -270,19 +290,29 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFr
         tables.append(survivors(docs, (2,), least, tables, total)[0])
     if longest > 2:
         tables.append(survivors(docs, tuple(range(3, longest + 1)), least, tables, (longest - 2) * total)[0])
-    given = docs.sparkSession.sparkContext.broadcast(tables)
-    sizes = tuple(range(1, longest + 1))
-    names = ["lang", "size", "phrase", "f"]
+    spark = docs.sparkSession
+    given = spark.sparkContext.broadcast(tables)
+    parts = max(partitions(spark), sum(int(np.bitwise_count(t).sum()) for t in tables) >> 18)
+    names = ["part", "lang", "phrases", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row a hash partition and language: its phrases, a line each, and their counts; an empty phrase has the number of words."""
         known, told, text_bytes = np.zeros(0, _U), {}, 0
         grams, counts, held, total = [], [], 0, {}
 
+        def row(part: int, lang: str, phrases: list[str], counts: list[int]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([lang], pa.string()), pa.array(["\n".join(phrases)], pa.string()), pa.array([counts], pa.list_(pa.int64()))], names)
+
         def flush() -> Iterator[pa.RecordBatch]:
             g, c = _added(grams, counts)
-            for a in range(0, len(g), 50_000):
-                rows = [told[x] for x in g[a : a + 50_000].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string()), pa.array(c[a : a + 50_000], pa.int64())], names)
+            part, by = _dealt(g, parts)[0].tolist(), {}
+            for p, x, n in zip(part, g.tolist(), c.tolist(), strict=True):
+                lang, text = told[x]
+                own = by.setdefault((p, lang), ([], []))
+                own[0].append(text)
+                own[1].append(n)
+            for (p, lang), own in by.items():
+                yield row(p, lang, *own)
             grams.clear()
             counts.clear()
             told.clear()
@@ -293,19 +323,23 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFr
                 chunk = Grams(data, off, marks, of_row[at:to], given.value)
                 for k, n in enumerate(np.bincount(chunk.language, minlength=len(languages)).tolist()):
                     total[languages[k]] = total.get(languages[k], 0) + n
-                for size, places in chunk.surviving(sizes).items():
-                    if not len(places):
-                        continue
-                    h = chunk.hashes(size)[places]
-                    g, first, c = np.unique(h, return_index=True, return_counts=True)
-                    for k in np.flatnonzero(~np.isin(g, known, assume_unique=True)).tolist():
-                        p = int(places[first[k]])
-                        told[int(g[k])] = (languages[chunk.language[p]], size, text := chunk.phrase(p, size))
-                        text_bytes += 100 + len(text)
-                    known = np.union1d(known, g)
-                    grams.append(g)
-                    counts.append(c)
-                    held += len(g)
+                h, places, size = chunk.surviving(longest)
+                if not len(h):
+                    continue
+                order = np.argsort(h)
+                h = h[order]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                g = h[first]
+                spot = np.searchsorted(known, g)
+                new = np.flatnonzero((spot == len(known)) | (np.append(known, _U(0))[spot] != g))
+                for k in new.tolist():
+                    p, n = int(places[order[first[k]]]), int(size[order[first[k]]])
+                    told[int(g[k])] = (languages[chunk.language[p]], text := chunk.phrase(p, n))
+                    text_bytes += 100 + len(text)
+                known = np.insert(known, spot[new], g[new])
+                grams.append(g)
+                counts.append(np.diff(np.append(first, len(h))))
+                held += len(g)
                 if held > HELD:
                     g, c = _added(grams, counts)
                     grams[:], counts[:], held = [g], [c], len(g)
@@ -314,11 +348,31 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5) -> DataFr
                     known, text_bytes, held = np.zeros(0, _U), 0, 0
         if grams:
             yield from flush()
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([0] * len(total), pa.int32()), pa.array([""] * len(total), pa.string()), pa.array(list(total.values()), pa.int64())], names)
+        for lang, n in total.items():
+            yield row(crc32(lang.encode()) % parts, lang, [""], [n])
 
-    counted = docs.select("lang", "text").mapInArrow(run, "lang string, size int, phrase string, f long").groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f"))
-    out = saved(counted.where((F.col("f") >= least) | (F.col("size") == 0)), "phrase-counts")
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = -1, {}
+
+        def done() -> Iterator[pa.RecordBatch]:
+            rows = [(lang, text.count(" ") + 1 if text else 0, text, n) for (lang, text), n in sums.items() if n >= least or not text]
+            sums.clear()
+            for a in range(0, len(rows), 10_000):
+                columns = zip(*rows[a : a + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "size", "phrase", "f"])
+
+        for batch in batches:
+            for part, lang, phrases, c in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if part != now:
+                    yield from done()
+                    now = part
+                for text, n in zip(phrases.split("\n"), c, strict=True):
+                    sums[lang, text] = sums.get((lang, text), 0) + n
+        yield from done()
+
+    sent = docs.select("lang", "text").mapInArrow(run, "part int, lang string, phrases string, counts array<long>")
+    dealt = sent.repartition(parts, "part").sortWithinPartitions("part")
+    out = saved(dealt.mapInArrow(add, "lang string, size int, phrase string, f long"), "phrase-counts")
     given.destroy()
     return out
 
