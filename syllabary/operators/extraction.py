@@ -11,6 +11,7 @@ from ..functions import courses as C
 from ..functions import html as H
 from ..functions import prerequisites as P
 from ..functions.text import clean_text, fix_broken_lines, nullif_empty, strip
+from .validation import success_rate, write_counted
 
 RULES_SCHEMA = """name string, university string, block string, code string, title string, hours string, description string,
     prereq string, title_pattern string, level_rule string, default_credits string, link_pattern string, links_kept int, clause string,
@@ -164,6 +165,12 @@ def success_rates(parsed: DataFrame) -> DataFrame:
     return n.withColumn("success_rate", F.when(total > 0, F.bround(F.col("parsed") * 100.0 / total, 2)).otherwise(0.0))
 
 
+def write_parsed(parsed: DataFrame, path: str) -> dict:
+    """Write a site's rows; its parsed and failed blocks and the share of the former, counted while writing."""
+    n = write_counted(parsed, path, F.count_if(F.col("status") == "parsed").alias("parsed"), F.count_if(F.col("status") != "parsed").alias("failed"))
+    return n | {"success_rate": success_rate(n["parsed"], n["parsed"] + n["failed"], 2)}
+
+
 ENTRY = r"[A-Z]{2,6}\s+\d{3,4}[A-Z]?\.\s"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .validation import write_counted
+
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 STATE = ("university", "url", "content_hash", "last_checked", "last_updated", "course_count", "notes")
 
@@ -132,3 +134,8 @@ def run_metrics(events: DataFrame) -> DataFrame:
 def timing_summary(durations: DataFrame, seconds: str = "seconds") -> DataFrame:
     ms = F.col(seconds) * 1000.0
     return durations.agg(F.count("*").alias("iterations"), F.bround(F.avg(ms), 3).alias("avg_ms"), F.bround(F.min(ms), 3).alias("min_ms"), F.bround(F.max(ms), 3).alias("max_ms"))
+
+
+def write_refreshed(checked: DataFrame, path: str) -> dict:
+    """Write the checks of a run; successes, attempts and courses, counted while writing."""
+    return write_counted(checked, path, F.count_if("changed").alias("successes"), F.count("*").alias("attempts"), F.coalesce(F.sum("course_count"), F.lit(0)).alias("courses"))

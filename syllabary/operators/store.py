@@ -70,9 +70,14 @@ def lookup(rows: DataFrame, university: str, course_id: str) -> DataFrame:
     return rows.where((F.col("university") == university) & (F.col("course_id") == course_id)).limit(1)
 
 
+def fold_query(query: str) -> str:
+    """A-Z to a-z, as in the texts that are searched."""
+    return query.translate({c: c + 32 for c in range(65, 91)})
+
+
 def search(rows: DataFrame, query: str, university: str | None = None) -> DataFrame:
     """Title or description contains the query; ``%`` and ``_`` are wildcards, ASCII case is ignored."""
-    pattern = "%" + query.translate({c: c + 32 for c in range(65, 91)}).replace("\\", "\\\\") + "%"
+    pattern = "%" + fold_query(query).replace("\\", "\\\\") + "%"
     hit = fold_ascii(F.col("title")).like(pattern) | fold_ascii(F.col("description")).like(pattern)
     found = rows.where(hit)
     return found.orderBy("university", "course_id") if university is None else found.where(F.col("university") == university).orderBy("course_id")

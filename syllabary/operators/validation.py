@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.courses import COURSE_ID, LEVELS, checked_level, normalize_course_id
@@ -82,3 +82,26 @@ def schema_violations(line: Column) -> Column:
         out.append(F.when(at(f).isNotNull() & (~F.startswith(kind(f), F.lit("ARRAY")) | F.coalesce(bad, F.lit(False))), F.lit(f"{f}: items")))
     out.append(F.when(at("prerequisites").isNotNull() & ~F.regexp_like(kind("prerequisites"), F.lit("^(OBJECT|VOID)")), F.lit("prerequisites: type")))
     return F.array_compact(F.array(*out))
+
+
+def summary_metrics() -> list[Column]:
+    """Aggregates of checked rows: all of them, the valid and the invalid ones."""
+    return [F.count("*").alias("total"), F.count_if("is_valid").alias("valid"), F.count_if(~F.col("is_valid")).alias("invalid")]
+
+
+def success_rate(good: int, total: int, digits: int) -> float:
+    """Percent to some places, 0 of nothing."""
+    return round(good * 100.0 / total, digits) if total else 0.0
+
+
+def write_counted(rows: DataFrame, path: str, *metrics: Column) -> dict:
+    """Write rows as Parquet and return aggregates over them that the writing tasks took on the way: nothing is read twice."""
+    seen = Observation()
+    rows.observe(seen, *metrics).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def write_checked(rows: DataFrame, path: str) -> dict:
+    """Write checked rows; total, valid, invalid and success rate."""
+    n = write_counted(rows, path, *summary_metrics())
+    return n | {"success_rate": success_rate(n["valid"], n["total"], 1)}

@@ -11,7 +11,7 @@ from ..functions import courses as C
 from ..functions import html as H
 from ..functions import prerequisites as P
 from ..functions import text as T
-from ..operators import extraction, golden, refresh, store, validation
+from ..operators import buckets, extraction, golden, refresh, search_index, store, validation
 from ..sources import courses as sources
 from ..streaming import ingest
 from . import views
@@ -552,3 +552,70 @@ def keep_one_with_ties(spark, sf_dir):
     rows = courses(spark, sf_dir).select("title", "university", "course_id", F.when(F.col("nseq") % 4 != 3, F.col("nseq") % 4).alias("nseq"))
     kept = [f(rows).withColumn("kept", F.lit(k)) for k, f in (("first", store.keep_first), ("last", store.keep_last))]
     return kept[0].unionByName(kept[1]).select("university", "course_id", "kept", "title")
+
+
+@query("""SELECT row_number() OVER (ORDER BY nseq) - 1 AS nseq, CASE WHEN nseq % 29 = 0 THEN 'unknown: colour' WHEN nseq % 23 = 0 THEN 'missing: title' END AS construct_error, course_id, CASE WHEN nseq % 23 <> 0 THEN title END AS title FROM courses_raw""")
+def read_document(spark, sf_dir):
+    """One JSON array of all courses in one file, read by as many tasks as it has blocks."""
+    base = sources.scratch(spark, "document")
+    rows = json_lines(spark, sf_dir)
+    array = rows.select(F.concat(F.when(F.col("nseq") == 0, "[").otherwise(","), "value").alias("value"), "nseq")
+    array.unionByName(spark.createDataFrame([("]", 2**62)], "value string, nseq long")).orderBy("nseq").coalesce(1).select("value").write.text(f"{base}/courses.json")
+    found = sources.read_json_document(spark, f"{base}/courses.json")
+    return found.select("nseq", "construct_error", "course_id", "title")
+
+
+def _bucketed(spark: SparkSession, sf_dir: str) -> str:
+    """A table of two thirds of the courses and then an upsert of the others."""
+    path, rows = sources.scratch(spark, "table"), courses(spark, sf_dir)
+    buckets.create(rows.where("nseq % 3 <> 0"), path, buckets=16, unique=True)
+    buckets.upsert(rows.where("nseq % 3 = 0"), path, unique=True)
+    return path
+
+
+@query("""SELECT university, norm_id AS course_id, max(nseq) AS nseq FROM ids WHERE nseq % 3 = 0 GROUP BY ALL
+UNION ALL SELECT university, norm_id, nseq FROM (SELECT university, norm_id, max(nseq) AS nseq FROM ids WHERE nseq % 3 <> 0 GROUP BY ALL) o
+WHERE NOT EXISTS (SELECT 1 FROM ids b WHERE b.nseq % 3 = 0 AND b.university = o.university AND b.norm_id = o.norm_id)""")
+def upsert_buckets(spark, sf_dir):
+    return buckets.read(spark, _bucketed(spark, sf_dir)).select("university", "course_id", "nseq")
+
+
+@query(f""", both_rows AS (SELECT university, norm_id, level, nseq, prerequisites_text, row_number() OVER (PARTITION BY university, norm_id ORDER BY nseq % 3 = 0 DESC, nseq DESC) AS place FROM levels),
+kept AS (SELECT *, {_PARSED} AS parsed FROM both_rows WHERE place = 1),
+counted AS (SELECT 'all' AS scope, NULL AS name, count(*) AS courses, count(*) FILTER (parsed) AS parsed, count(*) FILTER (trim(prerequisites_text) <> '') AS t FROM kept
+UNION ALL SELECT 'university', university, count(*), count(*) FILTER (parsed), count(*) FILTER (trim(prerequisites_text) <> '') FROM kept GROUP BY university
+UNION ALL SELECT 'level', level, count(*), count(*) FILTER (parsed), count(*) FILTER (trim(prerequisites_text) <> '') FROM kept GROUP BY level)
+SELECT scope, name, courses, parsed, CASE WHEN t > 0 THEN round_even(parsed * 100.0 / t, 2) ELSE 0 END::DOUBLE AS parse_rate FROM counted""")
+def statistics_maintained(spark, sf_dir):
+    """Statistics that an upsert has changed by what it added and removed, against counting the table that came of it."""
+    out = buckets.statistics(spark, _bucketed(spark, sf_dir))
+    return out.withColumn("parse_rate", F.col("parse_rate").cast("double"))
+
+
+@query("""SELECT query, nseq, university, norm_id AS course_id FROM ids, (SELECT unnest(['%widg_t%', '%ring%', '%a%', '%e &_mp; mo%', '%TYPE_0%zzz%', '%size 1_.%']) AS query)
+WHERE translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE lower(query) OR translate(description, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE lower(query)""")
+def search_indexed(spark, sf_dir):
+    """Searches by the trigram index: a wildcard, a plain word, one too short for the index, and one without hits."""
+    path = sources.scratch(spark, "index")
+    search_index.build(courses(spark, sf_dir).select("nseq", "university", "course_id", "title", "description"), path)
+    found = [search_index.indexed_search(spark, path, q).select(F.lit(f"%{q}%").alias("query"), "nseq", "university", "course_id") for q in ("widg_t", "ring", "a", "e &_mp; mo", "TYPE_0%zzz", "size 1_.")]
+    return store.merge(*found)
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (len(errors) = 0) AS valid, count(*) FILTER (len(errors) > 0) AS invalid,
+round_even(count(*) FILTER (len(errors) = 0) * 100.0 / count(*), 1)::DOUBLE AS success_rate FROM checked""")
+def validation_summary_written(spark, sf_dir):
+    n = validation.write_checked(validation.with_errors(courses(spark, sf_dir)), sources.scratch(spark, "checked"))
+    return spark.createDataFrame([n], "total long, valid long, invalid long, success_rate double")
+
+
+@query("""SELECT count(*) FILTER (nseq % 17 <> 0) AS parsed, count(*) FILTER (nseq % 17 = 0) AS failed, round_even(count(*) FILTER (nseq % 17 <> 0) * 100.0 / count(*), 2)::DOUBLE AS success_rate FROM ids""")
+def scrape_success_written(spark, sf_dir):
+    n = extraction.write_parsed(_family_rows(spark, sf_dir), sources.scratch(spark, "parsed"))
+    return spark.createDataFrame([n], "parsed long, failed long, success_rate double")
+
+
+@query("," + _CHECK + """SELECT count(*) FILTER (changed) AS successes, count(*) AS attempts, CAST(sum(coalesce(course_count, 0)) AS BIGINT) AS courses FROM reasons""")
+def refresh_summary_written(spark, sf_dir):
+    n = refresh.write_refreshed(refresh.check(current(spark, sf_dir), snapshots(spark, sf_dir), NOW), sources.scratch(spark, "refreshed"))
+    return spark.createDataFrame([n], "successes long, attempts long, courses long")

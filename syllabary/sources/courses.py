@@ -51,11 +51,11 @@ def numbered(rows: DataFrame, place: list[str], row: str = "row") -> DataFrame:
     return rows.join(starts, place).withColumn("nseq", F.col(row) + F.col("shift")).drop("shift")
 
 
-def _files(spark: SparkSession, paths: tuple[str, ...], **options: bool) -> DataFrame:
-    """``value, arg, file, block`` of text files."""
+def _files(spark: SparkSession, paths: tuple[str, ...], *more: Column, **options: str) -> DataFrame:
+    """``value, arg, file, block`` of text files, and more columns of theirs."""
     for p in paths:
         _check_suffix(p)
-    parts = [spark.read.text(p, **options).select("value", F.lit(k).alias("arg"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")) for k, p in enumerate(paths)]
+    parts = [spark.read.text(p, **options).select("value", F.lit(k).alias("arg"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), *more) for k, p in enumerate(paths)]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -68,6 +68,10 @@ def read_jsonl(spark: SparkSession, *paths: str, bad: str = "keep") -> DataFrame
     """
     lines = numbered(_files(spark, paths).withColumn("row", F.monotonically_increasing_id()), ["arg", "file", "block"]).select("value", "nseq")
     parsed = parse_lines(lines.where(~F.regexp_like("value", F.lit(r"^\s*$"))))
+    return _with_policy(parsed, bad)
+
+
+def _with_policy(parsed: DataFrame, bad: str) -> DataFrame:
     if bad == "skip":
         return parsed.where("construct_error is null")
     if bad == "fail":
@@ -75,10 +79,81 @@ def read_jsonl(spark: SparkSession, *paths: str, bad: str = "keep") -> DataFrame
     return parsed
 
 
-def read_json_document(spark: SparkSession, *paths: str) -> DataFrame:
-    """JSON arrays of courses, or one course object a file, as courses with ``nseq`` by argument, file and place."""
-    rows = _files(spark, paths, wholetext=True).select("arg", "file", F.posexplode(F.coalesce(F.from_json("value", "array<variant>"), F.array(F.try_parse_json("value")))).alias("row", "v"))
-    return parse_lines(numbered(rows, ["arg", "file"]).select(F.to_json("v").alias("value"), "nseq"))
+#: A string, also one that the text begins inside of (after a quote put before it) or ends inside of.
+_STRING = r'"(?:[^"\\]|\\[\s\S])*+(?:"|\z)'
+
+
+def document_elements(spark: SparkSession, *paths: str) -> DataFrame:
+    """``arg, file, element, value``: the elements of the JSON array in each file, or the file where it is no array.
+
+    Files are read in blocks by many tasks, cut at each closing brace.  Sums over the blocks
+    before, and over the pieces before in a block, tell whether a piece begins inside a
+    string and how deep in brackets; a piece that comes back to the array's own depth ends
+    an element.  Only an element's own pieces are brought together.
+    """
+    pieces = _files(spark, paths, F.col("_metadata.file_size").alias("bytes"), lineSep="}").withColumn("row", F.monotonically_increasing_id())
+    # What a piece does where it begins outside a string, and where it begins inside one.
+    quotes = F.length(F.regexp_replace("value", r'\\[\s\S]?|[^"\\]', ""))
+    rest = {False: F.regexp_replace("value", _STRING, ""), True: F.regexp_replace(F.concat(F.lit('"'), "value"), _STRING, "")}
+    turn = lambda c: F.length(F.regexp_replace(c, r"[^\[{]", "")) - F.length(F.regexp_replace(c, r"[^\]]", ""))
+    odd = (quotes % 2).cast("int")
+    # The brace that ended the piece counts where it stands outside a string.
+    deep = {s: turn(c) - F.when((odd + int(s)) % 2 == 0, 1).otherwise(0) for s, c in rest.items()}
+    pieces = pieces.withColumns({"odd": odd, "out": deep[False], "in": deep[True]})
+    own = Window.partitionBy("arg", "file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("odd").over(own), F.lit(0)) % 2
+    pieces = pieces.withColumn("inside", inside.cast("int"))
+    # Depth before a piece of a block, for a block that begins outside a string and for one that begins inside.
+    step = lambda first: F.when((F.col("inside") + first) % 2 == 0, F.col("out")).otherwise(F.col("in"))
+    pieces = pieces.withColumns({"step0": step(0), "step1": step(1)})
+    pieces = pieces.withColumns({f"depth{k}": F.coalesce(F.sum(f"step{k}").over(own), F.lit(0)) for k in (0, 1)})
+    place = ["arg", "file", "block"]
+    sizes = pieces.groupBy(*place).agg((F.sum("odd") % 2).cast("int").alias("odd"), F.sum("step0").alias("step0"), F.sum("step1").alias("step1"))
+    before = Window.partitionBy("arg", "file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sizes.withColumn("first", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).cast("int")).withColumn("all", F.when(F.col("first") == 0, F.col("step0")).otherwise(F.col("step1")))
+    blocks = blocks.select(*place, "first", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("base"))  # a short row a block
+    known = pieces.join(blocks, place)
+    at_start = F.col("first") == 0
+    depth = F.col("base") + F.when(at_start, F.col("depth0")).otherwise(F.col("depth1"))
+    known = known.withColumn("after", depth + F.when(at_start, F.col("step0")).otherwise(F.col("step1"))).withColumn("string", (F.col("inside") + F.col("first")) % 2)
+    opening = known.where((F.col("block") == 0)).groupBy("arg", "file").agg(F.min_by("value", "row").alias("head")).select("arg", "file", F.regexp_like("head", F.lit(r"^[\x{FEFF}\s]*\[")).alias("list"))
+    known = known.join(opening, ["arg", "file"])
+    ends = (F.col("list") & (F.col("after") == 1) & ((F.col("string") + F.col("odd")) % 2 == 0)).cast("int")
+    in_order = Window.partitionBy("arg", "file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    known = known.withColumn("ends", ends).withColumn("element", F.coalesce(F.sum("ends").over(in_order), F.lit(0)))
+    closed = known.groupBy(*place).agg(F.sum("ends").alias("n")).withColumn("shift", F.coalesce(F.sum("n").over(before), F.lit(0))).select(*place, "shift")
+    known = known.join(closed, place).withColumn("element", F.col("element") + F.col("shift"))
+    ordered = F.array_sort(F.collect_list(F.struct("block", "row", "value")))
+    whole = known.groupBy("arg", "file", "list", "element").agg(F.max("bytes").alias("bytes"), F.array_join(F.transform(ordered, lambda x: x["value"]), "}").alias("text"), F.max("ends").alias("ended"))
+    # Between two elements stand commas, perhaps values that are no objects, and at last the closing bracket.
+    # A file that is no array may end with the brace that its last piece was cut at.
+    lost = F.when(F.endswith("file", F.lit(".gz")), F.try_parse_json("text").isNull()).otherwise(F.octet_length("text") < F.col("bytes"))
+    body = F.when(~F.col("list"), F.concat("text", F.when(lost, "}").otherwise(""))).otherwise(F.concat(F.regexp_replace("text", r"^[\x{FEFF}\s]*[\[,]", ""), F.when(F.col("ended") == 1, "}").otherwise("")))
+    return whole.select("arg", "file", "element", "list", "ended", body.alias("value"))
+
+
+#: Elements that are numbered together.
+CHUNK = 10_000
+
+
+def read_json_document(spark: SparkSession, *paths: str, bad: str = "keep") -> DataFrame:
+    """JSON arrays of courses, or one course object a file, as courses with ``nseq`` by argument, file and place.
+
+    ``bad`` as in :func:`read_jsonl`; an element that is no object is a bad row, so is a
+    file that is no JSON.  Large files are read by several tasks.
+    """
+    found = document_elements(spark, *paths)
+    text = F.when(F.col("ended") == 1, F.col("value")).otherwise(F.regexp_replace("value", r"\]\s*$", ""))
+    values = F.when(F.col("list") & (F.trim(text) == ""), F.array().cast("array<variant>")).when(F.col("list"), F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<variant>"))
+    rows = found.select("arg", "file", "element", "value", F.coalesce(values, F.array(F.try_parse_json("value"))).alias("each"))
+    # Numbers: values before the element in its chunk, and before the chunk (a short row a chunk).
+    rows = rows.withColumns({"chunk": F.floor(F.col("element") / CHUNK), "n": F.size("each")})
+    sums = rows.groupBy("arg", "file", "chunk").agg(F.sum("n").alias("all"))
+    base = F.coalesce(F.sum("all").over(Window.orderBy("arg", "file", "chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("arg", "file", "chunk").orderBy("element").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("own", own).join(sums.select("arg", "file", "chunk", base.alias("base")), ["arg", "file", "chunk"])
+    lines = rows.select("value", (F.col("base") + F.col("own")).alias("first"), F.posexplode("each").alias("at", "v"))
+    return _with_policy(parse_lines(lines.select(F.coalesce(F.to_json("v"), F.col("value")).alias("value"), (F.col("first") + F.col("at")).alias("nseq"))), bad)
 
 
 def first_rows(rows: DataFrame, most: int | None, order: str = "nseq") -> DataFrame:

@@ -1,11 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from syllabary.functions import courses as C
 from syllabary.functions import html as H
-from syllabary.operators import extraction, golden, refresh, store, validation
+from syllabary.operators import buckets, extraction, golden, maintained, refresh, search_index, store, validation
 from syllabary.sources import courses as sources
 from syllabary.streaming import ingest
 
@@ -298,3 +299,107 @@ def test_addresses_in_state_and_plan(spark):
     assert {r["university"]: r["url"] for r in state.collect()} == {"a": "old", "b": "b-url"}
     assert [(r["university"], r["url"]) for r in refresh.plan(snap, now).collect()] == [("a", "old")]
     assert refresh.plan(snap.drop("url"), now).first()["url"] is None
+
+
+def _table(spark, *rows):
+    return spark.createDataFrame(rows, "nseq long, university string, course_id string, level string, prerequisites_parsed boolean, prerequisites_text string")
+
+
+def _paths(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("part-*") if "/data/" in str(p)}
+
+
+def test_upsert_leaves_other_buckets_in_place(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(k, "U" if k % 5 else None, f"A {k}", "Graduate", k % 2 == 0, "x" if k % 3 else None) for k in range(400)]
+    assert buckets.create(_table(spark, *rows, (-1, "U", "A 1", "old", True, None)), path, buckets=32) == 0
+    before = _paths(tmp_path)
+    changed = [(1000 + k, "U" if k % 5 else None, f"A {k}", "Undergraduate", True, None) for k in (5, 6, 7)] + [(2000, "V", "A 9", "Graduate", False, "y"), (1999, "V", "A 9", "lost", False, "y")]
+    assert buckets.upsert(_table(spark, *changed), path) == 1
+    after = _paths(tmp_path)
+    assert {p: t for p, t in after.items() if p in before} == before  # no file of version 0 was touched
+    new = {p for p in after if p not in before}
+    assert 0 < len({p.split("/bucket=")[1].split("/")[0] for p in new}) <= 4
+    want = {(r[1], r[2]): r[0] for r in rows} | {(r[1], r[2]): r[0] for r in changed[:4]}
+    got = buckets.read(spark, path).collect()
+    assert {(r["university"], r["course_id"]): r["nseq"] for r in got} == want and len(got) == len(want)
+    assert buckets.read(spark, path, version=0).where("university = 'V'").count() == 0
+    assert buckets.lookup(spark, path, None, "A 5").first()["nseq"] == 1005 and buckets.lookup(spark, path, "U", "none").count() == 0
+    whole = sorted(map(tuple, maintained.statistics(maintained.cells(buckets.read(spark, path))).collect()), key=str)
+    assert sorted(map(tuple, buckets.statistics(spark, path).collect()), key=str) == whole
+    assert buckets.upsert(_table(spark), path) == 2 and buckets.read(spark, path).count() == len(want)
+    assert sorted(map(tuple, buckets.statistics(spark, path).collect()), key=str) == whole
+    with pytest.raises(RuntimeError, match="already there"):
+        buckets._publish(spark.createDataFrame([], "bucket int, folder string"), path, 2)
+
+
+def test_bucket_tables_of_other_columns(spark, tmp_path):
+    plain = spark.createDataFrame([(1, "k", "v")], "nseq long, name string, bucket2 string")
+    buckets.create(plain.where("false"), str(tmp_path / "p"), key=["name"])
+    assert buckets.read(spark, str(tmp_path / "p")).count() == 0
+    buckets.upsert(plain, str(tmp_path / "p"))
+    assert [tuple(r) for r in buckets.read(spark, str(tmp_path / "p")).collect()] == [(1, "k", "v")]
+
+
+def test_signed_changes_cancel(spark):
+    rows = _table(spark, (1, "U", "A", "G", True, "x"), (2, None, "B", None, None, None))
+    assert maintained.apply(maintained.cells(rows), maintained.delta(rows, rows.where("false"))).count() == 0
+    assert maintained.delta(rows, rows).count() == 0
+    assert maintained.statistics(maintained.cells(rows.where("false"))).count() == 0  # as store.statistics
+
+
+def test_indexed_search_is_search(spark, tmp_path):
+    texts = ["DATA 50%", "É_data", "x\\y z", None, "", "ab", "aaa", "Data structures", "structure of data", "\U0001f600data\U0001f600x"]
+    rows = spark.createDataFrame([(k, "U" if k % 2 else "V", f"A {k}", t, texts[-1 - k]) for k, t in enumerate(texts)], "nseq long, university string, course_id string, title string, description string")
+    search_index.build(rows, str(tmp_path / "i"))
+    for q in ("data", "DATA", "d_ta", "ata%ure", "50%", "", "%", "a", "aa", "x\\y", "É_d", "é_d", "ture of", "none at all", "\U0001f600x", "aaaa"):
+        for u in (None, "U"):
+            assert [tuple(r) for r in search_index.indexed_search(spark, str(tmp_path / "i"), q, u).select(*rows.columns).collect()] == [tuple(r) for r in store.search(rows, q, u).collect()], q
+    assert search_index.literal_trigrams("Da_ABCD%x") == ["abc", "bcd"] and search_index.candidates(spark, str(tmp_path / "i"), "ab%c") is None
+
+
+def test_counters_come_from_the_write(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 3 == 0, "parsed" if k % 4 else "failed", k % 2 == 0, k) for k in range(10)], "is_valid boolean, status string, changed boolean, course_count long")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert validation.write_checked(rows, str(tmp_path / "a")) == {"total": 10, "valid": 4, "invalid": 6, "success_rate": 40.0}
+    assert extraction.write_parsed(rows, str(tmp_path / "b")) == {"parsed": 7, "failed": 3, "success_rate": 70.0}
+    assert refresh.write_refreshed(rows, str(tmp_path / "c")) == {"successes": 5, "attempts": 10, "courses": 45}
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 10
+    assert validation.write_checked(rows.where("false"), str(tmp_path / "d")) == {"total": 0, "valid": 0, "invalid": 0, "success_rate": 0.0}
+
+
+def _values(rng, depth=0):
+    k = rng.random()
+    if k < 0.45 or depth > 3:
+        return rng.choice(['a"}b', "\\", 'x\\"}{[', "é}", "", "]", "plain", "}\n{"])
+    if k < 0.6:
+        return rng.choice([1, 2.5, None, True])
+    inner = [_values(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+    return {f'{rng.choice("abc}")}{i}': v for i, v in enumerate(inner)} if k < 0.8 else inner
+
+
+def test_documents_are_read_in_blocks(spark, tmp_path):
+    rng = random.Random(3)
+    documents = [
+        [{"title": f"t{i}", "x": _values(rng)} for i in range(40)], [], {"title": "one", "x": {"y": 1}}, [1, {"a": {"b": "}"}}, "s", [{"c": 1}, {"d": 2}], None, {"e": []}, 7], [{"k": {"z": {}}}], "bad{", [5, 6],
+    ]
+    paths = []
+    for i, x in enumerate(documents):
+        paths.append(str(tmp_path / f"d{i}.json"))
+        (tmp_path / f"d{i}.json").write_text(x if isinstance(x, str) else json.dumps(x, indent=rng.choice([None, 2]), ensure_ascii=False) + rng.choice(["", "\n"]))
+    want = [e for x in documents for e in (x if isinstance(x, list) else [x])]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in (None, "120"):
+            for k in old if size else ():
+                spark.conf.set(k, size)
+            got = sources.read_json_document(spark, *paths).select("nseq", "line").orderBy("nseq").collect()
+            assert [r["nseq"] for r in got] == list(range(len(want)))
+            assert [r["line"] if r["line"] == "bad{" else json.loads(r["line"]) for r in got] == want
+        assert spark.read.option("lineSep", "}").text(paths[0]).select(F.spark_partition_id().alias("p")).distinct().count() > 3
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sources.read_json_document(spark, paths[0], paths[5], bad="skip").count() == 0
+    with pytest.raises(Exception, match="bad course"):
+        sources.read_json_document(spark, paths[5], bad="fail").select("construct_error").collect()
