@@ -74,26 +74,26 @@ def statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
-def terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def terms(column: pa.Array, openings: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, last row + 1, row of each term, term fingerprint).
 
-    Terms are the runs of letters in lower case, and their first 4, 5 and 6 bytes where
-    they are longer, one entry for each occurrence.
+    Terms are the runs of letters in lower case, and with ``openings`` their first 4, 5 and
+    6 bytes where they are longer, one entry for each occurrence.
     """
     for at, to, data, off in text_chunks(column):
         data = np.where(_LETTER[data], ASCII_LOWER[data], np.uint8(32))
         starts, ends, first = word_spans(data, off)
         row = np.repeat(np.arange(to - at), np.diff(first))
         total = [(row, word_hashes(data, starts, ends))]
-        for n in PREFIXES:
+        for n in PREFIXES if openings else ():
             longer = ends - starts > n
             total.append((row[longer], word_hashes(data, starts[longer], starts[longer] + n) ^ _OPENING * _U(n)))
         yield at, to, np.concatenate([r for r, _ in total]), np.concatenate([h for _, h in total])
 
 
-def counted_terms(column: pa.Array, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def counted_terms(column: pa.Array, wanted: np.ndarray | None = None, openings: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Yield (first row, row, term, count), each row's terms once, in order; ``wanted``: sorted terms, given back as places."""
-    for at, _, row, term in terms(column):
+    for at, _, row, term in terms(column, openings):
         if wanted is not None:
             if not len(wanted):
                 continue
