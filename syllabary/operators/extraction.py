@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import courses as C
 from ..functions import html as H
 from ..functions import prerequisites as P
-from ..functions.text import clean_text, fix_broken_lines, nullif_empty, strip
+from ..functions.text import bind, clean_text, fix_broken_lines, nullif_empty, strip
 from .validation import success_rate, write_counted
 
 RULES_SCHEMA = """name string, university string, block string, code string, title string, hours string, description string,
@@ -124,35 +124,56 @@ def replace_by_detail(blocks: DataFrame, pages: DataFrame, rule: SiteRule) -> Da
     return joined.withColumn("block", F.coalesce("detail", "block")).drop("detail", "link")
 
 
-def parse_blocks(blocks: DataFrame, rule: SiteRule) -> DataFrame:
-    """Course rows of a site's blocks; a block without code or title has status ``failed``."""
-    b = F.col("block")
-    whole = clean_text(H.all_text(b))
-    if rule.title_pattern:
-        line = whole if rule.level_rule == "dotted" else clean_text(F.coalesce(H.class_text(b, rule.title, "courseblocktitle"), H.element_text(b, "h3"), H.first_text(b)))
-        names = [rule.title_pattern.index("(?<code>"), rule.title_pattern.index("(?<title>")]
-        code = nullif_empty(F.regexp_extract(line, rule.title_pattern, 1 if names[0] < names[1] else 2))
-        title = nullif_empty(strip(F.regexp_extract(line, rule.title_pattern, 2 if names[0] < names[1] else 1)))
-    else:
-        raw_code, raw_title = H.class_text(b, rule.code), H.class_text(b, rule.title)
-        code = F.when(raw_code.isNotNull() & raw_title.isNotNull(), F.split_part(clean_text(raw_code), F.lit("."), F.lit(1)))
-        title = F.when(raw_title.isNotNull(), F.regexp_replace(clean_text(raw_title), r"\.+$", ""))
-    hours = H.class_text(b, rule.hours, "courseblockhours")
-    source = whole if rule.level_rule == "dotted" else F.coalesce(hours, F.regexp_extract(whole, r"(\d+\s+Units?)", 1)) if rule.name == "berkeley" else hours
-    units = F.regexp_extract(source, r"(\d+)\s+Units?", 1)
-    found = F.coalesce(C.extract_credits(source), C.units_credits(source) if rule.level_rule == "dotted" else F.when(units != "", C.credits_value("int", units, units)))
+def _block_fields(b: Column, rule: SiteRule) -> Column:
+    """``struct(code, title, credits, description, own, within)`` of a block; ``within`` is where a prerequisite clause is sought."""
+    dotted = rule.level_rule == "dotted"
+    none = F.lit(None).cast("string")
     default = C.credits_value("int", F.lit(3), F.lit("3")) if rule.default_credits == "3" else C.credits_value("str", F.lit(None), F.lit(rule.default_credits))
-    stated = H.class_text(b, rule.description, "courseblockdesc")
-    description = F.when(stated.isNotNull(), clean_text(stated)).otherwise(whole if rule.level_rule == "dotted" else F.lit(""))
-    rows = blocks.select("page_id", "url", "department", "position", code.alias("code"), title.alias("title"), F.coalesce(found, default).alias("credits"), description.alias("description"), (H.class_text(b, rule.prereq) if rule.prereq else F.lit(None).cast("string")).alias("own"), whole.alias("whole"))
-    within = F.concat_ws(" ", "whole", "description") if rule.level_rule == "dotted" else F.col("description")
-    clause = P.prerequisite_clause(within, rule.clause) if rule.clause else F.lit(None).cast("string")
-    rows = rows.withColumn("p", P.parse_prerequisites(F.coalesce("own", clause)))
-    course_id = C.normalize_course_id(F.col("code"))
-    level = C.infer_dotted_level(F.col("code")) if rule.level_rule == "dotted" else C.infer_level(course_id)
+
+    def fields(whole: Column) -> Column:
+        if rule.title_pattern:
+            line = whole if dotted else clean_text(F.coalesce(H.class_text(b, rule.title, "courseblocktitle"), H.element_text(b, "h3"), H.first_text(b)))
+            names = [rule.title_pattern.index("(?<code>"), rule.title_pattern.index("(?<title>")]
+            code = nullif_empty(F.regexp_extract(line, rule.title_pattern, 1 if names[0] < names[1] else 2))
+            title = nullif_empty(strip(F.regexp_extract(line, rule.title_pattern, 2 if names[0] < names[1] else 1)))
+        else:
+            raw = [H.class_text(b, rule.code), H.class_text(b, rule.title)]
+            code = F.when(raw[1].isNotNull(), bind(raw[0], lambda x: F.when(x.isNotNull(), F.split_part(clean_text(x), F.lit("."), F.lit(1)))))
+            title = bind(raw[1], lambda x: F.when(x.isNotNull(), F.regexp_replace(clean_text(x), r"\.+$", "")))
+        hours = H.class_text(b, rule.hours, "courseblockhours")
+        source = whole if dotted else F.coalesce(hours, F.regexp_extract(whole, r"(\d+\s+Units?)", 1)) if rule.name == "berkeley" else hours
+
+        def credits(source: Column) -> Column:
+            units = F.regexp_extract(source, r"(\d+)\s+Units?", 1)
+            return F.coalesce(C.extract_credits(source), C.units_credits(source) if dotted else F.when(units != "", C.credits_value("int", units, units)), default)
+
+        stated = H.class_text(b, rule.description, "courseblockdesc")
+        description = bind(stated, lambda x: F.when(x.isNotNull(), clean_text(x)).otherwise(whole if dotted else F.lit("")))
+        row = lambda d: F.struct(code.alias("code"), title.alias("title"), bind(source, credits).alias("credits"), d.alias("description"), (H.class_text(b, rule.prereq) if rule.prereq else none).alias("own"), (F.concat_ws(" ", whole, d) if dotted else d).alias("within"))
+        return bind(description, row)
+
+    needed = dotted or rule.name == "berkeley"
+    return bind(clean_text(H.all_text(b)), fields) if needed else fields(none)
+
+
+def parse_blocks(blocks: DataFrame, rule: SiteRule) -> DataFrame:
+    """Course rows of a site's blocks; a block without code or title has status ``failed``.
+
+    A block's fields are found by one bound expression, so each part is evaluated once and
+    the generated code stays small enough for the JVM to compile.
+    """
+    rows = blocks.select("page_id", "url", "department", "position", bind(F.col("block"), lambda b: _block_fields(b, rule)).alias("f"))
+    clause = P.prerequisite_clause(F.col("f.within"), rule.clause) if rule.clause else F.lit(None).cast("string")
+    rows = rows.select("page_id", "url", "department", "position", "f.*", P.parse_prerequisites(F.coalesce("f.own", clause)).alias("p"))
+
+    def ids(code: Column) -> Column:
+        course_id = C.normalize_course_id(code)
+        return bind(course_id, lambda x: F.struct(x.alias("id"), (C.infer_dotted_level(code) if rule.level_rule == "dotted" else C.infer_level(x)).alias("level")))
+
+    rows = rows.withColumn("i", bind(F.col("code"), ids))
     ok = F.col("code").isNotNull() & F.col("title").isNotNull()
     return rows.select(
-        "page_id", "position", F.lit(rule.university).alias("university"), course_id.alias("course_id"), "title", "description", "credits", level.alias("level"), "department",
+        "page_id", "position", F.lit(rule.university).alias("university"), F.col("i.id").alias("course_id"), "title", "description", "credits", F.col("i.level").alias("level"), "department",
         F.col("p.tree").alias("prerequisites"), F.col("p.text").alias("prerequisites_text"), F.col("p.parsed").alias("prerequisites_parsed"), F.col("url").alias("catalog_url"),
         F.when(ok, "parsed").otherwise("failed").alias("status"), F.when(~ok, "no code or title").alias("reason"),
     )
@@ -181,17 +202,36 @@ def catalogue_entries(texts: DataFrame, pattern: str = ENTRY) -> DataFrame:
     return texts.select("doc_id", F.posexplode(F.transform(parts, strip)).alias("position", "entry"))
 
 
+#: Code, number, title and perhaps credits of an entry's first line.
+_HEAD = r"^([A-Z]{2,6})\s+(\d{3,4}[A-Z]?)\.\s+(.+?)(?:\.\s+(\d+(?:\.\d+)?)\s+credits?)?\.?\s*$"
+
+
+def entry_fields(entry: Column) -> Column:
+    """``struct(course_id, title, credits, description, level, p)`` of a catalogue entry; the title is null where the first line is none.
+
+    The first line is taken apart by one match into tokens, a line each.
+    """
+
+    def of_tokens(t: Column) -> Column:
+        course_id, title, number, rest = t["head"][0], F.get(t["head"], 1), F.get(t["head"], 2), t["rest"]
+        credits = F.coalesce(F.when(number != "", C.extract_credits(F.concat(number, F.lit(" credits")))), C.extract_credits(rest), C.credits_value("str", F.lit(None), F.lit("Unknown")))
+        return F.struct(
+            course_id.alias("course_id"), F.regexp_replace(strip(title), r"\.+$", "").alias("title"), credits.alias("credits"), rest.alias("description"), C.infer_level(course_id).alias("level"),
+            P.parse_prerequisites(P.prerequisite_clause(rest)).alias("p"),
+        )
+
+    def of_body(body: Column) -> Column:
+        first = F.split_part(body, F.lit("\n"), F.lit(1))
+        return bind(F.struct(F.split(F.regexp_replace(first, _HEAD, "$1 $2\n$3\n$4"), "\n").alias("head"), clean_text(F.substring(body, F.length(first) + 2, F.length(body))).alias("rest")), of_tokens)
+
+    return bind(fix_broken_lines(entry), of_body)
+
+
 def parse_entries(entries: DataFrame, university: str, department: str, url: str) -> DataFrame:
     """Course rows of catalogue entries; the first line holds code and title, perhaps credits."""
-    body = fix_broken_lines(F.col("entry"))
-    first = F.split_part(body, F.lit("\n"), F.lit(1))
-    rest = clean_text(F.substring(body, F.length(first) + 2, F.length(body)))
-    head = r"^([A-Z]{2,6})\s+(\d{3,4}[A-Z]?)\.\s+(.+?)(?:\.\s+(\d+(?:\.\d+)?)\s+credits?)?\.?\s*$"
-    number = F.regexp_extract(first, head, 4)
-    credits = F.coalesce(F.when(number != "", C.extract_credits(F.concat(number, F.lit(" credits")))), C.extract_credits(rest), C.credits_value("str", F.lit(None), F.lit("Unknown")))
-    rows = entries.select("doc_id", "position", F.concat_ws(" ", F.regexp_extract(first, head, 1), F.regexp_extract(first, head, 2)).alias("course_id"), F.regexp_replace(strip(F.regexp_extract(first, head, 3)), r"\.+$", "").alias("title"), credits.alias("credits"), rest.alias("description"))
-    rows = rows.where(F.col("title") != "").withColumn("p", P.parse_prerequisites(P.prerequisite_clause(F.col("description"))))
+    one = F.filter(F.array(entry_fields(F.col("entry"))), lambda f: f["title"] != "")  # a filter behind would find the fields twice
+    rows = entries.select("doc_id", "position", F.explode(one).alias("f"))
     return rows.select(
-        "doc_id", "position", F.lit(university).alias("university"), "course_id", "title", "description", "credits", C.infer_level(F.col("course_id")).alias("level"), F.lit(department).alias("department"),
-        F.col("p.tree").alias("prerequisites"), F.col("p.text").alias("prerequisites_text"), F.col("p.parsed").alias("prerequisites_parsed"), F.lit(url).alias("catalog_url"),
+        "doc_id", "position", F.lit(university).alias("university"), "f.course_id", "f.title", "f.description", "f.credits", "f.level", F.lit(department).alias("department"),
+        F.col("f.p.tree").alias("prerequisites"), F.col("f.p.text").alias("prerequisites_text"), F.col("f.p.parsed").alias("prerequisites_parsed"), F.lit(url).alias("catalog_url"),
     )

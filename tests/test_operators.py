@@ -177,6 +177,11 @@ def test_files_are_read_in_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", small)
     assert titles == [f"c{k}" for k in range(400)] + ["a0"] * 130
+    once = sources.read_jsonl(spark, str(folder), str(folder / "a.jsonl"), dense=False)
+    assert [r["title"] for r in once.orderBy("place").collect()] == [r["title"] for r in rows.collect()] + ["a0"]
+    assert store.keep_first(once, "place").first()["title"] == "a0" and store.keep_last(once, "place").first()["title"] == "a0"
+    assert store.keep_last(once.where("title <> 'a0'"), "place").first()["title"] == "c399"
+    assert store.keep_first(once, "place")._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2  # one an argument
     (tmp_path / "d.json").write_text(json.dumps([ROW | {"title": "x"}, ROW | {"title": "y"}]))
     (tmp_path / "e.json").write_text(json.dumps(ROW | {"title": "z"}))
     documents = sources.read_json_document(spark, str(tmp_path / "d.json"), str(tmp_path / "e.json"))
