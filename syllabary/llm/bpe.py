@@ -105,6 +105,13 @@ _LATER_LETTERS = [
 ]
 
 
+#: Capitals newer than Python's tables, and what the vocabulary's lower case makes of them.
+_LATER_CAPITALS = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
 @lru_cache(1)
 def _slow_words():
     """The word pattern for any text."""
@@ -119,7 +126,8 @@ def _words(text: str) -> list[str]:
     if not _PLAIN_TEXT.search(text):
         return _PLAIN_WORDS.findall(text.lower())
     text = unicodedata.normalize("NFC", text)
-    return _slow_words().findall("".join(c.lower() for c in text) if "Σ" in text else text.lower())
+    low = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+    return _slow_words().findall(low.translate(_LATER_CAPITALS))
 
 
 #: The arrays of a compiled lexicon, in order.

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import unicodedata
 
 import numpy as np
 import pytest
@@ -91,6 +92,22 @@ def test_bpe_equals_library(spark, tables):
         assert got[k]["ids_sha256"] == hashlib.sha256(" ".join(map(str, e.ids)).encode()).hexdigest()
 
 
+def test_bpe_lower_case_of_every_code_point():
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    changed = library.normalizer
+    odd = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c in bpe._LATER_CAPITALS or chr(c).lower() != chr(c))]
+    for c in odd:
+        text = unicodedata.normalize("NFC", f"a{chr(c)}b")
+        low = "".join(x.lower() for x in text).translate(bpe._LATER_CAPITALS)
+        assert changed.normalize_str(text) == low, hex(c)
+    encoder = bpe.read_vocabulary()
+    for c in bpe._LATER_CAPITALS:
+        assert "".join(bpe._words(f"a{chr(c)}b")) == changed.normalize_str(f"a{chr(c)}b") and encoder
+
+
 def test_shards(spark, docs):
     docs = docs.where(F.coalesce(F.length("text"), F.lit(0)) < 50_000)  # one longer than a shard cannot be balanced
     rows = sharding.metadata(docs)
