@@ -197,8 +197,8 @@ def _sent(candidates: DataFrame, window: int, marks: np.ndarray | None, heavy: l
 
 
 def _by_part(ids: np.ndarray, pos: np.ndarray, parts: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Positions and documents packed by a share of the documents, in order."""
-    part = ids % parts
+    """Positions and documents packed by a share of the documents, in order; ids that share a divisor spread too."""
+    part = ((ids.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(32)).astype(np.int64) % parts
     order = np.lexsort((pos, ids, part))
     return _packed(part[order], [pos[order], ids[order]])
 
