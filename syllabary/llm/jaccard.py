@@ -44,7 +44,8 @@ SLOTS = 1 << 20
 _BLOCK = 1 << 14
 _U = np.uint64
 PAIRS_UP_TO = 12
-LEAF = 32
+#: Sets that are compared without pivots: a space of two is a pair.
+LEAF = 2
 PIVOTS = 8
 NEAR = 0.6
 HOT_TOKEN = 1 << 17
@@ -345,6 +346,8 @@ class Sets:
         self.sets = [np.frombuffer(packed[k], _U) for k in order.tolist()]
         self.root = list(range(len(ids)))
         self.links: list[tuple[int, int]] = []
+        #: Components that each step has united.
+        self.united = {"copies": 0, "pivots": 0, "pairs": 0}
         first: dict[int, int] = {}
         for k, i in enumerate(self.ids.tolist()):  # rows of one id are one document
             self.unite(first.setdefault(i, k), k)
@@ -356,10 +359,11 @@ class Sets:
             i = root[i]
         return i
 
-    def unite(self, i: int, j: int) -> None:
+    def unite(self, i: int, j: int, step: str = "pairs") -> None:
         i, j = self.find(i), self.find(j)
         if i != j:
             self.root[max(i, j)] = min(i, j)
+            self.united[step] += 1
 
     def roots(self, group: np.ndarray) -> np.ndarray:
         return np.array([self.find(i) for i in group.tolist()], np.int64)
@@ -409,7 +413,7 @@ class Sets:
         for k, p in enumerate(pivots.tolist()):
             distance[:, k], link = _distances(flat, starts, n, self.sets[p], self.percent)
             for i in group[link].tolist():
-                self.unite(i, p)
+                self.unite(i, p, "pivots")
         return [group[inside] for inside in voronoi(distance, 1.0 - self.percent / 100)]
 
     def join(self, leaf: int = LEAF, pivots: int = PIVOTS, seed: int = 4) -> np.ndarray:

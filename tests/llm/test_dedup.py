@@ -3,6 +3,8 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
 from syllabary.llm import embedding_dedup, graph, jaccard, substrings
 
 
@@ -66,6 +68,15 @@ def _turned(n):
     return word, word.translate(str.maketrans("ab", "ba"))
 
 
+def test_ids_that_share_a_divisor(spark, docs, corpus):
+    """Ids that count by a thousand spread over all shares, and give the same results."""
+    rows = [substrings._by_part(np.arange(0, 5_000_000, 1000), np.zeros(5000, np.int32), 8)]
+    assert sorted(p for part in rows for p, _ in part) == list(range(8))
+    want = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs).collect()}
+    wide = substrings.remove_repeats(docs.withColumn("doc_id", F.col("doc_id") * 1000))
+    assert {r["doc_id"] // 1000: r["n_removed"] for r in wide.collect()} == want
+
+
 def test_words_that_polynomial_hashes_confuse(spark):
     one, other = _turned(11)
     line = [f"w{k}" for k in range(60)]
@@ -97,6 +108,12 @@ def test_spaces_are_joined_by_pivots_and_cells():
     for leaf, pivots in ((2, 3), (8, 4), (200, 4)):
         space = jaccard.Sets(np.arange(len(sets)), [x.tobytes() for x in sets], 75)
         assert dict(zip(space.ids.tolist(), space.join(leaf, pivots).tolist(), strict=True)) == want
+    space = jaccard.Sets(np.arange(len(sets)), [x.tobytes() for x in sets], 75)
+    space.join()
+    assert space.united["pivots"] > space.united["pairs"] and sum(space.united.values()) == len(sets) - len(set(want.values()))
+    for few in (2, 3, 7):  # small spaces take the same way
+        space = jaccard.Sets(np.arange(few), [x.tobytes() for x in sets[:few]], 75)
+        assert dict(zip(space.ids.tolist(), space.join().tolist(), strict=True)) == _components(range(few), [(i, j) for i, j in linked if max(i, j) < few])
     points = rng.random((200, 2)) * 1.2
     distance = np.linalg.norm(points[:, None] - points[None, :6], axis=2)
     cells = jaccard.voronoi(distance, 0.25)
