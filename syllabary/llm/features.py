@@ -14,7 +14,7 @@ STATISTICS = (
 )
 PREFIXES = (4, 5, 6)
 _U = np.uint64
-_OPENING = _U(0x9E3779B97F4A7C15)
+_OPENINGS = {n: _U(0x9E3779B97F4A7C15 * n & 0xFFFFFFFFFFFFFFFF) for n in PREFIXES}
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _UPPER = np.zeros(256, bool)
@@ -87,7 +87,7 @@ def terms(column: pa.Array, openings: bool = True) -> Iterator[tuple[int, int, n
         total = [(row, word_hashes(data, starts, ends))]
         for n in PREFIXES if openings else ():
             longer = ends - starts > n
-            total.append((row[longer], word_hashes(data, starts[longer], starts[longer] + n) ^ _OPENING * _U(n)))
+            total.append((row[longer], word_hashes(data, starts[longer], starts[longer] + n) ^ _OPENINGS[n]))
         yield at, to, np.concatenate([r for r, _ in total]), np.concatenate([h for _, h in total])
 
 

@@ -5,13 +5,12 @@ dimensions, none is chosen.  A term weighs (1 + ln count) * idf * relevance: its
 counted over the whole corpus, and its relevance, chi / (chi + RELEVANT) of its chi-squared
 with the label, rises smoothly from 0 without a threshold, at every number of examples.
 (Plain TF-IDF, without the last factor, finds less; README has the figures.)  Labelled
-examples become vectors of length one in an inverted index whose posting lists are cut into
-blocks of examples that carry their largest weight; examples are numbered by their heaviest
-term, so that a block's examples are alike and its bound is tight.  For each text the exact
-``neighbours`` of largest cosine are found: blocks are visited by their upper bound until
-none can hold a nearer example.  Votes weighted by distance, 1 / (1 - cosine + 0.05), are
-turned into a probability by a table fitted on the examples themselves, each judged without
-itself.
+examples become vectors of length one in an inverted index whose long posting lists are cut
+into blocks of examples that carry their largest weight; examples are numbered by their
+heaviest term, so that a block's examples are alike and its bound is tight.  For each text
+the exact ``neighbours`` of largest cosine are found: what a block's bound shows to be
+further is not looked up.  Votes weighted by distance, 1 / (1 - cosine + 0.05), are turned
+into a probability by a table fitted on the examples themselves, each judged without itself.
 
 ``examples`` bounds the index and with it the dimensions; all texts are scored, whole.
 Defined results: texts without a weight in any dimension (also null and empty ones) get the
@@ -42,53 +41,57 @@ def _weights(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Block-max inverted index over example vectors given as (row, term, weight), rows in order."""
+    """Inverted index over example vectors given as (row, term, weight), with block maxima where lists are long.
+
+    Lists of terms that fewer than a tenth of the examples have are added up whole.  The
+    few longer ones, which hold most of all weights, are cut into blocks of examples that
+    carry their largest weight; only examples are looked up there that can still be among
+    the nearest by what the short lists gave and by their block's bound.
+    """
 
     def __init__(self, rows: int, terms: int, row: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray) -> None:
-        self.labels = labels
-        self.blocks = -(-rows // BLOCK)
+        self.labels, self.rows = labels, rows
+        blocks = max(1, -(-rows // BLOCK))
         order = np.lexsort((row, term))
-        self.row, self.weight, term = row[order], weight[order], term[order]
-        key = term * max(1, self.blocks) + self.row // BLOCK
-        self.key, first = np.unique(key, return_index=True)
-        self.bounds = np.append(first, len(key))
-        self.highest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.term_at = np.searchsorted(self.key, np.arange(terms + 1) * max(1, self.blocks))
+        row, term, weight = row[order], term[order], weight[order]
+        n = np.bincount(term, minlength=terms)
+        long = np.flatnonzero(n > max(BLOCK, rows // 10))
+        self.place = np.full(terms, -1)
+        self.place[long] = np.arange(len(long))
+        at = self.place[term]
+        self.lists = np.zeros((len(long), blocks * BLOCK))
+        self.lists[at[at >= 0], row[at >= 0]] = weight[at >= 0]
+        self.highest = self.lists.reshape(len(long), blocks, BLOCK).max(axis=2)
+        self.row, self.weight = row[at < 0].astype(np.int32), weight[at < 0]
+        self.term_at = np.searchsorted(term[at < 0], np.arange(terms + 1))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines of the k nearest with a cosine above 0."""
-        size = self.term_at[term + 1] - self.term_at[term]
-        pieces = np.repeat(self.term_at[term] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        if not len(pieces):
-            return np.zeros(0, np.int64), np.zeros(0)
-        factor = np.repeat(weight, size)
-        block = self.key[pieces] % self.blocks
-        bound = np.bincount(block, factor * self.highest[pieces], self.blocks)
-        waiting = np.argsort(-bound, kind="stable")
-        waiting = waiting[bound[waiting] > 0]
-        found_ids, found_cos, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        a, step = 0, 8
-        while a < len(waiting) and (len(found_ids) < k or bound[waiting[a]] >= least - 1e-12):
-            now = waiting[a : a + step]
-            rank = np.full(self.blocks, -1)
-            rank[now] = np.arange(len(now))
-            own = np.flatnonzero(rank[block] >= 0)
-            size = self.bounds[pieces[own] + 1] - self.bounds[pieces[own]]
-            at = np.repeat(self.bounds[pieces[own]] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            cos = np.bincount(np.repeat(rank[block[own]] * BLOCK, size) + self.row[at] % BLOCK, np.repeat(factor[own], size) * self.weight[at], len(now) * BLOCK)
-            place = np.flatnonzero(cos > 0)
-            ids = now[place // BLOCK] * BLOCK + place % BLOCK
-            if without >= 0:
-                place, ids = place[ids != without], ids[ids != without]
-            found_ids, found_cos = np.concatenate([found_ids, ids]), np.concatenate([found_cos, cos[place]])
-            if len(found_ids) > k:
-                high = found_cos >= np.partition(found_cos, len(found_cos) - k)[len(found_cos) - k]
-                found_ids, found_cos = found_ids[high], found_cos[high]
-            best = np.lexsort((found_ids, -found_cos))[:k]
-            found_ids, found_cos = found_ids[best], found_cos[best]
-            least = found_cos[-1] if len(found_cos) else 0.0
-            a, step = a + step, 2 * step
-        return found_ids, np.minimum(found_cos, 1.0)
+        """Example numbers and cosines, to twelve places, of the k nearest with a cosine above 0."""
+        low, high = self.term_at[term], self.term_at[term + 1]
+        cuts = [slice(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True) if b > a]
+        part = np.zeros(self.lists.shape[1])
+        if cuts:
+            weights = np.concatenate([self.weight[c] for c in cuts]) * np.repeat(weight, high - low)
+            part = np.bincount(np.concatenate([self.row[c] for c in cuts]), weights, len(part))
+        place = self.place[term]
+        own, factor = place[place >= 0], weight[place >= 0]
+        bound = part + np.repeat(factor @ self.highest[own], BLOCK)
+        if without >= 0:
+            part[without] = bound[without] = -1.0
+        least = max(0.0, np.partition(part, len(part) - k)[len(part) - k] if k < len(part) else 0.0)
+        ids = np.flatnonzero(bound >= least - 1e-12)
+        if 2 * len(ids) > len(part):
+            cos = (part + factor @ self.lists[own])[ids]
+        else:
+            cos = part[ids] + factor @ self.lists[np.ix_(own, ids)]
+        cos = np.round(cos, 12)
+        some = cos > 0
+        ids, cos = ids[some], cos[some]
+        if len(ids) > k:
+            some = cos >= np.partition(cos, len(cos) - k)[len(cos) - k]
+            ids, cos = ids[some], cos[some]
+        best = np.lexsort((ids, -cos))[:k]
+        return ids[best], np.minimum(cos[best], 1.0)
 
     def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
         near = 1.0 / (1.0 - cos + 0.05)

@@ -14,7 +14,8 @@ them.
 
 Defined results: null texts count as empty; equal texts give equal media; payloads
 above 16,383 rows of 64 bytes use wider images, padded with zero pixels, and a chunk
-``LENG`` in the file keeps the payload's true length.
+``LENG`` in the file keeps the payload's true length; one above 256 MB, the most that fits
+one image, is an error that names this limit.
 """
 
 from __future__ import annotations
