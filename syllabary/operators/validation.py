@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_EVEN, Decimal
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -90,8 +92,8 @@ def summary_metrics() -> list[Column]:
 
 
 def success_rate(good: int, total: int, digits: int) -> float:
-    """Percent to some places, 0 of nothing."""
-    return round(good * 100.0 / total, digits) if total else 0.0
+    """Percent to some places, halves to even as ``bround`` does, 0 of nothing."""
+    return float(Decimal(str(good * 100.0 / total)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_EVEN)) if total else 0.0
 
 
 def write_counted(rows: DataFrame, path: str, *metrics: Column) -> dict:
