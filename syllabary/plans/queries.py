@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import courses as C
@@ -619,3 +619,198 @@ def scrape_success_written(spark, sf_dir):
 def refresh_summary_written(spark, sf_dir):
     n = refresh.write_refreshed(refresh.check(current(spark, sf_dir), snapshots(spark, sf_dir), NOW), sources.scratch(spark, "refreshed"))
     return spark.createDataFrame([n], "successes long, attempts long, courses long")
+
+
+# --- files, sinks and state, written and read again ----------------------------------------------------
+
+@query("""SELECT row_number() OVER (ORDER BY nseq % 2, nseq) - 1 AS nseq, CASE WHEN nseq % 23 <> 0 THEN title END AS title, nseq % 29 <> 0 AND nseq % 23 <> 0 AS good FROM courses_raw""")
+def read_files_in_order(spark, sf_dir):
+    """JSON lines of two arguments, blank lines among them: numbers follow the arguments and the places in their files."""
+    base, rows = sources.scratch(spark, "lines"), json_lines(spark, sf_dir)
+    for k in (0, 1):
+        rows.where(F.col("nseq") % 2 == k).orderBy("nseq").coalesce(1).select(F.concat("value", F.when(F.col("nseq") % 5 == 0, "\n \t").otherwise(""))).write.text(f"{base}/{k}")
+    found = sources.read_jsonl(spark, f"{base}/0", f"{base}/1")
+    return _dense(found.select("nseq", "title", F.col("construct_error").isNull().alias("good")))
+
+
+def _dense(rows: DataFrame) -> DataFrame:
+    """``nseq`` without the gaps that blank lines leave."""
+    return rows.withColumn("nseq", F.row_number().over(Window.orderBy("nseq")).cast("long") - 1)
+
+
+@query("""SELECT university, title, description, count(*) AS n FROM courses_raw WHERE nseq % 29 <> 0 AND nseq % 23 <> 0 GROUP BY ALL""")
+def read_lines_skipping(spark, sf_dir):
+    """Rows that cannot become courses are left out."""
+    base = sources.scratch(spark, "lines")
+    json_lines(spark, sf_dir).select("value").write.text(f"{base}/in")
+    return sources.read_jsonl(spark, f"{base}/in", bad="skip", dense=False).groupBy("university", "title", "description").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT nseq, norm_id AS course_id, title, notes, notes IS NOT NULL AS has_notes FROM ids""")
+def written_jsonl(spark, sf_dir):
+    """Courses as JSON lines without null fields, read again."""
+    base = sources.scratch(spark, "jsonl")
+    sources.write_jsonl(courses(spark, sf_dir).select("nseq", "course_id", "title", "notes"), base)
+    c = F.col("value")
+    return spark.read.text(base).select(F.get_json_object(c, "$.nseq").cast("long").alias("nseq"), *[F.get_json_object(c, f"$.{f}").alias(f) for f in ("course_id", "title", "notes")], F.array_contains(F.json_object_keys(c), "notes").alias("has_notes"))
+
+
+@query("""SELECT nseq, norm_id AS course_id, credits, nullif(trim(prerequisites_text), '') AS prerequisites_text FROM levels""")
+def written_csv(spark, sf_dir):
+    base = sources.scratch(spark, "csv")
+    sources.write_csv(courses(spark, sf_dir).select("nseq", "course_id", "credits", "prerequisites", "prerequisites_text"), base)
+    return spark.read.option("header", True).csv(base).select(F.col("nseq").cast("long").alias("nseq"), "course_id", "credits", "prerequisites_text")
+
+
+@query("""SELECT norm_id AS course_id, title, CASE WHEN len(c) > 0 THEN array_to_string(c, ',') END AS corequisites FROM (SELECT ids.*, """ + _CODES.format("regexp_extract(coalesce(prerequisites_text, ''), '(?i)corequisites?[ ]*:?[ ]*(.+?)(?:[.;]|$)', 1)") + """ AS c FROM ids) WHERE university = 'Brand#7'""")
+def decoded_export(spark, sf_dir):
+    """A stored table's JSON text as lists again, of one university."""
+    rows = courses(spark, sf_dir).withColumn("corequisites", P.corequisites(F.col("prerequisites_text")))
+    base = sources.scratch(spark, "stored")
+    sources.export_rows(rows).write.parquet(base)
+    out = sources.export_decoded(spark.read.parquet(base), "Brand#7")
+    return out.select("course_id", "title", F.array_join("corequisites", ",").alias("corequisites"))
+
+
+@query("""SELECT nseq, title FROM courses_raw""")
+def json_array_round_trip(spark, sf_dir):
+    """One JSON array of all rows, written by many tasks and read by many."""
+    base = sources.scratch(spark, "array")
+    lines = sources.to_json_array(courses_raw(spark, sf_dir).select("nseq", "title"))
+    lines.orderBy("part").coalesce(1).select("line").write.text(f"{base}/all.json")
+    c = F.col("line")
+    return sources.read_json_document(spark, f"{base}/all.json").select(F.get_json_object(c, "$.nseq").cast("long").alias("nseq"), F.get_json_object(c, "$.title").alias("title"))
+
+
+@query("""SELECT university, CAST(sum(courses) AS BIGINT) AS courses, 2::BIGINT AS runs FROM (SELECT university, courses FROM run_events) GROUP BY university""")
+def scrape_log(spark, sf_dir):
+    """Two appends to the scrape log: halves of each university's courses."""
+    base, n = sources.scratch(spark, "log"), refresh.run_metrics(_view(spark, sf_dir, views.RUN_EVENTS, events="events"))
+    half = F.floor(F.col("courses") / 2)
+    for part in (half, F.col("courses") - half):
+        sources.append_runs(n.select("university", part.cast("long").alias("courses_added"), F.lit(NOW).alias("scrape_date")), base)
+    return spark.read.parquet(base).groupBy("university").agg(F.sum("courses_added").alias("courses"), F.count("*").alias("runs"))
+
+
+@query("," + _CHECK + f"""SELECT university, url, content_hash, CASE WHEN length(university) = 2 THEN 77 ELSE course_count END AS course_count FROM (
+SELECT university, url, CASE WHEN changed THEN new_hash ELSE old_hash END AS content_hash, CASE WHEN action = 'first' THEN 0 ELSE course_count END AS course_count FROM reasons WHERE action <> 'failed' OR last_checked IS NOT NULL
+UNION ALL SELECT university, url, content_hash, course_count FROM snapshots s WHERE NOT EXISTS (SELECT 1 FROM current_hashes c WHERE c.university = s.university))""")
+def snapshot_versions(spark, sf_dir):
+    """The state after a check, written as a version, with course counts of a later run."""
+    base, old = sources.scratch(spark, "snapshots"), snapshots(spark, sf_dir)
+    first = sources.write_version(refresh.next_state(refresh.check(current(spark, sf_dir), old, NOW), old), base, 1)
+    state = spark.read.parquet(first)
+    runs = state.where(F.length("university") == 2).select("university", F.lit(77).cast("long").alias("n"), F.lit("").alias("note"))
+    second = sources.write_version(refresh.update_counts(state, runs), base, 2)
+    return refresh.snapshots_listed(spark.read.parquet(second)).select("university", "url", "content_hash", "course_count")
+
+
+@query("," + _CHECK + "SELECT university, reason FROM reasons WHERE changed")
+def refresh_tasks(spark, sf_dir):
+    return refresh.tasks(refresh.check(current(spark, sf_dir), snapshots(spark, sf_dir), NOW)).select("university", "reason")
+
+
+@query("""SELECT university, CASE WHEN university LIKE '%7' THEN 'Unknown' ELSE CAST(d // 3600 AS VARCHAR) || ':' || lpad(CAST(d // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(d % 60 AS VARCHAR), 2, '0') END AS duration
+FROM (SELECT university, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000) AS BIGINT) AS d FROM run_events GROUP BY university)""")
+def run_durations(spark, sf_dir):
+    runs = _view(spark, sf_dir, views.RUN_EVENTS, events="events").groupBy("university").agg(F.min("ts").cast("string").alias("start_time"), F.max("ts").cast("string").alias("end_time"))
+    runs = runs.withColumn("end_time", F.when(F.col("university").endswith("7"), "no time").otherwise(F.col("end_time")))
+    return refresh.run_duration(runs).select("university", "duration")
+
+
+@query("," + _GOLDEN + """SELECT field, count(*) AS total, count(*) FILTER (outcome = 'correct') AS correct, (SELECT count(*) FROM stated WHERE outcome = 'incorrect') AS error_count FROM stated GROUP BY field""")
+def golden_report(spark, sf_dir):
+    """The report document, written as JSON and read again."""
+    base = sources.scratch(spark, "report")
+    sources.write_report(golden.report(_compared(spark, sf_dir)), base)
+    schema = "fields map<string, struct<total: long, correct: long>>, error_count long"
+    return spark.read.schema(schema).json(base).select(F.explode("fields").alias("field", "m"), "error_count").select("field", "m.total", "m.correct", "error_count")
+
+
+@query("," + _GOLDEN + """SELECT field, count(*) AS total, count(*) FILTER (outcome = 'correct') AS correct FROM stated WHERE university = 'Brand#17' GROUP BY field""")
+def golden_one_university(spark, sf_dir):
+    compared = golden.compare(courses(spark, sf_dir), golden_courses(spark, sf_dir), university="Brand#17")
+    return golden.field_metrics(compared).select("field", "total", "correct")
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (len(errors) = 0) AS valid, count(*) FILTER (len(errors) > 0) AS invalid FROM (SELECT * FROM checked ORDER BY nseq LIMIT 90)""")
+def validation_of_first_rows(spark, sf_dir):
+    """Only the first rows are validated."""
+    return validation.summary(validation.with_errors(sources.first_rows(courses(spark, sf_dir), 90))).select("total", "valid", "invalid")
+
+
+@query(f"""SELECT nseq, norm_id AS course_id, CASE WHEN nseq % 19 = 0 THEN 'Unknown' ELSE 'Graduate' END AS level, '{NOW}' AS last_updated FROM ids""")
+def normalized_rows(spark, sf_dir):
+    """Defaults of construction: checked levels, and the time of the run where a row has none."""
+    return validation.normalize(sources.parse_lines(json_lines(spark, sf_dir)), NOW).select("nseq", "course_id", "level", "last_updated")
+
+
+@query("""SELECT nseq, norm_id AS course_id, title, CASE WHEN credits_text = '3 credits' THEN '3' WHEN credits_text = '3-4 credits' THEN '3-4' WHEN credits_text = 'Lecture (4)' THEN '4' WHEN credits_text = 'credits vary' THEN 'variable' WHEN credits_text = '3.5 cr.' THEN '3.5' END AS credits
+FROM ids WHERE nseq % 4 <> 3""")
+def title_lines(spark, sf_dir):
+    """Title lines taken apart; a line of another form gives no row."""
+    c = courses_raw(spark, sf_dir).withColumn("id", C.normalize_course_id(F.col("course_id")))
+    line = F.concat(F.lit("  "), "id", F.when(F.col("nseq") % 4 != 3, ". ").otherwise(": "), "title", F.lit(". "), "credits_text")
+    r = C.title_line(line)
+    return c.select("nseq", r["course_id"].alias("course_id"), r["title"].alias("title"), r["credits"]["text"].alias("credits")).where("course_id is not null")
+
+
+@query("""SELECT site, nseq AS page_id, CASE site WHEN 'stanford' THEN title WHEN 'harvard' THEN title WHEN 'yale' THEN title WHEN 'berkeley' THEN title ELSE 'MATH 1' || CAST(100 + nseq % 900 AS VARCHAR) || ' ' || title END AS title, 'MATH 1' || CAST(100 + nseq % 900 AS VARCHAR) AS course_id,
+CASE site WHEN 'berkeley' THEN CAST(1 + nseq % 5 AS VARCHAR) WHEN 'yale' THEN 'Unknown' ELSE '3' END AS credits, 'https://example.org/courses/' || site || '/' AS catalog_url
+FROM ids, (SELECT unnest(['stanford', 'berkeley', 'harvard', 'princeton', 'cornell', 'yale']) AS site)""")
+def site_layouts(spark, sf_dir):
+    """The title lines of six sites over the same courses: codes, titles, defaults of credits, page addresses."""
+    c = courses_raw(spark, sf_dir)
+    code = F.concat(F.lit("MATH 1"), (100 + F.col("nseq") % 900).cast("string"))
+    lines = {
+        "stanford": F.concat(code, F.lit(": "), "title"), "berkeley": F.concat(code, F.lit(". "), "title", F.lit(". "), (1 + F.col("nseq") % 5).cast("string"), F.lit(" Units.")), "harvard": F.concat(code, F.lit(" (fall): "), "title"),
+        "princeton": F.concat(code, F.lit(" "), "title"), "cornell": F.concat(code, F.lit(" "), "title"), "yale": F.concat(code, F.lit(". "), "title"),
+    }
+    out = []
+    for site, line in lines.items():
+        html = F.concat(F.lit('<div class="courseblock"><span class="courseblocktitle">'), line, F.lit("</span></div><p>foot</p>"))
+        pages = c.select(F.col("nseq").alias("page_id"), F.lit(f"https://example.org/courses/{site}/").alias("url"), html.alias("html"))
+        rule = _rule(spark, site)
+        out.append(extraction.parse_blocks(extraction.course_blocks(pages, rule), rule).select(F.lit(site).alias("site"), "page_id", "course_id", "title", F.col("credits.text").alias("credits"), "catalog_url"))
+    return store.merge(*out)
+
+
+@query("""SELECT nseq AS page_id, CASE WHEN nseq % 3 = 0 THEN 'Full ' || title ELSE title END AS title, CASE WHEN nseq % 3 = 0 THEN 'CSE 1010 and CSE 1729' END AS prerequisites_text FROM ids""")
+def detail_pages(spark, sf_dir):
+    """A listing's block takes its detail page's block where there is one; prerequisites come from there."""
+    c = courses_raw(spark, sf_dir)
+    block = lambda title, link, more: F.concat(F.lit('<div class="courseblock"><a class="bubblelink" href="'), link, F.lit('">x</a><b class="detail-code">CSE 1010.</b><b class="detail-title">'), title, F.lit(".</b>"), more, F.lit("</div>foot"))
+    link = F.concat(F.lit("/detail/"), F.col("nseq").cast("string"))
+    listing = c.select(F.col("nseq").alias("page_id"), F.lit("/list").alias("url"), block(F.col("title"), link, F.lit("")).alias("html"))
+    details = c.where("nseq % 3 = 0").select((F.col("nseq") + 1_000_000_000).alias("page_id"), link.alias("url"), block(F.concat(F.lit("Full "), "title"), F.lit("/self"), F.lit('<i class="detail-prereqs">CSE 1010 and CSE 1729</i>')).alias("html"))
+    rule = _rule(spark, "uconn")
+    found = extraction.replace_by_detail(extraction.course_blocks(listing, rule), listing.unionByName(details), rule)
+    return extraction.parse_blocks(found, rule).select("page_id", "title", "prerequisites_text")
+
+
+@query("""SELECT site, count(*) AS pages FROM (SELECT CASE page_id % 3 WHEN 0 THEN 'nowhere' WHEN 1 THEN 'Else' END AS site FROM pages) WHERE site IS NOT NULL GROUP BY site""")
+def unknown_sites(spark, sf_dir):
+    """Pages of sites without a rule; names of sites are compared whatever their case."""
+    site = F.when(F.col("page_id") % 3 == 0, "nowhere").when(F.col("page_id") % 3 == 1, "Else").otherwise("COLUMBIA")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", site.alias("site"))
+    return extraction.unknown_sites(pages, extraction.rules(spark)).groupBy("site").agg(F.count("*").alias("pages"))
+
+
+@query("""SELECT nseq AS doc_id, unnest([0, 1])::BIGINT AS position, unnest(['Unit ' || CAST(nseq AS VARCHAR) || ': ' || title, 'Unit 9: last']) AS entry FROM ids""")
+def entries_by_own_pattern(spark, sf_dir):
+    """Catalogue text cut by a pattern that the user gives."""
+    c = courses_raw(spark, sf_dir)
+    text = F.concat(F.lit("preface\nUnit "), F.col("nseq").cast("string"), F.lit(": "), "title", F.lit("\n\n  Unit 9: last\n"))
+    return extraction.catalogue_entries(c.select(F.col("nseq").alias("doc_id"), text.alias("text")), r"Unit \d+: ").withColumn("position", F.col("position").cast("long"))
+
+
+@query("""SELECT university, CASE WHEN length(university) = 2 THEN 'second' ELSE content_hash END AS content_hash, CASE WHEN length(university) = 2 THEN 'Catalog updated' ELSE 'Initial snapshot' END AS notes FROM current_hashes WHERE content_hash IS NOT NULL""")
+def watched_catalogues(spark, sf_dir):
+    """Two arrivals of catalogue contents folded into the snapshot state; within one the last content counts."""
+    base, now = sources.scratch(spark, "watch"), current(spark, sf_dir).where("content_hash is not null")
+    first = now.select("university", "content_hash", F.lit(2).cast("long").alias("seq")).unionByName(now.select("university", F.lit("early").alias("content_hash"), F.lit(1).cast("long").alias("seq")))
+    second = now.where(F.length("university") == 2).select("university", F.lit("second").alias("content_hash"), F.lit(3).cast("long").alias("seq"))
+    for arrival in (first, second):
+        arrival.write.mode("append").parquet(f"{base}/in")
+        ingest.watch_catalogues(spark, f"{base}/in", f"{base}/state", f"{base}/checkpoint", NOW).awaitTermination()
+    return spark.read.parquet(f"{base}/state/v1").select("university", "content_hash", "notes")
