@@ -278,7 +278,7 @@ def test_stream_state(spark, tmp_path):
 
 
 def test_elements_end_where_their_tag_ends(spark):
-    cut = lambda page: spark.createDataFrame([(page,)], "h string").select(H.elements(F.col("h"), "block").alias("r")).first()["r"]
+    cut = lambda page: spark.createDataFrame([(page,)], "h string").select(H.blocks(F.col("h"), "block").alias("r")).first()["r"]
     assert cut('<div><div class="block">a<div>b</div>c</div>foot</div><p>end') == ['<div class="block">a<div>b</div>c</div>']
     assert cut('<div class="block">a<div class="block x">b</div>c</div>') == ['<div class="block">a<div class="block x">b</div>c</div>', '<div class="block x">b</div>']
     assert cut('<DIV class="block">a<!-- </div> --></div>z') == ['<DIV class="block">a</div>']
