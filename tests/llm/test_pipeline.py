@@ -77,3 +77,10 @@ def test_pipeline_equals_brute_force(spark, rows, tmp_path):
     digest = lambda t: hashlib.sha256(" ".join(map(str, library.encode(t, add_special_tokens=False).ids)).encode()).hexdigest()
     got = [(r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sorted(map(repr, got)) == sorted(repr((r[0], digest(r[1]))) for r in left)
+
+
+def test_empty_table_twice(spark, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
+    for _ in range(2):
+        assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
