@@ -408,3 +408,11 @@ def test_documents_are_read_in_blocks(spark, tmp_path):
     assert sources.read_json_document(spark, paths[0], paths[5], bad="skip").count() == 0
     with pytest.raises(Exception, match="bad course"):
         sources.read_json_document(spark, paths[5], bad="fail").select("construct_error").collect()
+
+
+def test_courses_of_one_row_group_are_dealt_to_all_cores(spark):
+    from syllabary.plans import queries as Q
+
+    for rows in (Q.courses_raw(spark, "/root/testdata/sf0.001"), Q.catalogue_pages(spark, "/root/testdata/sf0.001"), Q.json_lines(spark, "/root/testdata/sf0.001")):
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) * spark.sparkContext.defaultParallelism <= 2 * sum(sizes)
