@@ -1,13 +1,16 @@
 """Text search by an index of trigrams.
 
-``build`` writes the rows by shares of their id and, for each folded title and description,
-its distinct runs of three characters.  A search takes the literal parts of its pattern,
-finds the rows that have all their trigrams in one field, reads the shares these rows are
+``build`` writes the rows by shares of their id, for each folded title and description the
+rows it stands in, and for each distinct text its distinct runs of three characters: a text
+that many rows repeat is indexed once.  A text goes by a hash; texts of one hash make a
+candidate more and lose none.  A search takes the literal parts of its pattern, finds the
+texts that have all their trigrams, the rows they stand in, reads the shares these rows are
 in, and lets LIKE decide, so it returns what :func:`store.search` returns.  A pattern
 without three literal characters in a row is searched without the index.
 
     path/rows/share=S               rows
-    path/postings/share=S           trigram, field, id, id's share; in order of trigrams
+    path/texts/share=S              field, text's hash, id, id's share; in order of hashes
+    path/postings/share=S           trigram, field, text's hash, its share; in order of trigrams
 """
 
 from __future__ import annotations
@@ -38,11 +41,17 @@ def trigrams(c: Column) -> Column:
 def build(rows: DataFrame, path: str, row_id: str = "nseq") -> None:
     """Write the index of ``rows``; ``row_id`` tells rows apart and is not null."""
     rows.withColumn("share", _share(row_id)).repartition("share").write.mode("overwrite").partitionBy("share").parquet(f"{path}/rows")
-    each = [rows.select(F.explode(trigrams(F.col(f))).alias("trigram"), F.lit(f).alias("field"), F.col(row_id).alias("id")) for f in FIELDS]
-    postings = each[0].unionByName(each[1]).withColumns({"row_share": _share("id"), "share": _share("trigram")})
-    # Spark splits shares that frequent trigrams make large.
-    dealt = postings.hint("rebalance", "share").sortWithinPartitions("share", "trigram", "id")
-    dealt.write.mode("overwrite").partitionBy("share").parquet(f"{path}/postings")
+    each = [rows.select(F.lit(f).alias("field"), fold_ascii(F.col(f)).alias("low"), F.col(row_id).alias("id")) for f in FIELDS]
+    texts = each[0].unionByName(each[1]).where(F.length("low") > 2).withColumns({"text": F.xxhash64("low"), "row_share": _share("id")}).withColumn("share", _share("text"))
+    _write_dealt(texts.drop("low"), f"{path}/texts", "text", "id")
+    distinct = texts.select("field", "text", "low", F.col("share").alias("text_share")).distinct()
+    postings = distinct.select(F.explode(trigrams(F.col("low"))).alias("trigram"), "field", "text", "text_share")
+    _write_dealt(postings.withColumn("share", _share("trigram")), f"{path}/postings", "trigram", "text")
+
+
+def _write_dealt(rows: DataFrame, path: str, *order: str) -> None:
+    """Write rows by share, in order within it; Spark splits shares that frequent values make large."""
+    rows.hint("rebalance", "share").sortWithinPartitions("share", *order).write.mode("overwrite").partitionBy("share").parquet(path)
 
 
 def literal_trigrams(query: str) -> list[str]:
@@ -58,7 +67,9 @@ def candidates(spark: SparkSession, path: str, query: str) -> DataFrame | None:
         return None
     shares = [r["s"] for r in spark.createDataFrame([(t,) for t in wanted], "t string").select(_share("t").alias("s")).distinct().collect()]
     found = spark.read.parquet(f"{path}/postings").where(F.col("share").isin(shares) & F.col("trigram").isin(wanted))
-    return found.groupBy("field", "id", "row_share").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("id", "row_share").distinct()
+    found = found.groupBy("field", "text", "text_share").agg(F.count("*").alias("n")).where(F.col("n") >= len(wanted))
+    shares = [r["text_share"] for r in found.select("text_share").distinct().collect()]  # SHARES at most
+    return spark.read.parquet(f"{path}/texts").where(F.col("share").isin(shares)).join(found, ["field", "text"], "left_semi").select("id", "row_share").dropDuplicates(["id"])
 
 
 def indexed_search(spark: SparkSession, path: str, query: str, university: str | None = None, row_id: str = "nseq") -> DataFrame:

@@ -416,3 +416,10 @@ def test_courses_of_one_row_group_are_dealt_to_all_cores(spark):
     for rows in (Q.courses_raw(spark, "/root/testdata/sf0.001"), Q.catalogue_pages(spark, "/root/testdata/sf0.001"), Q.json_lines(spark, "/root/testdata/sf0.001")):
         sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
         assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) * spark.sparkContext.defaultParallelism <= 2 * sum(sizes)
+
+
+def test_repeated_texts_are_indexed_once(spark, tmp_path):
+    rows = spark.range(400).select(F.col("id").alias("nseq"), F.lit("U").alias("university"), F.lit("A 1").alias("course_id"), F.concat(F.lit("Data "), F.col("id") % 2).alias("title"), F.lit("None").alias("description"))
+    search_index.build(rows, str(tmp_path / "i"))
+    assert spark.read.parquet(str(tmp_path / "i/postings")).count() == 4 * 2 + 2
+    assert search_index.indexed_search(spark, str(tmp_path / "i"), "ta 1").count() == 200 and search_index.indexed_search(spark, str(tmp_path / "i"), "none").count() == 400
