@@ -423,3 +423,19 @@ def test_repeated_texts_are_indexed_once(spark, tmp_path):
     search_index.build(rows, str(tmp_path / "i"))
     assert spark.read.parquet(str(tmp_path / "i/postings")).count() == 4 * 2 + 2
     assert search_index.indexed_search(spark, str(tmp_path / "i"), "ta 1").count() == 200 and search_index.indexed_search(spark, str(tmp_path / "i"), "none").count() == 400
+
+
+def test_parts_are_found_once(spark):
+    from syllabary.plans import queries as Q
+
+    plan = Q.valid_courses_by_university(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "to_json" not in plan and "structstojson" not in plan
+    assert str(H.blocks(F.col("html"), "c")).count("regexp_extract(") == 1
+    for name, part in (("yale", "courseblocktitle"), ("berkeley", "courseblocktitle"), ("uconn", "detail-title")):
+        assert str(extraction._block_fields(F.col("block"), Q._rule(spark, name))).count(part) == 1, name
+
+
+def test_blocks_by_parts_with_odd_tags(spark):
+    page = 'a > b<div class="c">1 < 2<p class="c">x<p>y</p><br class="c"><img class="c"></div><DIV CLASS="c">no</DIV><div class="c" '
+    got = spark.createDataFrame([(page,)], "html string").select(H.blocks(F.col("html"), "c")).head()[0]
+    assert got == ['<div class="c">1 < 2<p class="c">x<p>y</p><br class="c"><img class="c"></div>', '<p class="c">x', '<br class="c">', '<img class="c">', '<div class="c" ']
